@@ -18,9 +18,9 @@ COMMON_WORDS = 60
 #: Character classes, by byte: lower case, upper case, digits, white space, plain punctuation, other ASCII; code points beyond ASCII by their first byte.
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "beyond")
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) from the language's reference.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.16, 0.45
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.44
 #: Below so many characters or words, a histogram says too little and the distance isn't judged.
-MIN_CHARS, MIN_WORDS = 200, 80
+MIN_CHARS, MIN_WORDS = 200, 50
 #: Words that a task counts before it hands its counts on.
 FLUSH = 300_000
 EDGE = b".,;:!?\"'()"

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, langid, quality, token_counts, token_output, url_filters
+from trailmark.llm import bpe, jaccard_join, langid, line_dedup, quality, token_counts, token_output, url_filters
 from trailmark.llm.common import crc_mod, scratch, table
 
 #: Fixed rules: host, path, verdict.
@@ -33,19 +33,43 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_output.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_output.read_token_files(spark, path)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch(spark, "token-counts"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op4_byte_bpe, op5_language_id, op7_token_files, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op9_line_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
+    "op9_line_dedup": """
+WITH docs AS (
+    SELECT doc_id, source, text, row_number() OVER () AS r FROM documents
+), lines AS (
+    SELECT r, doc_id, source, i, line, trim(line, ' ') AS key, len(regexp_split_to_array(trim(line, ' '), ' +')) >= 6 AS long_line
+    FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)
+), spread AS (
+    SELECT key, min(doc_id) AS first_id FROM lines WHERE long_line GROUP BY key HAVING count(DISTINCT source) >= 5
+), kept AS (
+    SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut), '') AS text
+    FROM (SELECT r, i, line, long_line AND spread.key IS NOT NULL AND doc_id IS DISTINCT FROM first_id AS cut FROM lines LEFT JOIN spread ON lines.key = spread.key)
+    GROUP BY r
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept.text) AS text_sha256 FROM docs LEFT JOIN kept USING (r)
+""",
     "op1_url_filters": """
 WITH cut AS (
     SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
