@@ -20,7 +20,7 @@ from trailmark.llm.tokens import ChunkCache, read_ranks, space_chunks
 #: words, which for a longer word would grow as the square of its length. Such words are contracted with a heap.
 WORDS_A_QUERY, LONGEST_WORD = 30_000, 255
 #: Contracted words that a worker keeps.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 900_000
 #: Fixed: Latin letters and ASCII digits, for which Python's re gives what the pattern's \p classes give.
 _PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trailmark.llm.common import crc_mod, slices, type_of
+from trailmark.llm.common import crc_mod, slices
 
 DIMENSIONS = 512
 SEED = 20_240_501
@@ -126,16 +127,12 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang") -> dict[str, list[int]
     return dict(sorted(found.items()))
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id") -> DataFrame:
-    """The prototype with the largest cosine to each text's own bundle.
-
-    Returns one row for each row: id, lang_pred, score (that cosine, cut to 0..1) and margin over the next language.
-    `und` with score 0 for a null text, one without a letter, or when there are no profiles; equal cosines: the first
-    label in order. Null ids and repeated rows are kept as they are; other columns are not read.
-    """
+def with_language(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
+    """All rows and columns of docs (text among them) with lang_pred, score and margin; a column of docs so named gives way."""
     labels = list(profiles)
     prototypes = np.array([profiles[x] for x in labels], np.float64).reshape(len(labels), DIMENSIONS)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
+    docs = docs.drop("lang_pred", "score", "margin")
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binder = Binder()
@@ -152,10 +149,22 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: st
                     best = int(cosine.argmax())
                     rest = max(np.delete(cosine, best), default=0.0)
                     out.append((labels[best], min(1.0, max(0.0, float(cosine[best]))), float(cosine[best] - rest)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.float64())], ["id", "lang_pred", "score", "margin"])
+            made = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, "lang_pred", "score", "margin"])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType())))])
+    return docs.mapInArrow(judge, schema)
 
-    made = docs.select(F.col(id_col).alias("id"), "text").mapInArrow(judge, f"id {type_of(docs, id_col)}, lang_pred string, score double, margin double")
-    return made.withColumnRenamed("id", id_col)
+
+def predict_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id") -> DataFrame:
+    """The prototype with the largest cosine to each text's own bundle.
+
+    Returns one row for each row: id, lang_pred, score (that cosine, cut to 0..1) and margin over the next language.
+    `und` with score 0 for a null text, one without a letter, or when there are no profiles; equal cosines: the first
+    label in order. Null ids and repeated rows are kept as they are; other columns are not read.
+    """
+    found = with_language(docs.select(F.col(id_col).alias("id"), "text"), profiles)
+    return found.select(F.col("id").alias(id_col), "lang_pred", "score", "margin")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, quality, token_counts, token_output, url_filters
+from trailmark.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, lm, quality, token_counts, token_output, url_filters
 from trailmark.llm.common import crc_mod, scratch, table
 
 #: Fixed rules: host, path, verdict.
@@ -47,6 +47,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(spark, path)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return lm.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0, path, public_tokenizers.PATTERN)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch(spark, "token-counts"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op9_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """
