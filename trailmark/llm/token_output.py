@@ -17,7 +17,7 @@ END_ID = 1
 #: Stripes are read in parallel; the row index of each stride and the Bloom filters let a reader skip them.
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(16 << 20), "orc.compress": "ZLIB", "orc.encoding.strategy": "SPEED",
+    "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD", "orc.encoding.strategy": "SPEED",
 }
 
 

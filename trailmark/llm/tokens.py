@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterable
+import struct
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
 #: Encoded chunks that a worker keeps between slices, and the longest chunk that it keeps.
 KEPT, LONGEST = 250_000, 100
+#: Pieces of chunks that a worker keeps: short strings of bytes.
+PIECES_KEPT = 700_000
 
 
 class ChunkCache:
@@ -94,12 +97,10 @@ class WordEncoder:
     """Ids by the tokenizers library as little-endian 32-bit words; None for chunks whose text must go to it whole."""
 
     def __init__(self, path: str) -> None:
-        import numpy as np
+        self.tokenizer, self.pieces = word_tokenizer(path), {}
 
-        self.np, self.tokenizer, self.pieces = np, word_tokenizer(path), {}
-
-    def pack(self, ids: Iterable[int]) -> bytes:
-        return self.np.array(ids, "<u4").tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,7 +110,7 @@ class WordEncoder:
         return self.pack([t.id for t in self.tokenizer.model.tokenize(letters)])
 
     def chunks(self, chunks: list[str]) -> dict[str, bytes | None]:
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
         out, known = {}, self.pieces
         for chunk in chunks:
