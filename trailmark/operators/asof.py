@@ -49,7 +49,7 @@ def runs(df: DataFrame, keys: list[str], state: str, order: list[str], t: str =
     """keys, state, t_first, t_last, n for each run of consecutive rows with the same state (gaps and islands)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     start = F.when(F.col(state).eqNullSafe(F.lag(state).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    grouped = df.withColumn("_run", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0))) if False else df.withColumn("_start", start).withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = df.withColumn("_start", start).withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(*keys, "_run").agg(F.first(state).alias("state"), F.min(t).alias("t_first"), F.max(t).alias("t_last"), F.count("*").alias("n"))
 
 
