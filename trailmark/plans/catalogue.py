@@ -297,10 +297,10 @@ def a13_ate(b: DataFrame) -> DataFrame:
     return evaluate.ate(evaluate.errors(matches(b)), ["seq"], ["t", "idx"])
 
 
-@query("pairs AS (SELECT seq, idx, x - y AS d FROM base) SELECT seq, round(avg(abs(d + 180 - 360 * floor((d + 180) / 360) - 180)), 4) AS mean_deg, round(quantile_cont(abs(d + 180 - 360 * floor((d + 180) / 360) - 180), 0.95), 6) AS p95_deg FROM pairs GROUP BY seq")
+@query("pairs AS (SELECT seq, idx, x - y AS d FROM base) SELECT seq, round(avg(abs(d + 180 - 360 * floor((d + 180) / 360) - 180)), 9) AS mean_deg, round(quantile_cont(abs(d + 180 - 360 * floor((d + 180) / 360) - 180), 0.95), 6) AS p95_deg FROM pairs GROUP BY seq")
 def a15_heading(b: DataFrame) -> DataFrame:
     wrapped = F.abs(geometry.wrap_degrees(F.col("x") - F.col("y")))
-    return b.groupBy("seq").agg(F.round(F.avg(wrapped), 4).alias("mean_deg"), F.round(F.percentile(wrapped, 0.95), 6).alias("p95_deg"))
+    return b.groupBy("seq").agg(F.round(F.avg(wrapped), 9).alias("mean_deg"), F.round(F.percentile(wrapped, 0.95), 6).alias("p95_deg"))
 
 
 @query("total AS (SELECT t, seq, method, confidence, sum(confidence) OVER (PARTITION BY seq, floor(t / 86400)) AS s, idx FROM base) SELECT seq, idx, round(CASE WHEN s > 1e-9 THEN confidence / s ELSE 0 END, 6) AS weight FROM total")
