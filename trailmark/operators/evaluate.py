@@ -58,3 +58,82 @@ def rank_runs(runs: DataFrame, keys: list[str], drift: str, tie: str) -> DataFra
     """Rank by drift, null and non-finite ones last."""
     finite = F.when(~F.isnan(drift) & (F.abs(drift) != float("inf")), F.col(drift))
     return runs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(finite.asc_nulls_last(), tie)))
+
+
+def durations(poses: DataFrame, keys: list[str], order: list[str], t: str = "t") -> DataFrame:
+    """Rows with lasts: seconds to the next row; the last repeats the one before, keys of one or two rows have 0."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    lasts = F.coalesce(F.lead(t).over(w) - F.col(t), F.col(t) - F.lag(t).over(w), F.lit(0.0))
+    return poses.withColumn("lasts", F.when(F.count("*").over(Window.partitionBy(*keys)) <= 2, 0.0).otherwise(lasts))
+
+
+def drift_bins(errors: DataFrame, keys: list[str], distance: str, error: str, width: float) -> DataFrame:
+    """keys, bin, bin_start, n, median, iqr: bins of the distance up to the last row's, the last one closed, empty ones kept."""
+    last = errors.groupBy(*keys).agg(F.greatest(F.ceil(F.max(distance) / width), F.lit(1)).cast("long").alias("many"))
+    binned = errors.join(last, keys).withColumn("bin", F.least(F.floor(F.col(distance) / width), F.col("many") - 1))
+    stats = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.median(error).alias("median"), (F.percentile(error, 0.75) - F.percentile(error, 0.25)).alias("iqr"))
+    every = last.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("bin"))
+    return every.join(stats, [*keys, "bin"], "left").select(*keys, "bin", (F.col("bin") * F.lit(width)).alias("bin_start"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "median", "iqr")
+
+
+def relative_errors(matched: DataFrame, keys: list[str], distance: str, delta: float, tolerance: float = 0.1) -> DataFrame:
+    """Translation error between each row and the one nearest to `delta` further along (within a share of it).
+
+    Found by an as-of join on the distance axis; matched has x, y, ref_x, ref_y.
+    """
+    from trailmark.operators.asof import nearest
+
+    ahead = matched.select(*keys, (F.col(distance) + delta).alias("d"), "idx", *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "ref_x", "ref_y")])
+    there = matched.select(*keys, F.col(distance).alias("d"), "x", "y", "ref_x", "ref_y")
+    pairs = nearest(ahead, there, keys, "d", tie="prev").where(F.col("gap") <= tolerance * delta)
+    dx, dy = ((F.col(f"near.{c}") - F.col(f"a_{c}")) - (F.col(f"near.ref_{c}") - F.col(f"a_ref_{c}")) for c in ("x", "y"))
+    return pairs.select(*keys, "idx", F.sqrt(dx * dx + dy * dy).alias("error"))
+
+
+def align(matched: DataFrame, keys: list[str], scale: bool = False) -> DataFrame:
+    """keys, n, r (nine numbers by rows), tx, ty, tz, s: the least-squares similarity from x, y, z to ref_x, ref_y, ref_z.
+
+    The sums are one aggregation; a task then decomposes one 3 x 3 matrix for each key. Fewer than three rows, or rows
+    on one line, give nulls.
+    """
+    import numpy as np
+    import pandas as pd
+
+    axes = ["x", "y", "z"]
+    sums = [F.sum(F.col(a)).alias(a) for a in axes] + [F.sum(F.col(f"ref_{a}")).alias(f"ref_{a}") for a in axes]
+    cross = [F.sum(F.col(f"ref_{a}") * F.col(b)).alias(f"c_{a}{b}") for a in axes for b in axes]
+    square = F.sum(sum((F.col(a) * F.col(a) for a in axes), F.lit(0.0))).alias("square")
+    stats = matched.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *cross, square)
+
+    def solve(parts):
+        for rows in parts:
+            out = []
+            for row in rows.to_dict("records"):
+                n, p, q = row["n"], np.array([row[a] for a in axes]), np.array([row[f"ref_{a}"] for a in axes])
+                p, q = p / n, q / n
+                c = np.array([row[f"c_{a}{b}"] for a in axes for b in axes]).reshape(3, 3) / n - np.outer(q, p)
+                u, d, vt = np.linalg.svd(c)
+                if n < 3 or d[1] <= 1e-12 * max(d[0], 1e-300):
+                    out.append([None] * 5)
+                    continue
+                mirror = np.array([1, 1, np.sign(np.linalg.det(u) * np.linalg.det(vt))])
+                r = u @ np.diag(mirror) @ vt
+                s = float((d * mirror).sum() / (row["square"] / n - p @ p)) if scale else 1.0
+                out.append([r.ravel().tolist(), *(q - s * r @ p).tolist(), s])
+            yield pd.concat([rows[[*keys, "n"]].reset_index(drop=True), pd.DataFrame(out, columns=["r", "tx", "ty", "tz", "s"])], axis=1)
+
+    key = ", ".join(f"`{k}` {matched.schema[k].dataType.simpleString()}" for k in keys)
+    return stats.mapInPandas(solve, f"{key}, n long, r array<double>, tx double, ty double, tz double, s double")
+
+
+def apply_alignment(poses: DataFrame, alignment: DataFrame, keys: list[str]) -> DataFrame:
+    """Poses with x, y, z moved by their key's alignment; unchanged where it is null."""
+    joined = poses.join(alignment.select(*keys, "r", "tx", "ty", "tz", "s"), keys, "left")
+    moved = [F.coalesce(F.col(f"t{a}") + F.col("s") * sum((F.col("r")[3 * i + j] * F.col(b) for j, b in enumerate("xyz")), F.lit(0.0)), F.col(a)).alias(a) for i, a in enumerate("xyz")]
+    return joined.select(*[c for c in poses.columns if c not in ("x", "y", "z")], *moved)
+
+
+def labels(runs: DataFrame, method: str, order: list[str]) -> DataFrame:
+    """Runs with label: the method, and for its second and later runs the run's name behind it."""
+    nth = F.row_number().over(Window.partitionBy(method).orderBy(*order))
+    return runs.withColumn("label", F.when(nth == 1, F.col(method)).otherwise(F.format_string("%s (%s)", F.col(method), F.col("run").cast("string"))))

@@ -52,3 +52,26 @@ def stream_diagnostics(events: DataFrame, keys: list[str], width: float) -> Data
     rates = packets(events, keys, width).groupBy(*keys).agg(F.round(F.min(F.col("n") / width), 9).alias("min_rate"), F.round(F.max(F.col("n") / width), 9).alias("max_rate"), F.count_if(F.col("n") == 0).alias("empty_windows"))
     mean = F.round(F.when(F.col("span") > 0, F.col("total") / F.col("span")).otherwise(0.0), 9)
     return total.join(rates, keys).select(*keys, "total", "positive", mean.alias("mean_rate"), "min_rate", "max_rate", "empty_windows")
+
+
+def frames(events: DataFrame, keys: list[str], pixel: list[str], width: float) -> DataFrame:
+    """keys, win, pixel, value (0..255, halves to even), centre: each packet's events per pixel as a share of its busiest."""
+    span = events.groupBy(*keys).agg(F.min("t").alias("t0"), F.greatest(F.ceil((F.max("t") - F.min("t")) / width), F.lit(1)).alias("many"))
+    numbered = events.join(span, keys).withColumn("win", F.least(F.floor((F.col("t") - F.col("t0")) / width), F.col("many") - 1))
+    counts = numbered.groupBy(*keys, "win", *pixel).agg(F.count("*").alias("n"), F.min("t0").alias("t0"))
+    share = F.col("n") / F.max("n").over(Window.partitionBy(*keys, "win"))
+    return counts.select(*keys, "win", *pixel, F.bround(share * 255, 0).cast("int").alias("value"), (F.col("t0") + (F.col("win") + 0.5) * F.lit(width)).alias("centre"))
+
+
+def centroid(pixels: DataFrame, keys: list[str], weight: str, x: str = "px", y: str = "py") -> DataFrame:
+    """Weighted centre of each frame; (0, 0) for one without mass."""
+    mass = F.sum(weight)
+    return pixels.groupBy(*keys).agg(*[F.when(mass > 0, F.sum(F.col(c) * F.col(weight)) / mass).otherwise(0.0).alias(n) for c, n in ((x, "cx"), (y, "cy"))])
+
+
+def log_events(samples: DataFrame, keys: list[str], intensity: str, order: list[str], threshold: float, t: str = "t") -> DataFrame:
+    """Changes of log intensity (0..255) between a pixel's samples that reach the threshold: t (midway), p (1 or -1), change."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    now = F.log(F.col(intensity) / 255.0 + 1e-3)
+    made = samples.withColumn("change", now - F.lag(now).over(w)).withColumn("_mid", (F.col(t) + F.lag(t).over(w)) / 2)
+    return made.where(F.abs("change") >= threshold).withColumn("p", F.when(F.col("change") > 0, 1).otherwise(-1)).withColumn(t, F.col("_mid")).drop("_mid")

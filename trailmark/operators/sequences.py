@@ -34,3 +34,14 @@ def normalised_weight(df: DataFrame, value: str, within: WindowSpec) -> DataFram
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key in that order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def perturb(df: DataFrame, method: str, kind: str, start: float, end: float, magnitude: float = 0.0, value: str = "x", t: str = "t") -> DataFrame:
+    """Poses of one method spoiled within a closed window: bias (ramped up, confidence x 0.6), confident_bias (as it is), or
+    dropout (confidence 0, health LOST)."""
+    hit = (F.col("method") == method) & F.col(t).between(start, end)
+    if kind == "dropout":
+        return df.withColumn("confidence", F.when(hit, 0.0).otherwise(F.col("confidence"))).withColumn("health", F.when(hit, "LOST").otherwise(F.col("health")))
+    ramp = F.least(F.greatest((F.col(t) - start) / (end - start), F.lit(0.0)), F.lit(1.0))
+    moved = df.withColumn(value, F.when(hit, F.col(value) + magnitude * ramp).otherwise(F.col(value)))
+    return moved.withColumn("confidence", F.when(hit, F.col("confidence") * (0.6 if kind == "bias" else 1.0)).otherwise(F.col("confidence")))

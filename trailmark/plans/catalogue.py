@@ -50,7 +50,7 @@ def query(sql: str):
     def register(f: Callable[[DataFrame], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(base(spark, sf_dir))
         more = "" if sql.startswith("SELECT") else ","
-        ORACLE_SQL[f.__name__] = f"WITH {SQL_BASE}{more}\n{sql.strip()}"
+        ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {SQL_BASE}{more}\n{sql.strip()}"
         return f
 
     return register
