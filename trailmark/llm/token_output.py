@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import slices, type_of
-from trailmark.llm.tokens import ChunkCache, WordEncoder
+from trailmark.llm.tokens import worker_words
 
 END_ID = 1
 #: Stripes are read in parallel; the row index of each stride and the Bloom filters let a reader skip them.
@@ -35,8 +35,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
-        cache, start, row, end = ChunkCache(encoder.chunks), 0, 0, encoder.pack([END_ID])
+        encoder, cache = worker_words(tokenizer_path)
+        start, row, end = 0, 0, encoder.pack([END_ID])
         for rows in parts:
             texts, at = rows.column("text").to_pylist(), 0
             for part in slices(texts, map(len, texts)):
