@@ -129,6 +129,13 @@ class RankEncoder:
         return out
 
 
+@cache
+def worker_ranks(path: str, pattern: str) -> tuple[RankEncoder, ChunkCache]:
+    """One encoder with its bounded caches for each Python worker, which runs one task after another."""
+    encoder = RankEncoder(path, pattern)
+    return encoder, ChunkCache(encoder.chunks)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Encode every whole text by the ranks, each match of the pattern separately, and decode the ids again.
 
@@ -138,8 +145,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RankEncoder(ranks_path, pattern)
-        cache = ChunkCache(encoder.chunks)
+        encoder, cache = worker_ranks(ranks_path, pattern)
         for rows in parts:
             texts, out = rows.column("text").to_pylist(), []
             for part in slices(texts, (len(t or "") for t in texts)):
