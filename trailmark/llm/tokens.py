@@ -123,10 +123,3 @@ class WordEncoder:
                     known[p] = self.piece(p)
             out[chunk] = b"".join([known[p] for p in parts])
         return out
-
-
-@cache
-def worker_words(path: str) -> tuple[WordEncoder, ChunkCache]:
-    """One encoder with its bounded caches for each Python worker, which runs one task after another."""
-    encoder = WordEncoder(path)
-    return encoder, ChunkCache(encoder.chunks)
