@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trailmark.functions import geometry
+
 
 def velocity(df: DataFrame, keys: list[str], value: str, order: list[str], t: str = "t") -> DataFrame:
     """Forward difference; the last row repeats the one before, a lone row has 0; steps of no time count as 1e-9."""
@@ -45,3 +47,15 @@ def perturb(df: DataFrame, method: str, kind: str, start: float, end: float, mag
     ramp = F.least(F.greatest((F.col(t) - start) / (end - start), F.lit(0.0)), F.lit(1.0))
     moved = df.withColumn(value, F.when(hit, F.col(value) + magnitude * ramp).otherwise(F.col(value)))
     return moved.withColumn("confidence", F.when(hit, F.col("confidence") * (0.6 if kind == "bias" else 1.0)).otherwise(F.col("confidence")))
+
+
+def ego_motion(df: DataFrame, keys: list[str], order: list[str], position: list[str], quaternion: list[str], t: str = "t") -> DataFrame:
+    """Each row but the last of a sequence, with forward, left, up (the way to the next row, seen from this one), the
+    rotation vector rx, ry, rz to it, and dt. Quaternions have length one."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ahead = df.withColumns({f"_n{i}": F.lead(c).over(w) for i, c in enumerate([*position, *quaternion, t])})
+    q = [F.col(c) for c in quaternion]
+    way = geometry.rotate_back(q, [F.col(f"_n{i}") - F.col(c) for i, c in enumerate(position)])
+    turn = geometry.rotation_vector(geometry.multiply([-q[0], -q[1], -q[2], q[3]], [F.col(f"_n{3 + i}") for i in range(4)]))
+    made = ahead.where("_n7 is not null").withColumns(dict(zip(["forward", "left", "up", "rx", "ry", "rz"], [*way, *turn], strict=True)) | {"dt": F.col("_n7") - F.col(t)})
+    return made.drop(*[f"_n{i}" for i in range(8)])
