@@ -1,13 +1,16 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 
+from trailmark.functions import frames
+
 from trailmark.plans import catalogue, matching as plans
 from trailmark.sources import validators
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["j17_reference_at_boundaries", "j18_ratio_matches", "j19_mutual_matches", "m04_heading_script", "w24_ego_motion"]
+NAMES = ["a29_three_streams", "j17_reference_at_boundaries", "j18_ratio_matches", "j19_mutual_matches", "m04_heading_script", "w24_ego_motion"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -62,3 +65,14 @@ def test_file_checks(spark, tmp_path):
     found = problems(validators.check_headers(spark, f"{tmp_path}/*.csv", ["t,e", "t,e,h"]))
     assert found == {"e.csv": None, "n.csv": "no rows"}
     assert [r.problem for r in validators.check_sizes(spark, f"{tmp_path}/e.csv").collect()] == ["only 8 bytes"]
+
+
+def test_frame_shift(spark):
+    scene = np.random.default_rng(3).random((96, 96)) ** 4
+    cut = lambda dx, dy: scene[16 - dy : 80 - dy, 16 - dx : 80 - dx].ravel().tolist()
+    wanted = [(0, 0), (3, 0), (0, -4), (5, 2), (-6, -3), (10, -7)]
+    rows = [(i, cut(0, 0), cut(*d), 64, 64) for i, d in enumerate(wanted)]
+    rows += [(6, [0.0] * 64, [1.0] * 64, 8, 8), (7, [1.0] * 4, [1.0] * 4, 2, 2), (8, [float("nan")] * 64, [1.0] * 64, 8, 8), (9, None, [1.0] * 64, 8, 8)]
+    found = spark.createDataFrame(rows, "i int, a array<double>, b array<double>, h int, w int").select("i", frames.frame_shift("a", "b", "h", "w").alias("s")).select("i", "s.*").orderBy("i").collect()
+    assert all(abs(r.dx - dx) < 0.5 and abs(r.dy - dy) < 0.5 and r.valid and 0 < r.confidence <= 1 for r, (dx, dy) in zip(found, wanted))
+    assert [r.reason for r in found[6:]] == ["empty_frame", "frame_too_small", "non_finite_frame", "empty_frame"] and not any(r.valid for r in found[6:])

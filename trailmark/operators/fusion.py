@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions import gates
+from trailmark.functions import gates, geometry
 from trailmark.operators.fold import fold
 from trailmark.operators.motion import matrix, quat_mul, resample, rotvec
 
@@ -204,3 +204,32 @@ def window_stats(updates: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("offered"), F.count_if("accepted").alias("accepted"), F.avg("confidence").alias("mean_confidence"), F.avg((F.col("health") == "DEGRADED").cast("int")).alias("degraded_share"),
         F.avg(failed).alias("failed_share"), F.coalesce(F.avg("innovation"), F.lit(0.0)).alias("mean_innovation"), F.coalesce(F.avg("d2"), F.lit(0.0)).alias("mean_d2"),
     )
+
+
+def fuse_three(inertial: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], values: list[str], gains: tuple[float, float] = (0.5, 0.5), least: float = 0.1, t: str = "t") -> DataFrame:
+    """Inertial rows blended with two other streams at their times: fused_<value>, w_inertial, w_first, w_second,
+    confidence, health.
+
+    A stream weighs its gain times its confidence, 0 under `least`; two that weigh more than 1 together are scaled to 1
+    and leave nothing for the inertial row. A key without a stream gets none of it. confidence: 0.3 of the inertial
+    row's and 0.35 of each stream's; 0.3 at most where neither is in range; INVALID for 0 or less.
+    """
+    both = inertial.select("*", *[F.col(v).alias(f"_own_{v}") for v in values], F.coalesce("confidence", F.lit(1.0)).alias("_own_c"))
+    for name, stream in (("first", first), ("second", second)):
+        both = resample(both, stream, keys, values, t).withColumnsRenamed({v: f"_{name}_{v}" for v in values} | {"confidence": f"_{name}_c", "in_range": f"_{name}_in"})
+    raw = [F.when(F.col(f"_{n}_c") >= least, gates.clip(gain * F.col(f"_{n}_c"), 0.0, gain)).otherwise(0.0) for n, gain in zip(("first", "second"), gains, strict=True)]
+    both = both.withColumns({"_w1": raw[0], "_w2": raw[1]}).withColumn("_sum", F.col("_w1") + F.col("_w2"))
+    scale = F.greatest(F.col("_sum"), F.lit(1.0))
+    both = both.withColumns({"w_inertial": F.greatest(F.lit(0.0), 1 - F.col("_sum")), "w_first": F.col("_w1") / scale, "w_second": F.col("_w2") / scale})
+    # A stream without rows has null values, and weighs 0.
+    blended = [sum((F.col(f"w_{w}") * F.coalesce(f"_{c}_{v}", F.lit(0.0)) for w, c in (("inertial", "own"), ("first", "first"), ("second", "second"))), F.lit(0.0)).alias(f"fused_{v}") for v in values]
+    mixed = gates.clip(0.3 * F.col("_own_c") + 0.35 * F.col("_first_c") + 0.35 * F.col("_second_c"))
+    trusted = F.when(F.col("_first_in") | F.col("_second_in"), mixed).otherwise(F.least(mixed, F.lit(0.3)))
+    health = F.when(F.col("confidence") <= 0, "INVALID").otherwise(gates.health_from_confidence(F.col("confidence")))
+    kept = [c for c in inertial.columns if c not in (*values, "confidence", "health")]
+    return both.select(*kept, *blended, "w_inertial", "w_first", "w_second", trusted.alias("confidence")).withColumn("health", health)
+
+
+def fuse_three_rotations(inertial: list[Column], first: list[Column], second: list[Column], weights: list[Column]) -> list[Column]:
+    """The inertial quaternion turned towards the first stream's by its share of both weights, then towards the second's."""
+    return geometry.blend(geometry.blend(inertial, first, weights[1] / F.greatest(weights[0] + weights[1], F.lit(1e-9))), second, weights[2])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import geometry
-from trailmark.operators import asof, matching, sequences
+from trailmark.operators import asof, fusion, matching, sequences
 from trailmark.plans.catalogue import ORACLE_SQL, PACKET, QUERIES, query
 
 SCRIPT = [(0.0, 0.0), (600_000.0, 90.0), (1_200_000.0, 45.0), (1_800_000.0, 270.0)]
@@ -64,3 +64,22 @@ def w24_ego_motion(b: DataFrame) -> DataFrame:
 SELECT seq, idx, round(CASE WHEN t <= 0 THEN 0.0 WHEN t <= 600000 THEN t / 600000 * 90 WHEN t <= 1200000 THEN 90 - (t - 600000) / 600000 * 45 WHEN t <= 1800000 THEN 45 + (t - 1200000) / 600000 * 225 ELSE 270.0 END, 6) AS heading FROM base""")
 def m04_heading_script(b: DataFrame) -> DataFrame:
     return b.select("seq", "idx", F.round(geometry.piecewise(F.col("t"), SCRIPT), 6).alias("heading"))
+
+
+def _stream(name: str, method: str, left: str) -> str:
+    return f"""{name}_p AS (SELECT g.*, s.t AS pt, s.x AS px2, s.confidence AS pc FROM {left} g ASOF LEFT JOIN (SELECT * FROM base WHERE method = '{method}') s ON g.seq = s.seq AND g.t >= s.t),
+{name}_n AS (SELECT g.*, s.t AS nt, s.x AS nx2, s.confidence AS nc, CASE WHEN s.t > pt THEN (g.t - pt) / (s.t - pt) ELSE 0 END AS w FROM {name}_p g ASOF LEFT JOIN (SELECT * FROM base WHERE method = '{method}') s ON g.seq = s.seq AND g.t <= s.t),
+{name} AS (SELECT * EXCLUDE (pt, px2, pc, nt, nx2, nc, w), CASE WHEN pt IS NULL THEN nx2 WHEN nt IS NULL THEN px2 ELSE px2 + w * (nx2 - px2) END AS {name}_x,
+    CASE WHEN pt IS NULL OR nt IS NULL THEN 0 ELSE least(greatest(pc + w * (nc - pc), 0), 1) END AS {name}_c, pt IS NOT NULL AND nt IS NOT NULL AS {name}_in FROM {name}_n)"""
+
+
+@query(f"""
+own AS (SELECT seq, idx, t, x, confidence AS c FROM base WHERE method = 'view'), {_stream("a", "click", "own")}, {_stream("z", "signup", "a")},
+weights AS (SELECT *, CASE WHEN a_c >= 0.1 THEN 0.9 * a_c ELSE 0 END AS w1, CASE WHEN z_c >= 0.1 THEN 0.9 * z_c ELSE 0 END AS w2 FROM z),
+mixed AS (SELECT *, greatest(w1 + w2, 1) AS scale, least(greatest(0.3 * c + 0.35 * a_c + 0.35 * z_c, 0), 1) AS m FROM weights)
+SELECT seq, idx, round(greatest(0, 1 - w1 - w2) * x + w1 / scale * coalesce(a_x, 0) + w2 / scale * coalesce(z_x, 0), 5) AS fused_x,
+       round(CASE WHEN a_in OR z_in THEN m ELSE least(m, 0.3) END, 5) AS confidence FROM mixed""")
+def a29_three_streams(b: DataFrame) -> DataFrame:
+    own, first, second = (b.where(F.col("method") == m) for m in ("view", "click", "signup"))
+    fused = fusion.fuse_three(own.select("seq", "idx", "t", "x", "confidence"), first, second, ["seq"], ["x"], (0.9, 0.9))
+    return fused.select("seq", "idx", F.round("fused_x", 5).alias("fused_x"), F.round("confidence", 5).alias("confidence"))
