@@ -76,3 +76,23 @@ def test_frame_shift(spark):
     found = spark.createDataFrame(rows, "i int, a array<double>, b array<double>, h int, w int").select("i", frames.frame_shift("a", "b", "h", "w").alias("s")).select("i", "s.*").orderBy("i").collect()
     assert all(abs(r.dx - dx) < 0.5 and abs(r.dy - dy) < 0.5 and r.valid and 0 < r.confidence <= 1 for r, (dx, dy) in zip(found, wanted))
     assert [r.reason for r in found[6:]] == ["empty_frame", "frame_too_small", "non_finite_frame", "empty_frame"] and not any(r.valid for r in found[6:])
+
+
+def test_three_rotations(spark):
+    """Turns about one axis blend to a turn between them; a weight of 0 leaves the inertial one."""
+    from pyspark.sql import functions as F
+
+    from trailmark.functions import geometry
+    from trailmark.operators import fusion
+
+    def turn(degrees):
+        half = np.radians(degrees) / 2
+        return [F.lit(x) for x in (0.0, 0.0, float(np.sin(half)), float(np.cos(half)))]
+
+    def yaw(*weights):
+        q = fusion.fuse_three_rotations(turn(10), turn(30), [-x for x in turn(40)], [F.lit(w) for w in weights])
+        return spark.range(1).select(geometry.yaw_degrees(*q)).first()[0]
+
+    assert yaw(1.0, 0.0, 0.0) == pytest.approx(10)
+    assert yaw(0.5, 0.5, 0.0) == pytest.approx(20)
+    assert yaw(0.0, 0.5, 0.5) == pytest.approx(35)
