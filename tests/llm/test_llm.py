@@ -108,6 +108,15 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.drop_leaks(odd, items.limit(0)).count() == odd.count()
 
 
+def test_decontamination_of_a_frequent_item(spark):
+    item = "Quartz lanterns guide the weary ferrymen past seven drowned mills. Their keeper counts every oar before dusk."
+    rows = [(i, " ".join(f"w{(i * 37 + 11 * k) % 5000}" for k in range(120)) + (f" {item} tail{i}" if i % 3 == 0 else "")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, " ".join(f"w{k}" for k in range(4000, 4020)))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert {i for i, k in found if k == 1} == {i for i in range(900) if i % 3 == 0}
+
+
 def test_line_dedup(spark, odd, none):
     line = "one two three four five six seven"
     docs = spark.createDataFrame([(i, f"{line}\nown {i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")

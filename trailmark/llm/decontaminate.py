@@ -17,8 +17,11 @@ SPAN, STEP = 64, 32
 #: Latent dimensions, and how many more the range finder samples.
 RANK, OVERSAMPLE = 64, 8
 #: Words in more than MAX_SHARE of all passages, but MIN_PASSAGES at least, are stop words and no terms; a passage or
-#: part of an item with fewer than MIN_TERMS different terms is not searched.
+#: part of an item with fewer than MIN_TERMS different terms has no place in the latent space.
 MAX_SHARE, MIN_PASSAGES, MIN_TERMS = 0.01, 100, 3
+#: A part of an item with fewer different terms than this (as copies make all words of an item stop words) is searched by
+#: its words too: passages with MIN_LCS_WITH_ANSWER of its different words are candidates.
+ENOUGH_TERMS = 5
 #: A passage of at least so large a cosine with a part of an item, that has this share of the part's terms, is a candidate.
 MIN_COSINE, MIN_SHARED = 0.3, 0.5
 #: Share of an item's words that the longest common subsequence must have: alone, or with the answer found.
@@ -215,6 +218,27 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
     which, queries = latent(Passages([p for _, p in parts], idf > 0, SPAN), idf, space, MIN_TERMS)
     owner = np.array([parts[q][0] for q in which], np.int64)
     asked = [{*parts[q][1][idf[parts[q][1]] > 0].tolist()} for q in which]
+    distinct = [np.unique(p) for _, p in parts]
+    # Parts of few terms: the words of each, and which of the words that any of them has.
+    few = [q for q, words in enumerate(distinct) if np.count_nonzero(idf[words] > 0) < ENOUGH_TERMS]
+    few_words = np.unique(np.concatenate([distinct[q] for q in few])) if few else np.zeros(0, np.int64)
+    is_few, few_at = np.zeros(benchmark.size, bool), np.zeros(benchmark.size, np.int64)
+    is_few[few_words], few_at[few_words] = True, np.arange(len(few_words))
+    few_has = np.zeros((len(few_words), len(few)), np.float32)
+    for c, q in enumerate(few):
+        few_has[few_at[distinct[q]], c] = 1
+
+    def by_words(numbered: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """text, first word, part: passages that have enough of the words of a part of few terms."""
+        passages = Passages(numbered, is_few, STEP)
+        at_once = max(1, 4_000_000 // len(few_words))
+        for a in range(0, passages.many, at_once):
+            low, high = np.searchsorted(passages.passage, [a, a + at_once])
+            has = np.zeros((min(at_once, passages.many - a), len(few_words)), np.float32)
+            has[passages.passage[low:high] - a, few_at[passages.term[low:high]]] = 1
+            share = (has @ few_has) / few_has.sum(axis=0)
+            for r, c in np.argwhere(share >= MIN_LCS_WITH_ANSWER).tolist():
+                yield int(passages.of[a + r]), int(passages.first[a + r]), few[c]
 
     def judge(numbers: np.ndarray, k: int, at: int) -> float | None:
         """Whether the words around a passage hold the item: its share of common words in order, or None."""
@@ -243,7 +267,7 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
                 passages = Passages([n for _, n in numbered], idf > 0, STEP)
                 found, vectors = latent(passages, idf, space, MIN_TERMS)
                 edges = np.searchsorted(passages.passage, [found, found + 1]).T.tolist()
-                best: dict[tuple[int, int], tuple[float, float]] = {}
+                best: dict[tuple[int, int], tuple[float, float | None]] = {}
                 for a in range(0, len(found), 1024):
                     cosines = vectors[a : a + 1024] @ queries.T
                     tried: set[tuple[int, int]] = set()
@@ -256,6 +280,15 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
                         lcs = judge(numbered[d][1], k, int(passages.first[found[a + r]]))
                         if lcs is not None and (lcs, float(cosines[r, q])) > best.get((d, k), (0.0, 0.0)):
                             best[d, k] = (lcs, float(cosines[r, q]))
+                judged: set[tuple[int, int, int]] = set()
+                for d, at, q in by_words([n for _, n in numbered]) if few else ():
+                    k = parts[q][0]
+                    if (d, k, at) in judged or best.get((d, k), (0.0, None))[0] == 1.0:
+                        continue
+                    judged.add((d, k, at))
+                    lcs = judge(numbered[d][1], k, at)
+                    if lcs is not None and lcs > best.get((d, k), (0.0, None))[0]:
+                        best[d, k] = (lcs, None)
                 out += [(numbered[d][0], benchmark.ids[k], c, s) for (d, k), (s, c) in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], rows.schema.field("id").type), *(pa.array([r[i] for r in out], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], ["id", "item", "cosine", "lcs"])
 
@@ -269,8 +302,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", it
     set); candidates are confirmed where the longest common subsequence with the item has MIN_LCS of its words close
     together, or MIN_LCS_WITH_ANSWER of them and the item's answer (its last sentence) stands nearby.
 
-    Null texts and ids: a null text has no passage, a null id stays. Items of fewer than MIN_WORDS words, or
-    MIN_TERMS words that aren't stop words, are not searched, as chance would find them; null items neither. Repeated rows are each judged, so equal rows give equal
+    Null texts and ids: a null text has no passage, a null id stays. Items of fewer than MIN_WORDS words
+    are not searched, as chance would find them; null items neither. Where a part has fewer than ENOUGH_TERMS terms,
+    as in an item that many documents hold, its words are searched without the latent space; cosine is null for what
+    only they find. Repeated rows are each judged, so equal rows give equal
     results. An empty benchmark or empty docs: no rows. The benchmark is read in blocks of ITEM_BLOCK items.
     """
     source = docs.select(F.col(id_col).alias("id"), "text").where("text is not null")
