@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -117,6 +118,22 @@ def test_decontamination_of_a_frequent_item(spark):
     assert {i for i, k in found if k == 1} == {i for i in range(900) if i % 3 == 0}
 
 
+def test_decontamination_of_paraphrases(spark):
+    one = [f"a{k}" for k in range(30)]
+    many = ["First", "comes", "little.", *(f"b{k}" for k in range(24))]
+    items = spark.createDataFrame([(1, " ".join(one) + "."), (2, " ".join(many) + ".")], "item_id long, text string")
+
+    def reworded(words, last):  # every third word replaced, but for the last ones
+        return " ".join(w if k % 3 or k >= len(words) - last else f"other{k}" for k, w in enumerate(words))
+
+    rows = [(i, f"x{i} y{i} " + reworded(w, last) + f" z{i}") for i, (w, last) in enumerate([(one, 8), (many, 8), (one, 0), (many, 0)])]
+    # Texts with a few of the words each, in no order, span the latent space.
+    rows += [(i, " ".join(random.Random(i).sample(one + many, 6))) for i in range(10, 310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Reworded items count with their last words only.
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == {(0, 1), (1, 2)}
+
+
 def test_line_dedup(spark, odd, none):
     line = "one two three four five six seven"
     docs = spark.createDataFrame([(i, f"{line}\nown {i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
