@@ -134,6 +134,15 @@ def test_decontamination_of_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == {(0, 1), (1, 2)}
 
 
+def test_groups_and_leaks_of_null_and_repeated_ids(spark):
+    a, b, clean, item = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " z"), (None, b), (None, b + " z"), (7, clean), (7, clean + " z"), (7, item), (8, item + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text.split()[0]) for r in jaccard_join.keep_one(docs).collect()) == [(0, "a0"), (0, "b0"), (7, "c0"), (7, "d0")]
+    kept = decontaminate.drop_leaks(docs, spark.createDataFrame([(1, item), (2, a)], "item_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == sorted([b, b + " z", clean, clean + " z"])
+
+
 def test_line_dedup(spark, odd, none):
     line = "one two three four five six seven"
     docs = spark.createDataFrame([(i, f"{line}\nown {i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -205,12 +206,12 @@ def longest_run(answer: list[int], window: list[int]) -> int:
 
 
 def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
-    """id, item_id, cosine, lcs for the items of one block."""
+    """id, text_key (SHA-256 of the text), item, cosine, lcs for the items of one block."""
     benchmark = Benchmark(items)
     used = [k for k, w in enumerate(benchmark.words) if len(w) >= MIN_WORDS]
-    schema = f"id {type_of(docs, 'id')}, item bigint, cosine double, lcs double"
+    schema = f"id {type_of(docs, 'id')}, text_key binary, item bigint, cosine double, lcs double"
     if not used:
-        return docs.select("id", F.lit(0).cast("long").alias("item"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs")).limit(0)
+        return docs.select("id", F.lit(b"").alias("text_key"), F.lit(0).cast("long").alias("item"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs")).limit(0)
     idf, space = latent_space(docs, benchmark)
     # Long items are searched by their parts, so that a part is about as long as what a passage surely holds.
     width = SPAN - STEP
@@ -262,7 +263,7 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
         for rows in batches:
             ids, texts, out = rows.column("id").to_pylist(), rows.column("text").to_pylist(), []
             for part in slices(zip(ids, texts, strict=True), (len(t or "") for t in texts), 500_000):
-                numbered = [(i, benchmark.numbers(t or "")) for i, t in part]
+                numbered, keys = [(i, benchmark.numbers(t or "")) for i, t in part], {}
                 passages = Passages([n for _, n in numbered], idf > 0, STEP)
                 found, vectors = latent(passages, idf, space, MIN_TERMS)
                 edges = np.searchsorted(passages.passage, [found, found + 1]).T.tolist()
@@ -288,14 +289,23 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
                     lcs = judge(numbered[d][1], k, at)
                     if lcs is not None and lcs > best.get((d, k), (0.0, None))[0]:
                         best[d, k] = (lcs, None)
-                out += [(numbered[d][0], benchmark.ids[k], c, s) for (d, k), (s, c) in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], rows.schema.field("id").type), *(pa.array([r[i] for r in out], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], ["id", "item", "cosine", "lcs"])
+                for d, _ in best:
+                    keys[d] = keys.get(d) or hashlib.sha256((part[d][1] or "").encode("utf-8", "replace")).digest()
+                out += [(numbered[d][0], keys[d], benchmark.ids[k], c, s) for (d, k), (s, c) in best.items()]
+            types = (rows.schema.field("id").type, pa.binary(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["id", "text_key", "item", "cosine", "lcs"])
 
     return docs.mapInArrow(run, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """Documents that hold benchmark items, word for word or paraphrased: id, item_id, cosine, lcs, one row for each pair.
+    """Documents that hold benchmark items: id, item_id, cosine, lcs, one row for each pair; see keyed_leaks()."""
+    return keyed_leaks(docs, benchmark, id_col, item_col).drop("text_key")
+
+
+def keyed_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """Documents that hold benchmark items, word for word or paraphrased: id, text_key, item_id, cosine, lcs, one row
+    for each pair. text_key is the SHA-256 of the text, as ids may repeat or be null.
 
     Every passage of every whole text is projected into the latent space and compared with all items (a stated query
     set); candidates are confirmed where the longest common subsequence with the item has MIN_LCS of its words close
@@ -315,10 +325,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", it
     for block in range(n_blocks):
         found = search_block(source, sorted((r[0], r[1]) for r in blocked.where(F.col("block") == block).collect()), id_col)
         out = found if out is None else out.unionByName(found)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("cosine", 6).alias("cosine"), F.round("lcs", 6).alias("lcs"))
+    return out.select(F.col("id").alias(id_col), "text_key", F.col("item").alias(item_col), F.round("cosine", 6).alias("cosine"), F.round("lcs", 6).alias("lcs"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item; columns stay. An id that a leaking row has goes with all its rows."""
-    leaks = find_leaks(docs, benchmark, id_col).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_id"]), "left_anti").select(*docs.columns)
+    """The documents that hold no item; columns stay. Rows are told by id and text, so null and repeated ids take no other row with them."""
+    leaks = keyed_leaks(docs, benchmark, id_col).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    return keyed.join(leaks, keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_text_key"] == F.col("_key")), "left_anti").select(*docs.columns)

@@ -183,7 +183,12 @@ def verify(blocks: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: id, text_key, class_id, n_copies, n_links.
+    """One row for each row of docs: id, text_key, class_id, n_copies, n_links; see labelled()."""
+    return labelled(docs, similarity, recall, id_col).drop("label")
+
+
+def labelled(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: id, text_key, class_id, n_copies, n_links, label.
 
     Texts with the same set of five-word shingles are copies. Sets whose signature prefixes meet in a tree are put in
     one cluster; within a cluster all pairs of sets are compared exactly, larger clusters in pairs of blocks that are
@@ -192,7 +197,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     (copies included). A link at the threshold is missed with probability 1 - recall at most.
 
     Null or wordless texts have no links; each is its own class. A null id stays null, and a class of null ids only has
-    a null class_id. Repeated rows are copies of each other. Other columns aren't read. No rows: no rows.
+    a null class_id; ids may repeat, so classes are told apart by label, which is null without words only. Repeated rows are copies of each other. Other columns aren't read. No rows: no rows.
     """
     depth = depth_for(recall, similarity)
     source = docs.select(F.col(id_col).alias("id"), "text")
@@ -217,26 +222,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     classes = groups.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classes = groups.join(classes, "label").select("node", "class_id")
+    classes = groups.join(classes, "label").select("node", "label", "class_id")
     about = nodes.select("node", "copies", "first_id").join(classes, "node", "left").join(links, "node", "left")
-    about = materialise(about.select("node", "copies", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    about = materialise(about.select("node", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     return signed.select("id", "text_key", "node").join(about, "node", "left").select(
         F.col("id").alias(id_col), "text_key", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), "label",
     )
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group of near-duplicates: the one with the class's id. Columns stay as they are.
+    """One document of each group of near-duplicates: the one with its least id, of these the least text; a null id
+    counts as the greatest. Columns stay as they are.
 
     Where rows repeat an id and a text, one of them stays, so wordless rows stay unless they repeat both.
     """
-    found = materialise(near_duplicates(docs, similarity, id_col=id_col), "near-duplicates")
+    found = materialise(labelled(docs, similarity, id_col=id_col), "near-duplicates")
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    # The least text of those that share the class's id; a class of null ids keeps one text too.
-    of_class = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("n_copies") + F.col("n_links") > 1)
     alone = found.where("n_copies = 1 and n_links = 0").select(id_col, "text_key")
-    chosen = found.where(of_class).groupBy(F.col("class_id").alias(id_col)).agg(F.min("text_key").alias("text_key"))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_key"))
+    # Classes may share class_id, as null and repeated ids do, but not the label. Only rows with the class's id can be least.
+    of_class = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("n_copies") + F.col("n_links") > 1)
+    chosen = found.where(of_class).groupBy("label").agg(least.alias("least")).select(F.col("least.id").alias(id_col), "least.text_key")
     keep = alone.unionByName(chosen).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
     kept = docs.withColumn("_text_key", key)
     kept = kept.join(keep.distinct(), kept[id_col].eqNullSafe(F.col("_id")) & (kept["_text_key"] == F.col("_key")), "left_semi")
