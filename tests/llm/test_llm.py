@@ -10,6 +10,7 @@ import tiktoken
 import tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trailmark.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, lm, quality, token_counts, token_output, url_filters
 from trailmark.llm.common import scratch
 
@@ -152,6 +153,20 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_stage_leaves_copies_to_the_next_one(spark):
+    notice = "This page is published under the free license of its authors."
+    lines = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(10)]
+    whole = "\n".join([*lines, "end."])
+    # Copies over six sites, with a notice that the original lacks; near copies with one line edited; own texts with it.
+    rows = [(0, f"{notice}\nfirst of all, with many more words of its own in this line than the notice above has in its line"), (1, whole), *((i, f"{notice}\n{whole}") for i in range(2, 7)),
+            *((i, "\n".join([*lines[:9], f"edited {i} {lines[9]}", "end."])) for i in range(7, 12)), *((i, f"{notice}\nown words of document {i} that no other one has") for i in range(12, 18))]
+    docs = spark.createDataFrame([(i, t, f"s{i % 6}", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    cut = corpus_pipeline.line_dedup_stage(spark, docs, SF)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, cut, SF).collect()}
+    assert sorted(kept) == [0, 1, *range(12, 18)]
+    assert kept[1] == whole and all(notice not in kept[i] for i in range(12, 18))
+
+
 def test_quality(spark, odd, none):
     assert quality.judge_quality(odd, {}).where("n_words < 50 and kept").count() == 0
     words = "a b c d a b c x"

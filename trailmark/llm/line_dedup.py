@@ -25,9 +25,14 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(normal_line(line))
 
 
+def n_words(line: Column) -> Column:
+    """Runs of other than spaces; 1 for a line without."""
+    return F.size(F.split(normal_line(line), " +"))
+
+
 def long_enough(line: Column, min_words: int) -> Column:
     """Whether the line has so many words: runs of other than spaces."""
-    return F.size(F.split(normal_line(line), " +")) >= min_words
+    return n_words(line) >= min_words
 
 
 def text_key(text: Column) -> Column:
@@ -37,7 +42,7 @@ def text_key(text: Column) -> Column:
 def boilerplate_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(lines, boilerplate): a narrow table of the long lines, and the keys of those that spread.
 
-    lines: text_key, line_key, site, id; one row for each long line of each text. boilerplate: line_key, sites, first_id
+    lines: text_key, line_key, site, id, words; one row for each long line of each text. boilerplate: line_key, sites, first_id
     (the least id that has it). Lines seen fewer than min_sites times are left out before any sketch is made, as they
     can't have as many sites. Then sketches merge by aggregation, partly before the shuffle, so a line that a third of
     all documents share costs each task one row. Null sites count for none.
@@ -45,7 +50,7 @@ def boilerplate_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_sites: in
     lines = docs.where("text is not null").select(
         text_key(F.col("text")).alias("text_key"), F.col(site_col).cast("string").alias("site"), F.col(id_col).alias("id"), F.explode(F.split("text", "\n")).alias("line"),
     )
-    lines = materialise(lines.where(long_enough(F.col("line"), min_words)).select("text_key", line_key(F.col("line")).alias("line_key"), "site", "id"), "lines")
+    lines = materialise(lines.where(long_enough(F.col("line"), min_words)).select("text_key", line_key(F.col("line")).alias("line_key"), "site", "id", n_words(F.col("line")).alias("words")), "lines")
     often = lines.groupBy("line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line_key")
     repeated = materialise(lines.join(often, "line_key", "left_semi").select("line_key", "site", "id"), "repeated-lines")
     sketched = repeated.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("estimate"), F.min("id").alias("first_id"))
@@ -57,29 +62,57 @@ def boilerplate_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_sites: in
     return lines, judged.where(F.col("sites") >= min_sites).select("line_key", "sites", "first_id")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
+def cut_of_copies(lines: DataFrame, spread: DataFrame, is_cut: Column) -> DataFrame:
+    """text_key, id, cut_lines, copied, copied_words: also those lines of each text that the one first document keeps with
+    which it shares most words, and their words, where these are half of the words of that document's long lines at least."""
+    own = lines.join(spread.select(F.col("first_id").alias("id")).where("id is not null").distinct(), "id", "left_semi")
+    own = own.groupBy("id", "text_key", "line_key").agg(F.max("words").alias("words")).groupBy("id", "text_key").agg(F.sum("words").alias("words"))
+    own = own.groupBy(F.col("id").alias("first_id")).agg(F.min("words").alias("first_words"))
+    found = lines.join(spread, "line_key").where(is_cut).groupBy("text_key", "id", "first_id").agg(F.collect_set(F.struct("line_key", "words")).alias("shared"))
+    shared = found.withColumn("n", F.aggregate("shared", F.lit(0), lambda n, x: n + x["words"])).join(own, "first_id", "left")
+    keys = F.transform("shared", lambda x: x["line_key"])
+    best = F.max(F.when(2 * F.col("n") >= F.col("first_words"), F.struct("n", "first_id", keys.alias("keys"))))
+    made = shared.groupBy("text_key", "id").agg(F.array_distinct(F.flatten(F.collect_list(keys))).alias("cut_lines"), best.alias("best"))
+    return made.select("text_key", "id", "cut_lines", F.coalesce("best.keys", F.array().cast("array<bigint>")).alias("copied"), F.coalesce("best.n", F.lit(0)).alias("copied_words"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
     """Remove lines that at least min_sites distinct sites share, but for the document with the least id that has them.
 
     Returns all rows and columns of docs with the text cut, and n_lines and n_removed (long). Lines are what \\n parts;
     they are compared without outer spaces; shorter ones than min_words words stay. The first document keeps its copies,
     so that content that is copied across sites is not lost everywhere; where all ids are null, none does. Null texts
     stay null with 0 lines; an empty text has one line. Repeated rows are treated alike. No rows: no rows.
+
+    spare_copies leaves copies comparable with their originals: where the lines that one first document keeps are half of
+    the words of a text's long lines and of its own, the text keeps them too; and a text that would lose all its long
+    lines, but not all its text, stays whole. Which of these are near duplicates is for others to judge.
     """
     source = docs.select(F.col(id_col).alias(id_col), F.col(site_col).alias(site_col), F.col(text_col).alias("text"))
     lines, spread = boilerplate_lines(source, min_words, min_sites, id_col, site_col)
-    hit = materialise(
-        lines.join(spread, "line_key").groupBy("text_key", "id").agg(
-            F.collect_set(F.when(~F.col("id").eqNullSafe(F.col("first_id")) | F.col("id").isNull(), F.col("line_key"))).alias("cut_lines")
-        ).where(F.size("cut_lines") > 0), "texts-to-cut",
-    )
+    is_cut = ~F.col("id").eqNullSafe(F.col("first_id")) | F.col("id").isNull()
+    if spare_copies:
+        hit = materialise(cut_of_copies(lines, spread, is_cut), "texts-to-cut")
+    else:
+        hit = materialise(lines.join(spread, "line_key").groupBy("text_key", "id").agg(F.collect_set(F.when(is_cut, F.col("line_key"))).alias("cut_lines")).where(F.size("cut_lines") > 0), "texts-to-cut")
     # As lines are cut alike wherever id and text are the same, these two identify what to change.
-    hit = hit.select(F.col("text_key").alias("_text_key"), F.xxhash64("id").alias("_id_key"), "cut_lines")
+    hit = hit.select(F.col("text_key").alias("_text_key"), F.xxhash64("id").alias("_id_key"), "cut_lines", *(["copied", "copied_words"] if spare_copies else []))
     if small_enough(hit, BROADCAST_ROWS):
         hit = F.broadcast(hit)
     keyed = docs.withColumn("_text_key", text_key(F.col(text_col))).withColumn("_id_key", F.xxhash64(id_col))
     joined = keyed.join(hit, ["_text_key", "_id_key"], "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda x: ~(F.array_contains("cut_lines", line_key(x)) & long_enough(x, min_words)))
+
+    def without(cut: Column) -> Column:
+        return F.filter(parts, lambda x: ~(F.array_contains(cut, line_key(x)) & long_enough(x, min_words)))
+
+    kept = without(F.col("cut_lines"))
+    if spare_copies:
+        long_lines = F.array_distinct(F.transform(F.filter(parts, lambda x: long_enough(x, min_words)), normal_line))
+        all_words = F.aggregate(long_lines, F.lit(0), lambda n, x: n + n_words(x))
+        is_copy, blank = 2 * F.col("copied_words") >= all_words, F.trim(F.array_join(kept, "\n")) == ""
+        bare = ~F.exists(kept, lambda x: long_enough(x, min_words))
+        kept = F.when(blank, kept).when(is_copy, without(F.array_except("cut_lines", "copied"))).when(bare, parts).otherwise(kept)
     joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
     joined = joined.withColumn("_kept", F.when(F.col("cut_lines").isNotNull(), kept))
     joined = joined.withColumn("n_removed", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
