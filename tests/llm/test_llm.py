@@ -199,3 +199,22 @@ def test_lm(spark, odd, none):
     found = lm.score_texts(docs, F.col("doc_id") % 2 == 0, path, public_tokenizers.PATTERN).collect()
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 4)) for r in found) == want
     assert all(r.score < 0 for r in found)
+
+
+def test_lm_weights_learn_from_all_windows(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(["one", "two", "three", "four"], k=60)) if i < 60 else "five six seven " * 20 + str(i)) for i in range(120)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "FIT_DOCS", 1)
+    monkeypatch.setattr(lm, "FIT_WINDOWS", 1)
+    places = []
+    original = lm.fit_on_all
+
+    def watched(training, shared, weights, *rest):
+        out = original(training, shared, weights, *rest)
+        places.append(any((out[k] != weights[k]).any() for k in weights))
+        return out
+
+    monkeypatch.setattr(lm, "fit_on_all", watched)
+    monkeypatch.setattr(lm, "SHARD", 100)
+    found = lm.score_texts(docs, F.col("doc_id") % 10 == 0, path, public_tokenizers.PATTERN).collect()
+    assert places == [True] and len(found) == 120 and all(r.score < 0 for r in found)
