@@ -7,6 +7,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,31 +15,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import slices, type_of
-from trailmark.llm.tokens import ChunkCache, read_ranks, space_chunks
+from trailmark.llm.tokens import LETTER, MARK, PLAIN, SPLIT, ChunkCache, read_ranks, space_chunks
 
 #: Words of one recursive query, and the longest word (in bytes) that one may hold: a query keeps every step of its
 #: words, which for a longer word would grow as the square of its length. Such words are contracted with a heap.
-WORDS_A_QUERY, LONGEST_WORD = 30_000, 255
+WORDS_A_QUERY, LONGEST_WORD = 40_000, 255
+#: Characters of texts whose words are contracted together; a longer text is alone.
+SLICE = 4_000_000
 #: Contracted words that a worker keeps.
-WORDS_KEPT = 900_000
-#: Fixed: Latin letters and ASCII digits, for which Python's re gives what the pattern's \p classes give.
-_PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*")
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+WORDS_KEPT = 400_000
+#: The pattern's pieces of plain chunks that are joined by MARK, by Python's re.
+_PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+|{MARK}| ?[^\s{LETTER}0-9{MARK}]+|[^\S{MARK}]+(?=[{MARK}]|$)|[^\S{MARK}]+(?!\S)|[^\S{MARK}]+")
 
+#: A row is a token of a word with the token after it. Each round joins these pairs with the merge table, takes the pair
+#: of least rank, leftmost first, of each word (its rank, place and its partner's place in one number) and puts the
+#: merged token in its place. A word is done in the round after which it has no pair left.
 CONTRACT = """
-WITH RECURSIVE step(round, word, pos, tok) AS (
-    SELECT 0, word, pos, tok FROM start
+WITH RECURSIVE step(round, word, pos, tok, next_pos, next_tok) AS (
+    SELECT 0, word, pos, tok, next_pos, next_tok FROM start
     UNION ALL
-    (WITH pairs AS (
-        SELECT round, word, pos, tok, lead(pos) OVER w AS next_pos, lead(tok) OVER w AS next_tok FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), best AS (  -- the pair of least rank, leftmost first: rank, its place and its partner's in one number
-        SELECT word, min(rank::BIGINT * 65536 + pos * 256 + next_pos) AS least FROM pairs JOIN merges ON tok = a AND next_tok = b GROUP BY word
+    (WITH best AS (
+        SELECT word, min(rank::BIGINT * 65536 + pos * 256 + next_pos) AS least FROM step JOIN merges ON tok = a AND next_tok = b GROUP BY word
+    ), pair AS (
+        SELECT word, (least // 65536)::INT AS merged, (least // 256 % 256)::INT AS kept, (least % 256)::INT AS gone, next_pos AS after_pos, next_tok AS after_tok
+        FROM step JOIN best USING (word) WHERE pos = least % 256
     )
-    SELECT round + 1, word, pos, CASE WHEN pos = least // 256 % 256 THEN (least // 65536)::INT ELSE tok END
-    FROM pairs JOIN best USING (word) WHERE pos <> least % 256)
+    SELECT round + 1, word, pos, CASE WHEN pos = kept THEN merged ELSE tok END, CASE WHEN pos = kept THEN after_pos ELSE next_pos END,
+           CASE WHEN pos = kept THEN after_tok WHEN next_pos = kept THEN merged ELSE next_tok END
+    FROM step JOIN pair USING (word) WHERE pos <> gone)
 ), done AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT word, count(*) AS n, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
+SELECT word, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
 FROM step JOIN done USING (word, round) JOIN vocabulary ON tok = rank GROUP BY word
 """
 
@@ -73,7 +79,7 @@ def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class RankEncoder:
-    """Encodes distinct words with DuckDB; gives (number of ids, ids joined by spaces, decoded bytes) for each chunk."""
+    """Encodes distinct words with DuckDB; gives (ids joined by spaces, decoded bytes) for each chunk."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -82,53 +88,85 @@ class RankEncoder:
         self.ranks, merges, vocabulary = merge_tables(path)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pattern, self.words = regex.compile(pattern), {}
+        self.pattern, self.known_pattern, self.words = regex.compile(pattern), pattern == SPLIT, {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
         self.db.register("merges_given", merges)
         self.db.register("vocabulary_given", vocabulary)
         self.db.execute("CREATE TABLE merges AS FROM merges_given")
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary_given")
 
-    def pieces(self, text: str) -> list[str]:
-        return (_PLAIN_PATTERN if _PLAIN.fullmatch(text) else self.pattern).findall(text)
+    def parted(self, text: str) -> list[str]:
+        """Chunks that the pattern treats alone; where its matches could reach across spaces, the matches themselves."""
+        chunks = space_chunks(text) if self.known_pattern else None
+        return self.pattern.findall(text) if chunks is None else chunks
 
-    def contract(self, words: list[bytes]) -> Iterator[tuple[int, int, str, str]]:
-        """Place, number of ids, ids joined by spaces and decoded bytes in hex, of each word."""
+    def pieces(self, chunks: list[str]) -> list[list[str]]:
+        """The pattern's matches in each chunk."""
+        if not self.known_pattern or not PLAIN.fullmatch("".join(chunks)):
+            return [_pieces_alone(c) if self.known_pattern and PLAIN.fullmatch(c) else self.pattern.findall(c) for c in chunks]
+        return _pieces_of(chunks)
+
+    def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, str]]:
+        """Place, ids joined by spaces and decoded bytes in hex, of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
         place = np.repeat(np.arange(len(words)), sizes)
-        pos = np.arange(sizes.sum()) - (np.cumsum(sizes) - sizes)[place]
-        start = pa.table([place.astype(np.int32), pos.astype(np.int32), self.single[np.frombuffer(b"".join(words), np.uint8)]], ["word", "pos", "tok"])
+        pos, tok = np.arange(ends[-1]) - (ends - sizes)[place], self.single[np.frombuffer(b"".join(words), np.uint8)]
+        last = np.zeros(len(tok), bool)
+        last[ends - 1] = True
+        after = [pa.array((pos + 1).astype(np.int32), mask=last), pa.array(np.roll(tok, -1), mask=last)]
+        start = pa.table([place.astype(np.int32), pos.astype(np.int32), tok, *after], ["word", "pos", "tok", "next_pos", "next_tok"])
         self.db.register("start", start)
         found = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
         return zip(*(c.to_pylist() for c in found.columns), strict=True)
 
-    def chunks(self, chunks: list[str]) -> dict[str, tuple[int, str, bytes]]:
+    def chunks(self, chunks: list[str]) -> dict[str, tuple[str, bytes]]:
         if len(self.words) > WORDS_KEPT:
             self.words = {}
-        known, parted = self.words, [self.pieces(c) for c in chunks]
-        new = list({p for ps in parted for p in ps if p not in known})
+        known, parted = self.words, self.pieces(chunks)
+        new = list({*chain.from_iterable(parted)}.difference(known))
         data = [p.encode("utf-8", "replace") for p in new]
         short = []
         for p, b in zip(new, data, strict=True):
-            if b in self.ranks:  # a word that is a token is not contracted
-                known[p] = (1, str(self.ranks[b]), self.bytes_of[self.ranks[b]])
+            if b in self.ranks:  # a word that is a token has its id without contraction, as the library gives it
+                known[p] = (str(self.ranks[b]), self.bytes_of[self.ranks[b]])
             elif len(b) > LONGEST_WORD:
                 ids = contract_long(b, self.ranks)
-                known[p] = (len(ids), " ".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids))
+                known[p] = (" ".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids))
             else:
                 short.append((p, b))
+        short.sort(key=lambda x: len(x[1]))  # words of one query need about as many rounds
         for at in range(0, len(short), WORDS_A_QUERY):
             part = short[at : at + WORDS_A_QUERY]
-            for word, n, ids, decoded in self.contract([b for _, b in part]) if part else ():
-                known[part[word][0]] = (n, ids, bytes.fromhex(decoded))
+            for word, ids, decoded in self.contract([b for _, b in part]):
+                known[part[word][0]] = (ids, bytes.fromhex(decoded))
         out = {}
         for c, ps in zip(chunks, parted, strict=True):
-            got = [known[p] for p in ps]
-            out[c] = got[0] if len(got) == 1 else (sum(g[0] for g in got), " ".join([g[1] for g in got]), b"".join([g[2] for g in got]))
+            if len(ps) == 1:
+                out[c] = known[ps[0]]
+            else:
+                got = [known[p] for p in ps]
+                out[c] = (" ".join([g[0] for g in got]), b"".join([g[1] for g in got]))
         return out
 
 
+def _pieces_of(chunks: list[str]) -> list[list[str]]:
+    """The fixed pattern's matches in plain chunks, cut in one pass over all of them."""
+    out, part = [], []
+    for piece in _PLAIN_PIECES.findall(MARK.join(chunks)):
+        if piece == MARK:
+            out.append(part)
+            part = []
+        else:
+            part.append(piece)
+    return [*out, part]
+
+
+def _pieces_alone(chunk: str) -> list[str]:
+    return _pieces_of([chunk])[0]
+
+
 @cache
 def worker_ranks(path: str, pattern: str) -> tuple[RankEncoder, ChunkCache]:
     """One encoder with its bounded caches for each Python worker, which runs one task after another."""
@@ -148,15 +186,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         encoder, cache = worker_ranks(ranks_path, pattern)
         for rows in parts:
             texts, out = rows.column("text").to_pylist(), []
-            for part in slices(texts, (len(t or "") for t in texts)):
-                # Where spaces are no safe place to cut, the pattern runs over the whole text.
-                chunked = [[] if not t else c if (c := space_chunks(t)) is not None else encoder.pieces(t) for t in part]
+            for part in slices(texts, (len(t or "") for t in texts), SLICE):
+                chunked = [[c for c in encoder.parted(t) if c] if t else [] for t in part]
                 known = cache.get(chunked)
                 for chunks in chunked:
-                    got = [g for g in map(known.__getitem__, chunks) if g[0]]
-                    ids = " ".join([g[1] for g in got])
-                    digest = hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()
-                    out.append((sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), digest, *([[int(x) for x in ids.split()]] if with_ids else ())))
+                    got = list(map(known.__getitem__, chunks))
+                    ids = " ".join([g[0] for g in got])
+                    digest = hashlib.sha256(b"".join([g[1] for g in got])).hexdigest()
+                    out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), digest, *([[int(x) for x in ids.split()]] if with_ids else ())))
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
             columns = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids]
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([r[i] for r in out], types[i]) for i in range(len(columns)))], ["id", *columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,13 @@ ORC_OPTIONS = {
 }
 
 
+@cache
+def worker_encoder(path: str) -> tuple[WordEncoder, ChunkCache]:
+    """One encoder with its bounded caches for each Python worker, which runs one task after another."""
+    encoder = WordEncoder(path)
+    return encoder, ChunkCache(encoder.chunks)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id") -> None:
     """Encode every whole text and write ORC files whose rows ascend by document id from file to file.
 
@@ -35,17 +43,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
-        cache, start, row, end = ChunkCache(encoder.chunks), 0, 0, encoder.pack([END_ID])
+        encoder, kept = worker_encoder(tokenizer_path)
+        start, row, end = 0, 0, encoder.pack([END_ID])
         for rows in parts:
             texts, at = rows.column("text").to_pylist(), 0
             for part in slices(texts, map(len, texts)):
                 chunked = [t.split(" ") for t in part]
-                known = cache.get(chunked)
+                known = kept.get(chunked)
                 packed = []
                 for t, c in zip(part, chunked, strict=True):
-                    found = [known[x] for x in c]
-                    packed.append((encoder.whole([t])[0] if None in found else b"".join(found)) + end)
+                    try:
+                        packed.append(b"".join(map(known.__getitem__, c)) + end)
+                    except TypeError:  # a chunk that isn't plain: None
+                        packed.append(encoder.whole([t])[0] + end)
                 sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 from collections.abc import Callable
@@ -15,6 +16,13 @@ KEPT, LONGEST = 250_000, 100
 PIECES_KEPT = 700_000
 
 
+#: Fixed: Latin letters, ASCII digits and common punctuation, for which Python's classes and the libraries' agree.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[\\t\\n\\r -~{LETTER}¡¿«»–—‘’“”…€]*")
+#: Joins plain chunks, so that one pass cuts many; it is a piece of its own.
+MARK = "\x02"
+
+
 class ChunkCache:
     """Encodings of chunks. `encode` gets the list of distinct chunks that are new and gives a dict."""
 
@@ -34,6 +42,8 @@ class ChunkCache:
 
 # --- byte-level ranks ---------------------------------------------------------------------------------------------
 
+#: Fixed: the split pattern whose matches never reach across a space after a character that isn't white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space after white space and before white space or the end: there, cutting at spaces would part a run.
 _PARTED_RUN = re.compile(r"\s (?!\S)")
 
@@ -72,10 +82,15 @@ def piece_chunks(text: str) -> list[str] | None:
 
 # --- word-end BPE -------------------------------------------------------------------------------------------------
 
-#: Characters for which Python's classes and the library's agree: ASCII without controls, Latin-1 letters, common punctuation.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"[\\t\\n\\r -~{_LETTER}¡¿«»–—‘’“”…€]*")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+#: Fixed: how a tokenizer file says that it drops white space, lower-cases, cuts at these pieces and marks word ends.
+#: Only such a file's texts are encoded by chunks; for any other, texts go to the library whole.
+WORD_END_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pieces": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "suffix": "</w>",
+}
+#: The word-end vocabularies' pieces of plain chunks that are joined by MARK.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|{MARK}|[^\\s{LETTER}0-9{MARK}]+")
 
 
 @cache
@@ -93,11 +108,24 @@ def word_tokenizer(path: str):
     return tokenizers.Tokenizer.from_file(path)
 
 
+def has_word_end_rules(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    cutter = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model, added = told["model"], told.get("added_tokens") or []
+    return (
+        told.get("normalizer") == WORD_END_RULES["normalizer"] and cutter[0].get("pattern") == {"Regex": WORD_END_RULES["pieces"]} and cutter[0].get("behavior") == "Removed"
+        and [c.get("type") for c in cutter[1:]] == ["ByteLevel"] and not cutter[1].get("add_prefix_space") and not cutter[1].get("use_regex") and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == WORD_END_RULES["suffix"] and not model.get("dropout") and not model.get("ignore_merges") and all(t["content"].startswith("<|") for t in added)
+    )
+
+
 class WordEncoder:
     """Ids by the tokenizers library as little-endian 32-bit words; None for chunks whose text must go to it whole."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.pieces = word_tokenizer(path), {}
+        self.tokenizer, self.pieces, self.by_chunks = word_tokenizer(path), {}, has_word_end_rules(path)
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -105,21 +133,34 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else "".join(byte_letters()[b] for b in piece.encode())
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(letters)])
+    def plain(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks of plain characters; their pieces are cut in one pass, and each new one is contracted once."""
+        flat = _PIECES.findall(MARK.join(chunks).lower())
+        known, tokenize = self.pieces, self.tokenizer.model.tokenize
+        for p in {*flat}.difference(known):
+            letters = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in tokenize(letters)]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        known[MARK] = None
+        out, part = [], []
+        for packed in map(known.__getitem__, flat):
+            if packed is None:
+                out.append(part[0] if len(part) == 1 else b"".join(part))
+                part = []
+            else:
+                part.append(packed)
+        return [*out, b"".join(part)]
 
     def chunks(self, chunks: list[str]) -> dict[str, bytes | None]:
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
-        out, known = {}, self.pieces
-        for chunk in chunks:
-            if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-                out[chunk] = None
-                continue
-            parts = _PIECES.findall(chunk.lower())
-            for p in parts:
-                if p not in known:
-                    known[p] = self.piece(p)
-            out[chunk] = b"".join([known[p] for p in parts])
+        if not self.by_chunks:
+            return dict.fromkeys(chunks)
+        joined = "".join(chunks)
+        if PLAIN.fullmatch(joined) and "<|" not in joined:
+            return dict(zip(chunks, self.plain(chunks), strict=True))
+        out: dict[str, bytes | None] = dict.fromkeys(chunks)
+        plain = [c for c in chunks if "<|" not in c and PLAIN.fullmatch(c)]
+        if plain:
+            out.update(zip(plain, self.plain(plain), strict=True))
         return out
