@@ -15,10 +15,11 @@ from trailmark.llm.common import materialise, table, type_of
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter, and null texts, go."""
+    """Documents in one of the languages of documents: those without a letter or far from every prototype go, as do null texts."""
     profiles = langid.fit_profiles(langid.training_rows(docs))
-    # The prediction travels with its row, so that repeated and null ids need no join.
-    return langid.with_language(docs, profiles).where("lang_pred <> 'und'").select(*docs.columns)
+    # The verdict travels with its row, so that repeated and null ids need no join, and beside it, so that no name clashes.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return langid.with_language(rows, profiles).where(~langid.is_rejected(F.col("language"))).select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import slices, type_of
+from trailmark.llm.common import map_batches, slices, type_of
 
 #: Words of a passage and the step between passages: every run of SPAN - STEP words lies whole in one of them.
 SPAN, STEP = 64, 32
@@ -122,7 +122,7 @@ def summed(docs: DataFrame, benchmark: Benchmark, terms: np.ndarray, columns: in
         offsets = pa.array(np.arange(len(used) + 1) * columns, pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(total[used].ravel()))], ["row", "part"])
 
-    sums = docs.select("text").mapInArrow(run, "row int, part array<double>")
+    sums = map_batches(docs.select("text"), run, "row int, part array<double>")
     sums = sums.groupBy("row").agg(*[F.sum(F.col("part")[k]).alias(f"c{k}") for k in range(columns)])
     out = np.zeros((benchmark.size, columns))
     for row, *values in sums.collect():
@@ -295,7 +295,7 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
             types = (rows.schema.field("id").type, pa.binary(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["id", "text_key", "item", "cosine", "lcs"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:

@@ -8,18 +8,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trailmark.llm.common import crc_mod, slices
+from trailmark.llm.common import crc_mod, map_batches, slices, small_batches
 
 DIMENSIONS = 512
 SEED = 20_240_501
+#: A text of so many letter trigrams and a smaller cosine to every prototype is in none of the languages: prototypes of
+#: different languages have cosines up to 0.19, texts of fifty trigrams 0.2 or more with their own language's.
+MIN_TRIGRAMS, MIN_SCORE = 50, 0.2
 #: Characters of each text piece that is counted at once; a longer text is summed over its pieces.
 PIECE = 1_000_000
-#: Trigram vectors that a worker keeps; the others are bound again when they come up.
-KEPT = 40_000
+#: Texts, and trigrams, whose counts and vectors are multiplied at once: what a task holds doesn't grow with its texts.
+TEXTS_AT_ONCE, TRIGRAMS_AT_ONCE = 256, 8192
 
 
 @cache
@@ -34,38 +36,28 @@ def letter_vector(code: int) -> np.ndarray:
     return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
 
 
-def trigram_vector(code: int) -> np.ndarray:
+def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     """First letter permuted twice, second once, third as it is; bound by multiplication."""
-    a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
-    return np.roll(letter_vector(a), 2) * np.roll(letter_vector(b), 1) * letter_vector(c)
-
-
-class Binder:
-    """Bundles trigram counts; keeps the vectors of trigrams that have come up, as rows of one matrix."""
-
-    def __init__(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.matrix = np.empty((1024, DIMENSIONS), np.float32)
-
-    def bundle(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """One vector for each (trigrams, counts)."""
-        codes = np.unique(np.concatenate([c for c, _ in counted])) if counted else np.empty(0, np.int64)
-        if len(self.rows) + len(codes) > KEPT:
-            self.rows = {}
-        for code in codes.tolist():
-            if code not in self.rows:
-                if len(self.rows) == len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
-                self.matrix[len(self.rows)] = trigram_vector(code)
-                self.rows[code] = len(self.rows)
-        where = np.fromiter((self.rows[c] for c in codes.tolist()), np.int64, len(codes))
-        out = np.zeros((len(counted), DIMENSIONS), np.float32)
-        dense = np.zeros((len(counted), len(codes)), np.float32)
+    bound = None
+    for turns, letters in ((2, codes >> 42), (1, codes >> 21 & 0x1FFFFF), (0, codes & 0x1FFFFF)):
+        distinct, which = np.unique(letters, return_inverse=True)
+        vectors = np.roll(np.stack([letter_vector(c) for c in distinct.tolist()]), turns, axis=1)[which]
+        bound = vectors if bound is None else bound * vectors
+    return bound
+
+
+def bundle(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum of the trigram vectors, each as often as it is counted, for each (sorted trigrams, counts)."""
+    out = np.zeros((len(counted), DIMENSIONS))
+    codes = np.unique(np.concatenate([c for c, _ in counted])) if counted else np.empty(0, np.int64)
+    for at in range(0, len(codes), TRIGRAMS_AT_ONCE):
+        part = codes[at : at + TRIGRAMS_AT_ONCE]
+        dense = np.zeros((len(counted), len(part)), np.float32)
         for i, (c, n) in enumerate(counted):
-            dense[i, np.searchsorted(codes, c)] = n
-        for at in range(0, len(codes), 4096):
-            out += dense[:, at : at + 4096] @ self.matrix[where[at : at + 4096]]
-        return out
+            low, high = np.searchsorted(c, [part[0], part[-1] + 1])
+            dense[i, np.searchsorted(part, c[low:high])] = n[low:high]
+        out += dense @ trigram_vectors(part).astype(np.float32)
+    return out
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +83,9 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def batches(rows: pa.RecordBatch, *columns: str) -> Iterator[list[tuple]]:
     texts = rows.column("text").to_pylist()
-    yield from slices(zip(texts, *(rows.column(c).to_pylist() for c in columns), strict=True), (len(t or "") for t in texts), 400_000)
+    for part in slices(zip(texts, *(rows.column(c).to_pylist() for c in columns), strict=True), (len(t or "") for t in texts), 400_000):
+        for at in range(0, len(part), TEXTS_AT_ONCE):
+            yield part[at : at + TEXTS_AT_ONCE]
 
 
 def fit_profiles(docs: DataFrame, lang_col: str = "lang") -> dict[str, list[int]]:
@@ -102,7 +96,7 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang") -> dict[str, list[int]
     """
 
     def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        binder, total = Binder(), defaultdict(lambda: np.zeros(DIMENSIONS))
+        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(DIMENSIONS))
         for rows in parts:
             for part in batches(rows, "label"):
                 by = defaultdict(list)
@@ -111,7 +105,7 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang") -> dict[str, list[int]
                 for label, counted in by.items():
                     codes, back = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
                     if len(codes):
-                        total[label] += binder.bundle([(codes, np.bincount(back, np.concatenate([n for _, n in counted])))])[0]
+                        total[label] += bundle([(codes, np.bincount(back, np.concatenate([n for _, n in counted])))])[0]
         labels = list(total)
         yield pa.RecordBatch.from_pydict({
             "label": pa.array([x for x in labels for _ in range(DIMENSIONS)], pa.string()),
@@ -120,40 +114,49 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang") -> dict[str, list[int]
         })
 
     labelled = docs.select("text", F.col(lang_col).cast("string").alias("label")).where("text is not null and label is not null")
-    summed = labelled.mapInArrow(sums, "label string, dim int, value long").groupBy("label", "dim").agg(F.sum("value").alias("value"))
+    summed = map_batches(labelled, sums, "label string, dim int, value long").groupBy("label", "dim").agg(F.sum("value").alias("value"))
     found: dict[str, list[int]] = {}
     for label, dims in summed.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("dims")).collect():
         found[label] = [x.value for x in dims]
     return dict(sorted(found.items()))
 
 
-def with_language(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """All rows and columns of docs (text among them) with lang_pred, score and margin; a column of docs so named gives way."""
+def with_language(docs: DataFrame, profiles: dict[str, list[int]], into: str = "language") -> DataFrame:
+    """All rows and columns of docs (text among them) with a struct `into` of lang_pred, score, margin and n_trigrams.
+
+    Only texts go to Python, and only verdicts come back. A column of docs that is named as `into` gives way.
+    """
     labels = list(profiles)
     prototypes = np.array([profiles[x] for x in labels], np.float64).reshape(len(labels), DIMENSIONS)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
-    docs = docs.drop("lang_pred", "score", "margin")
 
-    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        binder = Binder()
-        for rows in parts:
+    def judge(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
             out = []
-            for part in batches(rows):
+            for part in batches(pa.record_batch([texts], ["text"])):
                 counted = [trigrams(text or "") for (text,) in part]
-                vectors = binder.bundle(counted).astype(np.float64)
+                vectors = bundle(counted)
                 cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                for (codes, _), cosine in zip(counted, np.round(cosines, 9), strict=True):
+                for (codes, counts), cosine in zip(counted, np.round(cosines, 9), strict=True):
                     if not len(codes) or not labels:
-                        out.append(("und", 0.0, 0.0))
+                        out.append(("und", 0.0, 0.0, int(counts.sum())))
                         continue
                     best = int(cosine.argmax())
                     rest = max(np.delete(cosine, best), default=0.0)
-                    out.append((labels[best], min(1.0, max(0.0, float(cosine[best]))), float(cosine[best] - rest)))
-            made = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, "lang_pred", "score", "margin"])
+                    out.append((labels[best], min(1.0, max(0.0, float(cosine[best]))), float(cosine[best] - rest), int(counts.sum())))
+            types = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["lang_pred", "score", "margin", "n_trigrams"])
+
+    # Non-deterministic in name, so that a filter on the verdict doesn't have it computed twice.
+    verdict = F.arrow_udf(judge, "struct<lang_pred:string,score:double,margin:double,n_trigrams:bigint>").asNondeterministic()
+    small_batches(docs.sparkSession)
+    return docs.withColumn(into, verdict("text"))
+
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType())))])
-    return docs.mapInArrow(judge, schema)
+def is_rejected(language: Column) -> Column:
+    """Whether a verdict says that a text is in none of the languages: no letter, or MIN_TRIGRAMS or more that are nearer
+    than MIN_SCORE to no prototype. Shorter texts say too little to be rejected by their score."""
+    return (language["lang_pred"] == "und") | ((language["n_trigrams"] >= MIN_TRIGRAMS) & (language["score"] < MIN_SCORE))
 
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id") -> DataFrame:
@@ -164,7 +167,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: st
     label in order. Null ids and repeated rows are kept as they are; other columns are not read.
     """
     found = with_language(docs.select(F.col(id_col).alias("id"), "text"), profiles)
-    return found.select(F.col("id").alias(id_col), "lang_pred", "score", "margin")
+    return found.select(F.col("id").alias(id_col), "language.lang_pred", "language.score", "language.margin")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailmark.llm.common import slices, type_of
+from trailmark.llm.common import map_batches, slices, type_of
 
 #: Common words of each language that the word histogram tells apart; all others share one bin.
 COMMON_WORDS = 60
@@ -105,7 +105,7 @@ def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, dict]:
         yield out()
 
     labelled = docs.select("text", F.col(lang_col).cast("string").alias("label")).where("text is not null and label is not null")
-    summed = labelled.mapInArrow(counts, "label string, item string, n long").groupBy("label", "item").agg(F.sum("n").alias("n"))
+    summed = map_batches(labelled, counts, "label string, item string, n long").groupBy("label", "item").agg(F.sum("n").alias("n"))
     # A language's rows are ranked within buckets of words first, so that no task sorts a whole vocabulary.
     words = summed.where("item like 'w_%'").withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(64)))
     order = (F.desc("n"), "item")
@@ -173,4 +173,4 @@ def judge_quality(docs: DataFrame, refs: dict[str, dict], id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([r[i] for r in out], types[t]) for i, t in enumerate(fields.values()))], ["id", *fields])
 
     chosen = docs.select(F.col(id_col).alias("id"), "text", F.col(lang_col).cast("string").alias("label"))
-    return chosen.mapInArrow(judge, f"id {type_of(docs, id_col)}, " + ", ".join(f"{k} {v}" for k, v in fields.items())).withColumnRenamed("id", id_col)
+    return map_batches(chosen, judge, f"id {type_of(docs, id_col)}, " + ", ".join(f"{k} {v}" for k, v in fields.items())).withColumnRenamed("id", id_col)

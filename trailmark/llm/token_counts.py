@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import slices
+from trailmark.llm.common import map_batches, slices
 from trailmark.llm.tokens import ChunkCache, piece_chunks, piece_model
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
@@ -41,7 +41,7 @@ def count_pieces(texts: DataFrame, model_path: str, version: str) -> DataFrame:
                 out += [len(model.encode(t, num_threads=1)) if c is None else sum(map(known.__getitem__, c)) for t, c in zip(part, chunked, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("digest"), pa.array([version] * len(out), pa.string()), pa.array(out, pa.int64())], ["digest", "version", "n_tokens"])
 
-    return texts.select("digest", "text").mapInArrow(count, CACHE_SCHEMA)
+    return map_batches(texts.select("digest", "text"), count, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id") -> DataFrame:
