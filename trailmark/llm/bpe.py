@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import slices, type_of
-from trailmark.llm.tokens import LETTER, MARK, PLAIN, SPLIT, ChunkCache, read_ranks, space_chunks
+from trailmark.llm.common import map_batches, slices, type_of
+from trailmark.llm.tokens import LETTER, MARK, PLAIN, SPLIT, ChunkCache, Kept, read_ranks, space_chunks
 
 #: Words of one recursive query, and the longest word (in bytes) that one may hold: a query keeps every step of its
 #: words, which for a longer word would grow as the square of its length. Such words are contracted with a heap.
-WORDS_A_QUERY, LONGEST_WORD = 40_000, 255
+WORDS_A_QUERY, LONGEST_WORD = 30_000, 255
 #: Characters of texts whose words are contracted together; a longer text is alone.
 SLICE = 4_000_000
-#: Contracted words that a worker keeps.
-WORDS_KEPT = 400_000
+#: Contracted words that a worker keeps, beside as many that came up before.
+WORDS_KEPT = 300_000
 #: The pattern's pieces of plain chunks that are joined by MARK, by Python's re.
 _PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+|{MARK}| ?[^\s{LETTER}0-9{MARK}]+|[^\S{MARK}]+(?=[{MARK}]|$)|[^\S{MARK}]+(?!\S)|[^\S{MARK}]+")
 
@@ -88,8 +88,8 @@ class RankEncoder:
         self.ranks, merges, vocabulary = merge_tables(path)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pattern, self.known_pattern, self.words = regex.compile(pattern), pattern == SPLIT, {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
+        self.pattern, self.known_pattern, self.words = regex.compile(pattern), pattern == SPLIT, Kept(WORDS_KEPT)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
         self.db.register("merges_given", merges)
         self.db.register("vocabulary_given", vocabulary)
         self.db.execute("CREATE TABLE merges AS FROM merges_given")
@@ -122,10 +122,9 @@ class RankEncoder:
         return zip(*(c.to_pylist() for c in found.columns), strict=True)
 
     def chunks(self, chunks: list[str]) -> dict[str, tuple[str, bytes]]:
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        known, parted = self.words, self.pieces(chunks)
-        new = list({*chain.from_iterable(parted)}.difference(known))
+        parted = self.pieces(chunks)
+        new = self.words.missing({*chain.from_iterable(parted)})
+        known = self.words.new
         data = [p.encode("utf-8", "replace") for p in new]
         short = []
         for p, b in zip(new, data, strict=True):
@@ -199,4 +198,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([r[i] for r in out], types[i]) for i in range(len(columns)))], ["id", *columns])
 
     schema = f"id {type_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), "text"), encode, schema).withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import slices, type_of
+from trailmark.llm.common import map_batches, slices, type_of
 from trailmark.llm.tokens import ChunkCache, WordEncoder
 
 END_ID = 1
@@ -66,7 +66,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
                 )
                 at, row, start = at + n, row + n, start + int(offsets[-1])
 
-    made = dealt.mapInArrow(encode, f"part int, row long, doc_id {type_of(docs, id_col)}, local_start long, ids array<int>")
+    made = map_batches(dealt, encode, f"part int, row long, doc_id {type_of(docs, id_col)}, local_start long, ids array<int>")
     made.write.options(**ORC_OPTIONS).orc(out)
 
 
@@ -84,7 +84,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("doc_id"), rows.column("local_start"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    read = files.select("part", "doc_id", "local_start", "ids").mapInArrow(sums, f"part int, doc_id {type_of(files, 'doc_id')}, local_start long, n_tokens long, ids_crc32 long")
+    read = map_batches(files.select("part", "doc_id", "local_start", "ids"), sums, f"part int, doc_id {type_of(files, 'doc_id')}, local_start long, n_tokens long, ids_crc32 long")
     totals = files.groupBy("part").agg(F.max(F.col("local_start") + F.size("ids")).alias("total"))
     before, offset = 0, {}
     for part, total in sorted(totals.collect()):

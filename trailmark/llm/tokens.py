@@ -10,10 +10,8 @@ from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
-#: Encoded chunks that a worker keeps between slices, and the longest chunk that it keeps.
-KEPT, LONGEST = 250_000, 100
-#: Pieces of chunks that a worker keeps: short strings of bytes.
-PIECES_KEPT = 700_000
+#: Encoded chunks that a worker keeps, and pieces of chunks: short strings of bytes.
+KEPT, PIECES_KEPT = 150_000, 300_000
 
 
 #: Fixed: Latin letters, ASCII digits and common punctuation, for which Python's classes and the libraries' agree.
@@ -23,21 +21,34 @@ PLAIN = re.compile(f"[\\t\\n\\r -~{LETTER}¡¿«»–—‘’“”…€]*")
 MARK = "\x02"
 
 
+class Kept:
+    """A bounded cache of what keys map to: twice `most` entries and those of one call. Keys that come up again stay."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't known; the others are in `new`, where the caller puts these."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        out, old = keys.difference(self.new), self.old
+        if old and (again := [k for k in out if k in old]):
+            self.new.update((k, old[k]) for k in again)
+            out.difference_update(again)
+        return list(out)
+
+
 class ChunkCache:
     """Encodings of chunks. `encode` gets the list of distinct chunks that are new and gives a dict."""
 
-    def __init__(self, encode: Callable[[list[str]], dict]) -> None:
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], dict], most: int = KEPT) -> None:
+        self.encode, self.kept = encode, Kept(most)
 
     def get(self, chunked: list[list[str]]) -> dict:
         """A dict that has all chunks of these texts."""
-        seen = set(chain.from_iterable(chunked))
-        known = self.known
-        if new := [c for c in seen if c not in known]:
-            known.update(self.encode(new))
-        if len(known) > KEPT:  # what this slice has seen stays, which holds the frequent chunks
-            self.known = {c: known[c] for c in seen if len(c) <= LONGEST}
-        return known
+        if new := self.kept.missing({*chain.from_iterable(chunked)}):
+            self.kept.new.update(self.encode(new))
+        return self.kept.new
 
 
 # --- byte-level ranks ---------------------------------------------------------------------------------------------
@@ -124,7 +135,7 @@ class WordEncoder:
     """Ids by the tokenizers library as little-endian 32-bit words; None for chunks whose text must go to it whole."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.pieces, self.by_chunks = word_tokenizer(path), {}, has_word_end_rules(path)
+        self.tokenizer, self.pieces, self.by_chunks = word_tokenizer(path), Kept(PIECES_KEPT), has_word_end_rules(path)
         self.letters = {b: c for b, c in enumerate(byte_letters())}
 
     def pack(self, ids: list[int]) -> bytes:
@@ -136,8 +147,9 @@ class WordEncoder:
     def plain(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks of plain characters; their pieces are cut in one pass, and each new one is contracted once."""
         flat = _PIECES.findall(MARK.join(chunks).lower())
-        known, tokenize = self.pieces, self.tokenizer.model.tokenize
-        for p in {*flat}.difference(known):
+        new, tokenize = self.pieces.missing({*flat}), self.tokenizer.model.tokenize
+        known = self.pieces.new
+        for p in new:
             letters = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in tokenize(letters)]
             known[p] = struct.pack(f"<{len(ids)}I", *ids)
@@ -152,8 +164,6 @@ class WordEncoder:
         return [*out, b"".join(part)]
 
     def chunks(self, chunks: list[str]) -> dict[str, bytes | None]:
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces = {}
         if not self.by_chunks:
             return dict.fromkeys(chunks)
         joined = "".join(chunks)
