@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailmark.llm.common import map_batches, slices, type_of
+from trailmark.llm.common import map_batches, materialise, slices, type_of
 
 #: Common words of each language that the word histogram tells apart; all others share one bin.
 COMMON_WORDS = 60
@@ -106,6 +106,7 @@ def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, dict]:
 
     labelled = docs.select("text", F.col(lang_col).cast("string").alias("label")).where("text is not null and label is not null")
     summed = map_batches(labelled, counts, "label string, item string, n long").groupBy("label", "item").agg(F.sum("n").alias("n"))
+    summed = materialise(summed, "reference-counts")  # three aggregations read it
     # A language's rows are ranked within buckets of words first, so that no task sorts a whole vocabulary.
     words = summed.where("item like 'w_%'").withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(64)))
     order = (F.desc("n"), "item")
