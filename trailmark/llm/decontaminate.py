@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import map_batches, slices, type_of
+from trailmark.llm.tokens import Kept
 
 #: Words of a passage and the step between passages: every run of SPAN - STEP words lies whole in one of them.
 SPAN, STEP = 64, 32
@@ -23,14 +24,21 @@ MAX_SHARE, MIN_PASSAGES, MIN_TERMS = 0.01, 100, 3
 #: A part of an item with fewer different terms than this (as copies make all words of an item stop words) is searched by
 #: its words too: passages with MIN_LCS_WITH_ANSWER of its different words are candidates.
 ENOUGH_TERMS = 5
-#: A passage of at least so large a cosine with a part of an item, that has this share of the part's terms, is a candidate.
+#: A passage of at least so large a cosine with a part of an item, that has this share of the part's terms, is a candidate;
+#: so is one of a high cosine with a smaller share.
 MIN_COSINE, MIN_SHARED = 0.3, 0.5
+HIGH_COSINE, LOW_SHARED = 0.6, 0.3
+#: Words at the start of an item by which word-for-word copies are found.
+HEAD = 8
 #: Share of an item's words that the longest common subsequence must have: alone, or with the answer found.
 MIN_LCS, MIN_LCS_WITH_ANSWER = 0.8, 0.55
-#: Share of the answer's words that must follow each other in the window, and the fewest words of an item that are checked.
+#: Share of the answer's words that must follow each other in the window, and the fewest words of an item that is
+#: searched for paraphrases; shorter ones are found word for word only.
 MIN_ANSWER, MIN_WORDS = 0.8, 5
 #: Items whose words and vectors go to the tasks at once; a larger benchmark is searched in blocks.
 ITEM_BLOCK = 4096
+#: Words whose numbers a task keeps.
+WORDS_KEPT = 100_000
 SEED = 11
 EDGE = b".,;:!?\"'()|*#$%&<>"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -58,12 +66,47 @@ class Benchmark:
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for ws in words]
         self.answers = [[[self.number[w] for w in a] for a in answer_words(t)] for t in texts]
-        self.size = len(self.number) + 1
+        self.size, self.kept = len(self.number) + 1, Kept(WORDS_KEPT)
+
+        # Word-for-word copies: items by the hash of their first words, HEAD of them or as many as there are.
+        self.heads: dict[int, dict[int, list[int]]] = {}
+        for k, w in enumerate(self.words):
+            if len(w):
+                size = min(HEAD, len(w))
+                self.heads.setdefault(size, {}).setdefault(int(run_hashes(w[:size], size)[0]), []).append(k)
+        self.sorted_heads = {size: np.array(sorted(found), np.uint64) for size, found in self.heads.items()}
 
     def numbers(self, text: str) -> np.ndarray:
-        """The benchmark's words of a text, in order, by number."""
-        get, out = self.number.get, text.lower().encode("utf-8", "replace").split()
-        return np.fromiter((get(w, 0) or get(w.strip(EDGE), 0) for w in out), np.int64, len(out))
+        """The benchmark's words of a text, in order, by number; words of punctuation alone are left out."""
+        words = text.lower().encode("utf-8", "replace").split()
+        get = self.number.get
+        for w in self.kept.missing({*words}):
+            self.kept.new[w] = get(w) or (get(s, 0) if (s := w.strip(EDGE)) else -1)
+        found = np.fromiter(map(self.kept.new.__getitem__, words), np.int64, len(words))
+        return found[found >= 0] if len(found) and found.min() < 0 else found
+
+    def copies(self, numbers: np.ndarray) -> set[int]:
+        """Items that these words hold word for word, however short or frequent."""
+        out: set[int] = set()
+        for size, heads in self.sorted_heads.items():
+            if len(numbers) < size:
+                continue
+            hashes = run_hashes(numbers, size)
+            at = np.searchsorted(heads, hashes)
+            for start in np.flatnonzero(heads[np.minimum(at, len(heads) - 1)] == hashes).tolist():
+                for k in self.heads[size][int(hashes[start])]:
+                    if k not in out and np.array_equal(numbers[start : start + len(self.words[k])], self.words[k]):
+                        out.add(k)
+        return out
+
+
+def run_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of each run of so many numbers."""
+    out = np.zeros(len(numbers) - size + 1, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (numbers[k : len(numbers) - size + 1 + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Passages:
@@ -209,14 +252,12 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
     """id, text_key (SHA-256 of the text), item, cosine, lcs for the items of one block."""
     benchmark = Benchmark(items)
     used = [k for k, w in enumerate(benchmark.words) if len(w) >= MIN_WORDS]
-    schema = f"id {type_of(docs, 'id')}, text_key binary, item bigint, cosine double, lcs double"
-    if not used:
-        return docs.select("id", F.lit(b"").alias("text_key"), F.lit(0).cast("long").alias("item"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs")).limit(0)
+    schema = f"id {type_of(docs, 'id')}, text_key binary, item long, cosine double, lcs double"
     idf, space = latent_space(docs, benchmark)
     # Long items are searched by their parts, so that a part is about as long as what a passage surely holds.
     width = SPAN - STEP
     parts = [(k, benchmark.words[k][at : at + width]) for k in used for at in range(0, max(1, len(benchmark.words[k]) - width // 2), width)]
-    which, queries = latent(Passages([p for _, p in parts], idf > 0, SPAN), idf, space, MIN_TERMS)
+    which, queries = latent(Passages([p for _, p in parts], idf > 0, SPAN), idf, space, MIN_TERMS) if parts else (np.zeros(0, np.int64), np.zeros((0, space.shape[1]), np.float32))
     owner = np.array([parts[q][0] for q in which], np.int64)
     asked = [{*parts[q][1][idf[parts[q][1]] > 0].tolist()} for q in which]
     distinct = [np.unique(p) for _, p in parts]
@@ -273,7 +314,8 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
                     tried: set[tuple[int, int]] = set()
                     for r, q in np.argwhere(cosines >= MIN_COSINE).tolist():
                         k, (low, high) = int(owner[q]), edges[a + r]
-                        if (r, k) in tried or len(asked[q].intersection(passages.term[low:high].tolist())) < MIN_SHARED * len(asked[q]):
+                        least = LOW_SHARED if cosines[r, q] >= HIGH_COSINE else MIN_SHARED
+                        if (r, k) in tried or len(asked[q].intersection(passages.term[low:high].tolist())) < least * len(asked[q]):
                             continue
                         tried.add((r, k))
                         d = int(passages.of[found[a + r]])
@@ -289,9 +331,12 @@ def search_block(docs: DataFrame, items: list[tuple], id_col: str) -> DataFrame:
                     lcs = judge(numbered[d][1], k, at)
                     if lcs is not None and lcs > best.get((d, k), (0.0, None))[0]:
                         best[d, k] = (lcs, None)
+                for d, (_, n) in enumerate(numbered):
+                    for k in benchmark.copies(n):
+                        best[d, k] = (1.0, best.get((d, k), (0.0, None))[1])
                 for d, _ in best:
                     keys[d] = keys.get(d) or hashlib.sha256((part[d][1] or "").encode("utf-8", "replace")).digest()
-                out += [(numbered[d][0], keys[d], benchmark.ids[k], c, s) for (d, k), (s, c) in best.items()]
+                out += [(numbered[d][0], keys[d], k, c, s) for (d, k), (s, c) in best.items()]
             types = (rows.schema.field("id").type, pa.binary(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["id", "text_key", "item", "cosine", "lcs"])
 
@@ -311,25 +356,35 @@ def keyed_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
     set); candidates are confirmed where the longest common subsequence with the item has MIN_LCS of its words close
     together, or MIN_LCS_WITH_ANSWER of them and the item's answer (its last sentence) stands nearby.
 
-    Null texts and ids: a null text has no passage, a null id stays. Items of fewer than MIN_WORDS words
-    are not searched, as chance would find them; null items neither. Where a part has fewer than ENOUGH_TERMS terms,
-    as in an item that many documents hold, its words are searched without the latent space; cosine is null for what
-    only they find. Repeated rows are each judged, so equal rows give equal
-    results. An empty benchmark or empty docs: no rows. The benchmark is read in blocks of ITEM_BLOCK items.
+    Null texts and ids: a null text has no passage, a null id stays. Items that a text holds word for word (but for case,
+    outer punctuation and white space) are found by the hash of their first words, whatever their length and however
+    many documents hold them. Paraphrases of items of fewer than MIN_WORDS words are not searched, as chance would find
+    them; null and wordless items neither. Where a part has fewer than ENOUGH_TERMS terms, as in an item that many
+    documents hold, its words are searched without the latent space. cosine is null for what only a search without it
+    finds. Repeated rows are each judged, so equal rows give equal results; an item id may have several texts and any
+    type. An empty benchmark or empty docs: no rows. The benchmark is read in blocks of ITEM_BLOCK items.
     """
-    source = docs.select(F.col(id_col).alias("id"), "text").where("text is not null")
-    items = benchmark.select(F.col(item_col).cast("long"), "text").where(f"{item_col} is not null and text is not null").distinct()
+    spark = docs.sparkSession
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), "text").where("text is not null")
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     n_blocks = max(1, -(-items.count() // ITEM_BLOCK))
     out = None
-    blocked = items.withColumn("block", F.pmod(F.xxhash64(item_col), F.lit(n_blocks)))
+    blocked = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
     for block in range(n_blocks):
-        found = search_block(source, sorted((r[0], r[1]) for r in blocked.where(F.col("block") == block).collect()), id_col)
+        rows = sorted((r[0], r[1]) for r in blocked.where(F.col("block") == block).collect())
+        if not rows:
+            continue
+        names = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], f"item long, item_id {type_of(items, 'item_id')}")  # about ITEM_BLOCK rows
+        found = search_block(source, rows, id_col).join(F.broadcast(names), "item").drop("item")
         out = found if out is None else out.unionByName(found)
-    return out.select(F.col("id").alias(id_col), "text_key", F.col("item").alias(item_col), F.round("cosine", 6).alias("cosine"), F.round("lcs", 6).alias("lcs"))
+    if out is None:
+        out = source.select("id", F.lit(b"").alias("text_key"), F.lit(None).cast(type_of(items, "item_id")).alias("item_id"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs")).limit(0)
+    return out.select(F.col("id").alias(id_col), "text_key", F.col("item_id").alias(item_col), F.round("cosine", 6).alias("cosine"), F.round("lcs", 6).alias("lcs"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item; columns stay. Rows are told by id and text, so null and repeated ids take no other row with them."""
-    leaks = keyed_leaks(docs, benchmark, id_col).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    return keyed.join(leaks, keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_text_key"] == F.col("_key")), "left_anti").select(*docs.columns)
+    """The documents that hold no item; columns stay, however they are named. Rows are told by id and text, so null and
+    repeated ids take no other row with them."""
+    leaks = keyed_leaks(docs, benchmark, id_col).select(F.col(id_col).alias("id"), "text_key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_key"))
+    return rows.join(leaks, rows["id"].eqNullSafe(leaks["id"]) & (rows["text_key"] == leaks["text_key"]), "left_anti").select("row.*")
