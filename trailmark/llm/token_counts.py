@@ -49,8 +49,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
 
     Content is normalised to the text's UTF-8 bytes with null as empty (anything more would change counts) and known by
     its SHA-256 and the tokenizer file's digest. Distinct misses are encoded once and appended; the counts are then all
-    joined from the cache. Returns id, n_bytes, n_tokens and over_limit (n_tokens > limit), one row for each row of docs, repeated and null ids included; no rows: no rows. One writer at a time
-    may append to a cache.
+    joined from the cache. Returns id, n_bytes, n_tokens and over_limit (n_tokens > limit), one row for each row of docs, repeated and null ids included; no rows: no rows.  A digest that
+    several writers appended counts once.
     """
     spark = docs.sparkSession
     version = file_version(model_path)
@@ -61,6 +61,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     old = store.where(F.col("version") == version)
     misses = keyed.select("digest", "text").join(old, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
     count_pieces(misses, model_path, version).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
+    # A digest counts once, should several writers have appended it.
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     found = keyed.drop("text").join(counts.select("digest", "n_tokens"), "digest")
     return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
