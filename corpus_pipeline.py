@@ -25,8 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines are cut; documents with nothing left but such lines go. What a copy has from its
     original stays, for the next stage to group copies on their texts."""
-    cut = line_dedup.dedup_lines(docs, spare_copies=True)
-    return cut.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(type_of(docs, "n_chars"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    cut = line_dedup.dedup_lines(rows, spare_copies=True).where("n_removed = 0 or trim(text) <> ''")
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(type_of(docs, "n_chars"))
+    made = {"text": F.col("text"), "n_chars": length}
+    return cut.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
