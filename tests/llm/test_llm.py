@@ -1,8 +1,12 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trailmark.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, lm, quality, token_counts, token_output, url_filters
-from trailmark.llm.common import scratch
+from trailmark.llm.common import scratch, shared_dir
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "a", "  a  b ", "a\n  b\n ", "x" * 3000, "word " * 5000, "日本語 ² ½ a²", "<|endoftext|> hi", "don't we'll", "a \n", "a\n ", "é́x ﬁ", "a▁b", "Ünder großer Straße"]
@@ -77,7 +81,7 @@ def test_language_id(spark, odd, none):
     found = langid.predict_language(docs, profiles).join(docs, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
     judged = langid.with_language(odd, profiles)
-    assert judged.where("text is null or text = ''").select("lang_pred").distinct().collect() == [("und",)]
+    assert judged.where("text is null or text = ''").select("language.lang_pred").distinct().collect() == [("und",)]
     assert judged.count() == odd.count()
     assert langid.with_language(none, {}).count() == 0 and langid.fit_profiles(none) == {}
 
@@ -185,9 +189,6 @@ def test_urls(spark):
 
 
 def test_lm(spark, odd, none):
-    import math
-    from collections import Counter
-
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = odd.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -201,20 +202,312 @@ def test_lm(spark, odd, none):
     assert all(r.score < 0 for r in found)
 
 
-def test_lm_weights_learn_from_all_windows(spark, monkeypatch):
+def test_lm_does_not_depend_on_the_layout(spark, monkeypatch):
+    """Shards, sums of weights and counts give the same scores however rows are dealt, and segments those of the whole text."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, " ".join(random.Random(i).choices(["one", "two", "three", "four"] if i % 2 else ["eins", "zwei", "drei"], k=80))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARE", 2)
+    monkeypatch.setattr(lm, "SHARD", 1_000)
+    monkeypatch.setattr(lm, "ADDENDS", 3)
+    scores = [{r.doc_id: r.score for r in lm.score_texts(docs.repartition(n), F.col("doc_id") % 10 == 0, path, public_tokenizers.PATTERN).collect()} for n in (1, 5)]
+    assert scores[0] == scores[1] and len(scores[0]) == 120
+    monkeypatch.setattr(lm, "SEGMENT", 90)
+    cut = {r.doc_id: r.score for r in lm.score_texts(docs, F.col("doc_id") % 10 == 0, path, public_tokenizers.PATTERN).collect()}
+    assert all(abs(cut[i] - s) < 0.1 * abs(s) for i, s in scores[0].items())
+
+
+def small_model():
+    random_ = np.random.default_rng(1)
+    context_of = np.full(50, lm.CONTEXTS + 1)
+    context_of[:5] = np.arange(1, 6)
+    topic, context, token = random_.integers(0, lm.TOPICS, 400), random_.integers(0, 6, 400), random_.integers(0, 40, 400)
+    return lm.Model(topic, context, token, random_.integers(1, 9, 400), context_of)
+
+
+def test_lm_chances_add_up_and_attention_is_causal():
+    model = small_model()
+    weight = np.ones(model.columns)  # the last column stands for all ids that were never seen
+    weight[0], weight[-1] = 0, 50 - (model.columns - 2)
+    every = np.arange(model.columns, dtype=np.int32)
+    for before in (None, 3, 30):
+        columns = every if before is None else np.stack([np.full(len(every), before, np.int32), every], axis=1).ravel()
+        given = model.given(columns, np.full(len(every), 1 if before is None else 2))[(0 if before is None else 1) :: (1 if before is None else 2)]
+        assert np.allclose(weight @ given, 1, atol=1e-4)
+    random_ = np.random.default_rng(2)
+    ids, given = random_.integers(1, model.columns, 70).astype(np.int32), random_.random((70, lm.TOPICS)).astype(np.float32)
+    w, want = model.gate.w, 0.0
+    padded = np.concatenate([np.zeros(lm.CONTEXT, np.int32), ids])
+    for n in range(70):  # place by place, each from the window that scores it
+        first = n // lm.STRIDE * lm.STRIDE - (lm.CONTEXT - lm.STRIDE + 1)
+        seen = padded[first + lm.CONTEXT : n + lm.CONTEXT]
+        x = w["embed"][seen] + w["place"][: len(seen)]
+        a = np.exp((x[-1] @ w["query"]) @ (x @ w["key"]).T / np.sqrt(lm.WIDTH))
+        logits = (a / a.sum() @ (x @ w["value"]) + x[-1]) @ w["out"] + w["bias"]
+        weights = np.exp(logits - logits.max())
+        want += np.log10((weights / weights.sum()) @ given[n])
+    assert abs(model.score(lm.Windows(ids, given, np.array([70])), 1)[0] - want) < 1e-3
+
+
+def test_lm_gradient_is_the_slope():
+    model = small_model()
+    random_ = np.random.default_rng(3)
+    ids, given = random_.integers(1, model.columns, 64).astype(np.int32), random_.random((64, lm.TOPICS)).astype(np.float32)
+    made = lm.Windows(ids, given, np.array([64]))
+    window, chances, scored = made.ids(slice(None)), made.given, made.scored()
+    gate = model.gate
+    gate.w = {k: v.astype(np.float64) for k, v in gate.w.items()}
+    _, slopes = gate.gradient(window, chances, scored)
+    for name in gate.w:
+        place = tuple(random_.integers(0, n) for n in gate.w[name].shape) if name != "embed" else (int(ids[5]), 2)
+        moved = []
+        for step in (1e-5, -1e-5):
+            gate.w[name][place] += step
+            moved.append(gate.gradient(window, chances, scored)[0])
+            gate.w[name][place] -= step
+        assert abs((moved[0] - moved[1]) / 2e-5 - slopes[name][place]) < 1e-4
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(["one", "two", "three", "four"], k=60)) if i < 60 else "five six seven " * 20 + str(i)) for i in range(120)], "doc_id long, text string")
-    monkeypatch.setattr(lm, "FIT_DOCS", 1)
-    monkeypatch.setattr(lm, "FIT_WINDOWS", 1)
-    places = []
-    original = lm.fit_on_all
-
-    def watched(training, shared, weights, *rest):
-        out = original(training, shared, weights, *rest)
-        places.append(any((out[k] != weights[k]).any() for k in weights))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0, path, public_tokenizers.PATTERN)
+    mean = found.where("held_out").agg(F.avg("score").alias("score"), F.avg("base_score").alias("base")).first()
+    assert mean.score > mean.base
+
+
+def test_jaccard_join_of_all_pairs(spark, monkeypatch):
+    """All 1,000 documents against all pairs, with blocks of three sets: links, copies and classes, none missing."""
+    monkeypatch.setattr(jaccard_join, "SETS", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: frozenset(jaccard_join.shingles(r.text or "").tolist()) for r in docs.collect()}
+    holders, common = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for ids in holders.values():
+        common.update((a, b) for k, b in enumerate(ids) for a in ids[:k])
+    links, group = Counter(), {i: i for i in sets}
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            if old != new:
+                group = {i: new if g == old else g for i, g in group.items()}
+    copies = Counter(sets.values())
+    found = {r.doc_id: (r.n_links, r.class_id, r.n_copies) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == {i: (links[i], group[i], copies[s] if s else 1) for i, s in sets.items()}
+
+
+def test_trie_links_do_not_depend_on_tasks(spark):
+    """Prefix links connect exactly the sets that share a prefix in some tree, however the entries are dealt."""
+    random_ = np.random.default_rng(0)
+    rows = []
+    for k in range(60):
+        values = np.random.default_rng(k // 6).integers(0, 2**32, jaccard_join.TREES * jaccard_join.DEPTH, np.uint32)
+        change = random_.random(len(values)) < 0.1
+        rows.append((bytes([k]) * 16, bytearray(np.where(change, random_.integers(0, 2**32, len(values), np.uint32), values).astype(">u4").tobytes())))
+    nodes = spark.createDataFrame(rows, "node binary, signature binary")
+    parts = np.stack([np.frombuffer(bytes(s), ">u4") for _, s in rows]).reshape(60, jaccard_join.TREES, jaccard_join.DEPTH)
+    for n in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        links = [(r.a[0], r.b[0], r.depth) for r in jaccard_join.prefix_links(nodes).collect()]
+        for depth in range(jaccard_join.LEAST_DEPTH, jaccard_join.DEPTH + 1):
+            want, got = ([*range(60)] for _ in range(2))
+            pairs = [(a, b) for a in range(60) for b in range(a) if (parts[a, :, :depth] == parts[b, :, :depth]).all(axis=1).any()]
+            for label, edges in ((want, pairs), (got, [(a, b) for a, b, d in links if d >= depth])):
+                for a, b in edges:
+                    old, new = max(label[a], label[b]), min(label[a], label[b])
+                    label[:] = [new if x == old else x for x in label]
+            assert want == got
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_language_scores_equal_a_plain_bundle(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+
+    def plain_bundle(text):
+        letters = re.sub(r"\\s+", " ", "".join(c if c.isalpha() else " " for c in f" {text} ".lower()))
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+            if b != " ":
+                va, vb, vc = (langid.letter_vector(0 if x == " " else ord(x)).astype(float) for x in (a, b, c))
+                out += np.roll(va, 2) * np.roll(vb, 1) * vc
         return out
 
-    monkeypatch.setattr(lm, "fit_on_all", watched)
-    monkeypatch.setattr(lm, "SHARD", 100)
-    found = lm.score_texts(docs, F.col("doc_id") % 10 == 0, path, public_tokenizers.PATTERN).collect()
-    assert places == [True] and len(found) == 120 and all(r.score < 0 for r in found)
+    made = {r.doc_id: plain_bundle(r.text or "") for r in rows}
+    prototypes = defaultdict(lambda: np.zeros(langid.DIMENSIONS))
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            prototypes[r.lang] += made[r.doc_id]
+    profiles = langid.fit_profiles(langid.training_rows(docs))
+    assert {k: v for k, v in profiles.items()} == {k: v.astype(int).tolist() for k, v in sorted(prototypes.items())}
+    for r in langid.predict_language(docs, profiles).collect():
+        cosines = {k: made[r.doc_id] @ p / max(1e-12, np.linalg.norm(made[r.doc_id]) * np.linalg.norm(p)) for k, p in prototypes.items()}
+        best = max(cosines, key=lambda k: round(cosines[k], 9))
+        assert (r.lang_pred, round(r.score, 6)) == (best, round(max(0.0, cosines[best]), 6))
+
+
+def test_quality_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    refs = quality.references(docs)
+    found = {r.doc_id: r for r in quality.judge_quality(docs, refs).collect()}
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        counts[r.lang].update(w.strip(quality.EDGE) for w in (r.text or "").encode().lower().split())
+    for lang, c in counts.items():
+        top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]
+        assert (refs[lang]["words"], refs[lang]["counts"], refs[lang]["total"]) == ([w.decode() for w, _ in top], [n for _, n in top], sum(c.values()))
+
+    def distance(p, q):
+        p, q = np.array(p, float) / max(1, sum(p)), np.array(q, float) / max(1, sum(q))
+        m = (p + q) / 2
+        return math.sqrt(max(0.0, sum(x * math.log2(x / y) / 2 for a in (p, q) for x, y in zip(a, m, strict=True) if x > 0)))
+
+    for r in docs.collect():
+        text, got = r.text or "", found[r.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        triples = Counter(zip(words, words[1:], words[2:], strict=False))
+        hit = {k + j for k in range(len(words) - 2) if triples[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit))
+        failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+        own = Counter(w.lower().strip(quality.EDGE.decode()) for w in words)
+        bins = [own[w] for w in refs[r.lang]["words"]]
+        d = distance([*bins, len(words) - sum(bins)], [*refs[r.lang]["counts"], refs[r.lang]["total"] - sum(refs[r.lang]["counts"])])
+        assert got.base_failed == failed and abs(got.word_distance - d) < 1e-6
+        apart = len(text) >= quality.MIN_CHARS and got.char_distance > quality.MAX_CHAR_DISTANCE or len(words) >= quality.MIN_WORDS and d > quality.MAX_WORD_DISTANCE
+        assert got.kept == (not failed and not apart)
+
+
+def test_token_files_equal_the_library(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = scratch(spark, "test")
+    token_output.write_token_files(docs.repartition(5), path, out)
+    start, want = 0, {}
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, token_output.END_ID]
+        want[r.doc_id] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.read_token_files(spark, out).collect()} == want
+    some = {r.doc_id: len(r.ids) for r in token_output.read_documents(spark, out, [3, 77]).collect()}
+    assert some == {i: want[i][1] for i in (3, 77)}
+    # Another vocabulary's rules aren't known: its texts go to the library whole.
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    few = docs.where("doc_id < 5")
+    token_output.write_token_files(few, other, again := scratch(spark, "test"))
+    lengths = {r.doc_id: r.n_tokens - 1 for r in token_output.read_token_files(spark, again).collect()}
+    plain_ = tokenizers.Tokenizer.from_file(other)
+    assert lengths == {r.doc_id: len(plain_.encode(r.text or "", add_special_tokens=False).ids) for r in few.collect()}
+
+
+def test_token_limit_and_a_cache_with_repeats(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "one two"), (2, "three " * 50), (3, None)], "doc_id long, text string")
+    cache = scratch(spark, "cache")
+    first = {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, path, cache, limit=20).collect()}
+    assert [first[i][1] for i in (1, 2, 3)] == [False, True, False]
+    spark.read.parquet(cache).write.mode("append").parquet(cache)  # two writers
+    assert {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, path, cache, limit=20).collect()} == first
+    assert token_counts.count_tokens(docs, path, cache).count() == 3
+
+
+def test_patterns_other_than_the_known_one():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder = bpe.RankEncoder(path, r".")
+    assert encoder.parted("hello") == list("hello")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    assert encoder.chunks(["h", "é"])["é"][0] == " ".join(str(i) for i in tiktoken.Encoding("x", pat_str=r".", mergeable_ranks=ranks, special_tokens={}).encode_ordinary("é"))
+    assert encoder.chunks(["z" * 300])["z" * 300][1] == b"z" * 300
+
+
+def test_exact_items_of_any_length_and_frequency(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    often = items.where("item_id = 0").first().text
+    more = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(f"\n{often}\n"))).otherwise(F.col("text")))
+    more = more.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" Zyx, wvu!"))).otherwise(F.col("text")))
+    named = items.select(F.concat(F.lit("item"), "item_id").alias("item_id"), "text").unionByName(spark.createDataFrame([("short", "zyx wvu"), ("none", "..."), (None, "x")], "item_id string, text string"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(more, named).collect()}
+    assert {i for i, k in found if k == "item0"} >= {r.doc_id for r in docs.where("doc_id % 2 = 0").collect()}
+    assert {i for i, k in found if k == "short"} == {r.doc_id for r in docs.where("doc_id % 3 = 0").collect()}
+    held = docs.crossJoin(items.withColumnRenamed("text", "item")).where("contains(text, item)").select("doc_id", F.concat(F.lit("item"), "item_id")).collect()
+    assert {tuple(r) for r in held} <= found
+    # Nothing but what holds an item is found: each one is a copy, or nearly so.
+    texts_of = {r.doc_id: set(decontaminate.tokens(r.text or "")) for r in more.collect()}
+    words_of = {r.item_id: decontaminate.tokens(r.text) for r in named.collect()}
+    assert all(sum(w in texts_of[i] for w in words_of[k]) >= decontaminate.MIN_LCS_WITH_ANSWER * len(words_of[k]) for i, k in found)
+
+
+def test_paraphrases_of_the_benchmark_are_found(spark):
+    """Items with a fifth of the words replaced but for the last eight, put into texts without one: recall, and nothing else."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 500").orderBy("doc_id").limit(400).collect()]
+    items = [r for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 25][:60]
+    random_, rows, want = random.Random(5), [], set()
+    for k, text in enumerate(docs):
+        if k < len(items):
+            words = items[k].text.split()
+            words = [w if j >= len(words) - 8 or random_.random() > 0.2 else f"qz{random_.randrange(10**6)}" for j, w in enumerate(words)]
+            text = text[:300] + " " + " ".join(words) + " " + text[300:]
+            want.add((k, items[k].item_id))
+        rows.append((k, text))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items))
+    found = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(want & found) >= 0.9 * len(want)
+    clean = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    assert len(found - want - clean) <= 0.02 * len(found)
+
+
+CLASHING = ["row", "id", "text_key", "_text_key", "cut_lines", "cut", "n_lines", "score", "language", "lang_pred", "kept", "label", "node", "_id", "line_key", "item"]
+
+
+def test_columns_of_any_name_stay(spark):
+    """Values of columns with inner names come out as they went in."""
+    line = "one two three four five six seven"
+    rows = [(i, f"{line}\nown words of {i} and more of them to tell it apart from the others {i * 7}", f"s{i}", *[f"{c}{i}" for c in CLASHING]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)).withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text"))
+    items = spark.createDataFrame([(1, "own words of 3 and more of them to tell it apart")], "item_id long, text string")
+    for got, gone, named in (
+        (line_dedup.dedup_lines(docs), set(), ["n_lines", "n_removed"]), (jaccard_join.keep_one(docs), set(), []), (decontaminate.drop_leaks(docs, items), {3}, []),
+        (corpus_pipeline.language_id(spark, docs, SF), set(), []), (corpus_pipeline.line_dedup_stage(spark, docs, SF), set(), []),
+    ):
+        assert set(got.columns) == {*docs.columns, *named}
+        assert got.columns == [*[c for c in docs.columns if c not in named], *named]
+        kept = {r.doc_id: [r[c] for c in CLASHING if c not in named] for r in got.collect()}
+        assert kept == {i: [f"{c}{i}" for c in CLASHING if c not in named] for i in range(6) if i not in gone}
+
+
+def test_lines_by_value(spark):
+    shared, rare = "this line has six words or more", "another line with enough words here"
+    rows = [(0, f" {shared} \nx", "a"), (1, f"{shared}\n{shared}", "b"), (None, shared, "c"), (3, shared, "d"), (4, shared, "e"), (5, f"{rare}\n", "a"), (6, rare, "a"), (7, rare, None), (8, None, "a"), (9, "", "b"), (3, shared, "d")]
+    found = sorted(((r.doc_id if r.doc_id is not None else -1, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=str)
+    want = [(0, f" {shared} \nx", 2, 0), (1, "", 2, 2), (-1, "", 1, 1), (3, "", 1, 1), (3, "", 1, 1), (4, "", 1, 1), (5, f"{rare}\n", 2, 0), (6, rare, 1, 0), (7, rare, 1, 0), (8, None, 0, 0), (9, "", 1, 0)]
+    assert found == sorted(want, key=str)
+
+
+def test_long_texts(spark):
+    """A text of twelve million characters beside small ones, in every operator that holds words."""
+    words = random.Random(1).choices([f"w{k}" for k in range(3000)], k=2_000_000)
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s"), (2, "a short one", "en", "s")], "doc_id long, text string, lang string, source string").repartition(2)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs, F.lit(False), path, public_tokenizers.PATTERN).collect()} == {1: 2_000_001, 2: 4}
+    assert {r.doc_id: r.n_words for r in quality.judge_quality(docs, {}).collect()} == {1: 2_000_000, 2: 3}
+    assert jaccard_join.near_duplicates(docs).where("n_links = 0").count() == 2
+    assert langid.predict_language(docs, langid.fit_profiles(docs)).where("lang_pred = 'en'").count() == 2
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
