@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import map_batches, slices, type_of
-from trailmark.llm.tokens import Kept
 
 #: Words of a passage and the step between passages: every run of SPAN - STEP words lies whole in one of them.
 SPAN, STEP = 64, 32
@@ -37,8 +36,6 @@ MIN_LCS, MIN_LCS_WITH_ANSWER = 0.8, 0.55
 MIN_ANSWER, MIN_WORDS = 0.8, 5
 #: Items whose words and vectors go to the tasks at once; a larger benchmark is searched in blocks.
 ITEM_BLOCK = 4096
-#: Words whose numbers a task keeps.
-WORDS_KEPT = 100_000
 SEED = 11
 EDGE = b".,;:!?\"'()|*#$%&<>"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -66,49 +63,44 @@ class Benchmark:
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for ws in words]
         self.answers = [[[self.number[w] for w in a] for a in answer_words(t)] for t in texts]
-        self.size, self.kept = len(self.number) + 1, Kept(WORDS_KEPT)
+        self.size = len(self.number) + 1
 
-        # Word-for-word copies: items by the hash of their first words, HEAD of them or as many as there are.
-        self.heads: dict[int, dict[int, list[int]]] = {}
+        # Word-for-word copies: items by their first words, HEAD of them or as many as there are, and by the first two.
+        self.heads: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for k, w in enumerate(self.words):
             if len(w):
-                size = min(HEAD, len(w))
-                self.heads.setdefault(size, {}).setdefault(int(run_hashes(w[:size], size)[0]), []).append(k)
-        self.sorted_heads = {size: np.array(sorted(found), np.uint64) for size, found in self.heads.items()}
+                self.heads.setdefault(min(HEAD, len(w)), {}).setdefault(tuple(w[:HEAD].tolist()), []).append(k)
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[w[0] for w in self.words if len(w)]] = True
+        self.pairs = np.unique(np.array([w[0] * self.size + w[1] for w in self.words if len(w) > 1], np.int64))
 
     def numbers(self, text: str) -> np.ndarray:
         """The benchmark's words of a text, in order, by number; words of punctuation alone are left out."""
-        words = text.lower().encode("utf-8", "replace").split()
-        get = self.number.get
-        for w in self.kept.missing({*words}):
-            self.kept.new[w] = get(w) or (get(s, 0) if (s := w.strip(EDGE)) else -1)
-        found = np.fromiter(map(self.kept.new.__getitem__, words), np.int64, len(words))
+        get, words = self.number.get, text.lower().encode("utf-8", "replace").split()
+        found = np.fromiter((get(w) or (get(s, 0) if (s := w.strip(EDGE)) else -1) for w in words), np.int64, len(words))
         return found[found >= 0] if len(found) and found.min() < 0 else found
 
     def copies(self, numbers: np.ndarray) -> set[int]:
         """Items that these words hold word for word, however short or frequent."""
         out: set[int] = set()
-        for size, heads in self.sorted_heads.items():
-            if len(numbers) < size:
-                continue
-            hashes = run_hashes(numbers, size)
-            at = np.searchsorted(heads, hashes)
-            for start in np.flatnonzero(heads[np.minimum(at, len(heads) - 1)] == hashes).tolist():
-                for k in self.heads[size][int(hashes[start])]:
+        starts = np.flatnonzero(self.begins[numbers])
+        if not len(starts):
+            return out
+        if len(self.pairs):  # of the places where an item's first word is, those where its second follows
+            after = np.append(numbers, -1)[starts + 1]
+            pair = numbers[starts] * self.size + after
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            begun = starts[(self.pairs[at] == pair) & (after >= 0)]
+        else:
+            begun = starts[:0]
+        for size, heads in self.heads.items():
+            for start in (starts if size == 1 else begun).tolist():
+                for k in heads.get(tuple(numbers[start : start + size].tolist()), ()):
                     if k not in out and np.array_equal(numbers[start : start + len(self.words[k])], self.words[k]):
                         out.add(k)
         return out
 
 
-def run_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of each run of so many numbers."""
-    out = np.zeros(len(numbers) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (numbers[k : len(numbers) - size + 1 + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(29)
-    return out
-
-
 class Passages:
     """Counts of terms in the passages of some texts, as arrays: passage and term (sorted by both), count.
 
