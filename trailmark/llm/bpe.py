@@ -19,11 +19,13 @@ from trailmark.llm.tokens import LETTER, MARK, PLAIN, SPLIT, ChunkCache, Kept, r
 
 #: Words of one recursive query, and the longest word (in bytes) that one may hold: a query keeps every step of its
 #: words, which for a longer word would grow as the square of its length. Such words are contracted with a heap.
-WORDS_A_QUERY, LONGEST_WORD = 30_000, 255
+WORDS_A_QUERY, LONGEST_WORD = 20_000, 255
+#: Memory of a worker's DuckDB.
+MEMORY = "100MB"
 #: Characters of texts whose words are contracted together; a longer text is alone.
-SLICE = 4_000_000
-#: Contracted words that a worker keeps, beside as many that came up before.
-WORDS_KEPT = 300_000
+SLICE = 2_500_000
+#: Contracted words, and chunks, that a worker keeps, beside as many that came up before.
+WORDS_KEPT, CHUNKS_KEPT = 120_000, 80_000
 #: The pattern's pieces of plain chunks that are joined by MARK, by Python's re.
 _PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+|{MARK}| ?[^\s{LETTER}0-9{MARK}]+|[^\S{MARK}]+(?=[{MARK}]|$)|[^\S{MARK}]+(?!\S)|[^\S{MARK}]+")
 
@@ -89,7 +91,7 @@ class RankEncoder:
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern, self.known_pattern, self.words = regex.compile(pattern), pattern == SPLIT, Kept(WORDS_KEPT)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
         self.db.register("merges_given", merges)
         self.db.register("vocabulary_given", vocabulary)
         self.db.execute("CREATE TABLE merges AS FROM merges_given")
@@ -170,7 +172,7 @@ def _pieces_alone(chunk: str) -> list[str]:
 def worker_ranks(path: str, pattern: str) -> tuple[RankEncoder, ChunkCache]:
     """One encoder with its bounded caches for each Python worker, which runs one task after another."""
     encoder = RankEncoder(path, pattern)
-    return encoder, ChunkCache(encoder.chunks)
+    return encoder, ChunkCache(encoder.chunks, CHUNKS_KEPT)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
