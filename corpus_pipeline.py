@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, decontaminate, jaccard_join, langid, line_dedup
-from trailmark.llm.common import materialise, table, type_of
+from trailmark.llm.common import materialise, remove, table, tracked, type_of
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage wrote on its way, and its predecessor's rows, go once its own are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with tracked() as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove(spark, [*made[:-1], *before])  # the last path is the stage's own
+        before = made[-1:]
     return docs
