@@ -203,18 +203,25 @@ def test_lm(spark, odd, none):
 
 
 def test_lm_does_not_depend_on_the_layout(spark, monkeypatch):
-    """Shards, sums of weights and counts give the same scores however rows are dealt, and segments those of the whole text."""
+    """Shards, sums of weights and counts give the same scores however rows are dealt."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = [(i, " ".join(random.Random(i).choices(["one", "two", "three", "four"] if i % 2 else ["eins", "zwei", "drei"], k=80))) for i in range(120)]
+    rows = [(i, " ".join(random.Random(i).choices(["one", "two", "three", "four"] if i % 2 else ["eins", "zwei", "drei"], k=80))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(lm, "SHARE", 2)
-    monkeypatch.setattr(lm, "SHARD", 1_000)
-    monkeypatch.setattr(lm, "ADDENDS", 3)
+    for name, value in (("SHARE", 2), ("SHARD", 3_000), ("ADDENDS", 3)):
+        monkeypatch.setattr(lm, name, value)
     scores = [{r.doc_id: r.score for r in lm.score_texts(docs.repartition(n), F.col("doc_id") % 10 == 0, path, public_tokenizers.PATTERN).collect()} for n in (1, 5)]
-    assert scores[0] == scores[1] and len(scores[0]) == 120
-    monkeypatch.setattr(lm, "SEGMENT", 90)
-    cut = {r.doc_id: r.score for r in lm.score_texts(docs, F.col("doc_id") % 10 == 0, path, public_tokenizers.PATTERN).collect()}
-    assert all(abs(cut[i] - s) < 0.1 * abs(s) for i, s in scores[0].items())
+    assert scores[0] == scores[1] and len(scores[0]) == 60
+
+
+def test_lm_segments_go_on_where_the_last_one_ended():
+    model = small_model()
+    random_ = np.random.default_rng(4)
+    ids, given = random_.integers(1, model.columns, 96).astype(np.int32), random_.random((96, lm.TOPICS)).astype(np.float32)
+    whole = model.score(lm.Windows(ids, given, np.array([96])), 1)[0]
+    parts = [model.score(lm.Windows(ids[a:b], given[a:b], np.array([b - a]), ids[:a]), 1)[0] for a, b in ((0, 48), (48, 96))]
+    assert abs(whole - sum(parts)) < 1e-3
+    both = model.score(lm.Windows(np.concatenate([ids[:20], ids]), np.concatenate([given[:20], given]), np.array([20, 116])), 2)
+    assert abs(both[1] - whole) < 1e-3
 
 
 def small_model():
