@@ -49,8 +49,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
 
     Content is normalised to the text's UTF-8 bytes with null as empty (anything more would change counts) and known by
     its SHA-256 and the tokenizer file's digest. Distinct misses are encoded once and appended; the counts are then all
-    joined from the cache. Returns id, n_bytes, n_tokens and over_limit (n_tokens > limit), one row for each row of docs, repeated and null ids included; no rows: no rows.  A digest that
-    several writers appended counts once.
+    joined from the cache. Returns id, n_bytes, n_tokens and over_limit (n_tokens > limit), one row for each row of docs,
+    repeated and null ids included; no rows: no rows. A digest that several writers appended counts once.
     """
     spark = docs.sparkSession
     version = file_version(model_path)
