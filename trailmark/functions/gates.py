@@ -38,12 +38,18 @@ def position_sigma(confidence: Column, least: float = 0.05, spread: float = 5.0)
     return least + (1 - clip(confidence)) * spread
 
 
-def gate_reason(health: Column, confidence: Column, age: Column, jump: Column, dt: Column, min_confidence: float = 0.15, max_age: float = 0.25, max_speed: float = 60.0) -> Column:
-    """The first gate that a measurement fails: health, confidence, timestamp, then speed; null if it passes all."""
-    return (
+# Fixed: the chi-square limit of three dimensions that the last gate compares with.
+CHI_SQUARE = 16.27
+
+
+def gate_reason(health: Column, confidence: Column, age: Column, jump: Column, dt: Column, min_confidence: float = 0.15, max_age: float = 0.25, max_speed: float = 60.0, d2: Column | None = None, most: float = CHI_SQUARE) -> Column:
+    """The first gate that a measurement fails: health, confidence, timestamp, speed, then, with d2, the squared
+    Mahalanobis distance of its innovation; null if it passes all."""
+    found = (
         F.when(health.isin("LOST", "INVALID"), "health_gate").when(confidence < min_confidence, "confidence_gate").when(F.abs(age) > max_age, "timestamp_gate")
         .when(jump / F.greatest(dt, F.lit(1e-3)) > max_speed, "motion_sanity_gate")
     )
+    return found if d2 is None else found.when(d2 > most, "mahalanobis_gate")
 
 
 def mahalanobis_squared(e: list[Column], s: list[list[Column]]) -> Column:

@@ -76,6 +76,11 @@ def signed_index(index: Column, size: Column) -> Column:
     return F.when(index > F.floor(size / 2), index - size).otherwise(index)
 
 
+def rotate(q: list[Column], v: list[Column]) -> list[Column]:
+    """A vector turned by the unit quaternion q."""
+    return rotate_back([-q[0], -q[1], -q[2], q[3]], v)
+
+
 def rotate_back(q: list[Column], v: list[Column]) -> list[Column]:
     """A vector seen from the frame that the unit quaternion q turns: the inverse rotation."""
     inverse = [-q[0], -q[1], -q[2], q[3]]

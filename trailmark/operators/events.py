@@ -46,12 +46,20 @@ def pixel_activity(events: DataFrame, keys: list[str], pixel: list[str], times:
     return counts.groupBy(*keys).agg(F.count("*").alias("active"), F.count_if(F.col("n") > times * F.col("mean")).alias("hot"))
 
 
-def stream_diagnostics(events: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """Totals, rates and empty windows of each stream."""
+def stream_diagnostics(events: DataFrame, keys: list[str], width: float, min_rate: float = 1_000.0, max_rate: float = 5_000_000.0, pixels: DataFrame | None = None, n_pixels: int = 1) -> DataFrame:
+    """Totals, rates, and windows that are empty, starved (a rate under min_rate, empty ones too) and overloaded (over
+    max_rate) of each stream; with pixels (of pixel_activity) also the shares of n_pixels that were active and hot."""
     total = events.groupBy(*keys).agg(F.count("*").alias("total"), F.round(F.avg((F.col("p") > 0).cast("int")), 6).alias("positive"), (F.max("t") - F.min("t")).alias("span"))
-    rates = packets(events, keys, width).groupBy(*keys).agg(F.round(F.min(F.col("n") / width), 9).alias("min_rate"), F.round(F.max(F.col("n") / width), 9).alias("max_rate"), F.count_if(F.col("n") == 0).alias("empty_windows"))
+    rate = F.col("n") / width
+    counts = {"empty": F.col("n") == 0, "starved": rate < min_rate, "overloaded": rate > max_rate}
+    rates = packets(events, keys, width).groupBy(*keys).agg(F.round(F.min(rate), 9).alias("min_rate"), F.round(F.max(rate), 9).alias("max_rate"), *[F.count_if(c).alias(f"{n}_windows") for n, c in counts.items()])
     mean = F.round(F.when(F.col("span") > 0, F.col("total") / F.col("span")).otherwise(0.0), 9)
-    return total.join(rates, keys).select(*keys, "total", "positive", mean.alias("mean_rate"), "min_rate", "max_rate", "empty_windows")
+    found = total.join(rates, keys)
+    shares = []
+    if pixels is not None:
+        found = found.join(pixels, keys, "left")
+        shares = [F.round(F.coalesce(c, F.lit(0)) / n_pixels, 6).alias(f"{c}_fraction") for c in ("active", "hot")]
+    return found.select(*keys, "total", "positive", mean.alias("mean_rate"), "min_rate", "max_rate", *[f"{n}_windows" for n in counts], *shares)
 
 
 def frames(events: DataFrame, keys: list[str], pixel: list[str], width: float) -> DataFrame:

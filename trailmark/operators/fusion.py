@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 from typing import Any
 
 import numpy as np
@@ -157,37 +158,51 @@ def filter_fusion(imu: DataFrame, measurements: DataFrame, keys: list[str], conf
     rejected it. A measurement is due at the first sample at or after its time, the second sample at the earliest;
     those after the last sample have no row. Samples of equal time count as 1e-6 s apart.
     """
-    config = config or FilterConfig()
-    names = ["ax", "ay", "az", "gx", "gy", "gz"]
+    key_types = ", ".join(f"`{k}` {imu.schema[k].dataType.simpleString()}" for k in keys)
+    return fold(offered(imu, measurements, keys), keys, ["t", "tag", "method"], stepper(keys, config or FilterConfig()), f"{key_types}, {_TYPES}")
+
+
+_SAMPLE = ["ax", "ay", "az", "gx", "gy", "gz"]
+
+
+def offered(imu: DataFrame, measurements: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples (tag 1) and measurements (tag 0) as one stream of rows."""
     trust = F.col("trust") if "trust" in measurements.columns else F.lit(1.0)
     none = F.lit(None).cast("double")
-    left = imu.select(*keys, "t", F.lit(1).alias("tag"), F.lit("").alias("method"), *names, *[none.alias(c) for c in ("x", "y", "z", "confidence", "trust")], F.lit("").alias("health"))
-    right = measurements.select(*keys, "t", F.lit(0).alias("tag"), "method", *[none.alias(n) for n in names], "x", "y", "z", "confidence", trust.alias("trust"), "health")
+    left = imu.select(*keys, "t", F.lit(1).alias("tag"), F.lit("").alias("method"), *_SAMPLE, *[none.alias(c) for c in ("x", "y", "z", "confidence", "trust")], F.lit("").alias("health"))
+    right = measurements.select(*keys, "t", F.lit(0).alias("tag"), "method", *[none.alias(n) for n in _SAMPLE], "x", "y", "z", "confidence", trust.alias("trust"), "health")
+    return left.unionByName(right)
+
+
+def stepper(keys: list[str], config: FilterConfig):
+    """step(state, rows) -> (state, output): the filter after rows in time order. A sample older than the state is passed over."""
 
     def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
         fused, sample, due = state or (None, None, [])
-        out, columns = [], list(rows.columns)
+        out: list[list[Any]] = []
         key = [rows[k].iloc[0] for k in keys]
-        at = columns.index("ax")
-        for row in rows.itertuples(index=False):
-            if row.tag == 0:
-                due.append(row)
+        # Columns are walked in step; a measurement waits as a plain namespace, so that a state can be stored.
+        columns = {c: rows[c].tolist() for c in ("t", "tag", "method", "x", "y", "z", "confidence", "trust", "health")}
+        samples = rows[_SAMPLE].to_numpy(float)
+        for i, (t, tag) in enumerate(zip(columns["t"], columns["tag"], strict=True)):
+            if tag == 0:
+                due.append(SimpleNamespace(**{c: v[i] for c, v in columns.items()}))
                 continue
-            now = np.array(row[at : at + 6], float)
             if fused is None:
-                fused = _Filter(config, row.t)
+                fused = _Filter(config, t)
+            elif t < fused.now:
+                continue
             else:
-                fused.predict(sample, max(row.t - fused.now, 1e-6))
-                fused.now = row.t
+                fused.predict(sample, max(t - fused.now, 1e-6))
+                fused.now = t
                 for m in due:
-                    out.append([*key, "update", m.t, row.t, m.method, *fused.offer(m, m.trust), *[None] * 10, m.confidence, m.health, None])
+                    out.append([*key, "update", m.t, t, m.method, *fused.offer(m, m.trust), *[None] * 10, m.confidence, m.health, None])
                 due = []
-            sample = now
-            out.append([*key, "step", row.t, row.t, None, None, None, None, None, None, *fused.pose()])
+            sample = samples[i]
+            out.append([*key, "step", t, t, None, None, None, None, None, None, *fused.pose()])
         return (fused, sample, due), pd.DataFrame(out, columns=[*keys, *_OUT])
 
-    key_types = ", ".join(f"`{k}` {imu.schema[k].dataType.simpleString()}" for k in keys)
-    return fold(left.unionByName(right), keys, ["t", "tag", "method"], step, f"{key_types}, {_TYPES}")
+    return step
 
 
 def step_weights(updates: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,10 +13,30 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, ROW_BLOCK = 2_000, 50_000
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, of: np.ndarray, k: int) -> tuple[list[int], list[float]]:
-    distance = np.sqrt(((vectors - of) ** 2).sum(axis=1))
-    best = np.lexsort((ids, distance))[:k]
-    return ids[best].tolist(), distance[best].tolist()
+#: Vectors whose distances to a whole block are held at once.
+AT_ONCE = 128
+
+
+def _nearest(ids: np.ndarray, vectors: np.ndarray, other: np.ndarray, there: np.ndarray, k: int) -> pd.DataFrame:
+    """id, other, distance: the k nearest of the other vectors of each, by one matrix product for AT_ONCE of them.
+
+    The product finds who may be among the k nearest; their distances, and ties, are then taken from the differences."""
+    out = []
+    squares = (there * there).sum(axis=1)
+    for at in range(0, len(ids), AT_ONCE):
+        own, mine = ids[at : at + AT_ONCE], vectors[at : at + AT_ONCE]
+        square = (mine * mine).sum(axis=1)[:, None] + squares - 2 * (mine @ there.T)
+        square[own[:, None] == other] = np.inf
+        last = np.partition(square, min(k, square.shape[1]) - 1, axis=1)[:, min(k, square.shape[1]) - 1]
+        slack = 1e-9 * (1 + square[np.isfinite(square)].max(initial=0.0))
+        row, column = np.nonzero((square <= last[:, None] + slack) & np.isfinite(square))
+        distance = np.sqrt(((mine[row] - there[column]) ** 2).sum(axis=1))
+        order = np.lexsort((other[column], distance, row))
+        row, column, distance = row[order], column[order], distance[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        out.append(pd.DataFrame({"id": own[row[keep]], "other": other[column[keep]], "distance": distance[keep]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -33,15 +53,10 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str
         return kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, float]] = []
-        if len(q) and len(r):
-            sides = [(q["id"].to_numpy(), np.stack(q["v"])), (r["id"].to_numpy(), np.stack(r["v"]))]
-            for side, k in ((0, 2), (1, 1)):
-                (ids, vectors), (other, there) = sides[side], sides[1 - side]
-                for i, v in zip(ids, vectors, strict=True):
-                    kept = other != i
-                    out += [(side, i, o, d) for o, d in zip(*_nearest(other[kept], there[kept], v, k), strict=True)]
-        return pd.DataFrame(out, columns=["side", "id", "other", "distance"])
+        if not len(q) or not len(r):
+            return pd.DataFrame({"side": [], "id": [], "other": [], "distance": []}).astype({"side": "int32", "id": "int64", "other": "int64"})
+        sides = [(q["id"].to_numpy(), np.stack(q["v"])), (r["id"].to_numpy(), np.stack(r["v"]))]
+        return pd.concat([_nearest(*sides[s], *sides[1 - s], k).assign(side=s)[["side", "id", "other", "distance"]] for s, k in ((0, 2), (1, 1))], ignore_index=True)
 
     left, right = dealt(queries, "qb", "rb", *many).groupBy("qb", "rb"), dealt(rows, "rb", "qb", *many[::-1]).groupBy("qb", "rb")
     return left.cogroup(right).applyInPandas(compare, "side int, id long, other long, distance double")

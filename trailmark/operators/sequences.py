@@ -59,3 +59,25 @@ def ego_motion(df: DataFrame, keys: list[str], order: list[str], position: list[
     turn = geometry.rotation_vector(geometry.multiply([-q[0], -q[1], -q[2], q[3]], [F.col(f"_n{3 + i}") for i in range(4)]))
     made = ahead.where("_n7 is not null").withColumns(dict(zip(["forward", "left", "up", "rx", "ry", "rz"], [*way, *turn], strict=True)) | {"dt": F.col("_n7") - F.col(t)})
     return made.drop(*[f"_n{i}" for i in range(8)])
+
+
+#: Fixed: the weight of the first state, of mean 0 and variance 1, and what is added to a variance.
+FIRST_COUNT, SLACK = 1e-4, 1e-8
+
+
+def running_norm(df: DataFrame, keys: list[str], value: str, state: DataFrame | None = None) -> DataFrame:
+    """keys, count, mean, var: a running normaliser after these rows, begun from a state (the first one if there is none).
+
+    States merge by counts, so batches may come in any order or at once."""
+    seen = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    begun = seen.join(state.select(*keys, "count", "mean", "var"), keys, "full") if state is not None else seen.withColumns({c: F.lit(None).cast("double") for c in ("count", "mean", "var")})
+    n0, m0, v0 = F.coalesce("count", F.lit(FIRST_COUNT)), F.coalesce("mean", F.lit(0.0)), F.coalesce("var", F.lit(1.0))
+    n, m, v = F.coalesce("_n", F.lit(0)), F.coalesce("_m", m0), F.coalesce("_v", F.lit(0.0))
+    total, delta = n0 + n, m - m0
+    return begun.select(*keys, total.alias("count"), (m0 + delta * n / total).alias("mean"), ((v0 * n0 + v * n + delta * delta * n0 * n / total) / total).alias("var"))
+
+
+def normalise(df: DataFrame, state: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with normal: the value less the state's mean, by its standard deviation."""
+    joined = df.join(state.select(*keys, F.col("mean").alias("_mean"), F.col("var").alias("_var")), keys)
+    return joined.withColumn("normal", (F.col(value) - F.col("_mean")) / F.sqrt(F.col("_var") + SLACK)).drop("_mean", "_var")

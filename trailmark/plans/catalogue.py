@@ -113,7 +113,7 @@ both_ AS (SELECT e.*, r.u AS nu, r.ref_idx AS ni FROM prev e ASOF LEFT JOIN ref
 SELECT seq, idx, CASE WHEN nu IS NULL OR (pu IS NOT NULL AND abs(t - pu) <= abs(nu - t)) THEN pi ELSE ni END AS ref_idx FROM both_""")
 def j03_nearest_prev_tie(b: DataFrame) -> DataFrame:
     est, ref = halves(b)
-    return asof.nearest(est, ref, ["seq"], tie="prev").select("seq", "idx", F.col("near.ref_idx").alias("ref_idx"))
+    return asof.nearest(est, ref, ["seq"], tie="prev", bucket=7 * 86_400.0).select("seq", "idx", F.col("near.ref_idx").alias("ref_idx"))
 
 
 SQL_LERP = """
@@ -169,11 +169,6 @@ def j10_events_in_window(b: DataFrame) -> DataFrame:
     return asof.in_windows(b.select("seq", "t", "x"), windows, ["seq"], 2 * PACKET).groupBy("seq", "win").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean_x"))
 
 
-@query(f"""{SQL_MATCH}
-SELECT e.seq, e.idx, round(sqrt((m.x - m.ref_x) ** 2 + (m.y - m.ref_y) ** 2), 6) AS error, round(m.gap, 6) AS gap FROM est e LEFT JOIN matched m ON e.seq = m.seq AND e.idx = m.idx""")
-def j16_error_vs_time(b: DataFrame) -> DataFrame:
-    errors = evaluate.errors(matches(b)).select("seq", "idx", F.round("error", 6).alias("error"), F.round("gap", 6).alias("gap"))
-    return halves(b)[0].select("seq", "idx").join(errors, ["seq", "idx"], "left")
 
 
 @query(f"""
@@ -260,41 +255,6 @@ def a06_pixel_activity(b: DataFrame) -> DataFrame:
     return events.pixel_activity(b, ["seq"], ["py"], 2.0)
 
 
-@query(f"""
-span AS (SELECT seq, min(t) AS t0, max(t) AS t1, count(*) AS total, avg((p > 0)::INT) AS positive, greatest(ceil((max(t) - min(t)) / {PACKET}), 1)::BIGINT AS n FROM base GROUP BY seq),
-win AS (SELECT seq, unnest(range(n)) AS win FROM span),
-hit AS (SELECT b.seq, least(floor((t - t0) / {PACKET})::BIGINT, n - 1) AS win, count(*) AS c FROM base b JOIN span USING (seq) GROUP BY ALL),
-rate AS (SELECT seq, min(coalesce(c, 0) / {PACKET}) AS lo, max(coalesce(c, 0) / {PACKET}) AS hi, count(*) FILTER (WHERE c IS NULL) AS empty_windows FROM win LEFT JOIN hit USING (seq, win) GROUP BY seq)
-SELECT seq, total, round(positive, 6) AS positive, round(CASE WHEN t1 > t0 THEN total / (t1 - t0) ELSE 0 END, 9) AS mean_rate, round(lo, 9) AS min_rate, round(hi, 9) AS max_rate, empty_windows FROM span JOIN rate USING (seq)""")
-def a05_stream_diag(b: DataFrame) -> DataFrame:
-    return events.stream_diagnostics(b, ["seq"], PACKET)
-
-
-@query("""
-d AS (SELECT seq, health, CASE WHEN count(*) OVER s <= 2 THEN 0 ELSE coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0) END AS d FROM base WINDOW w AS (PARTITION BY seq ORDER BY t, idx), s AS (PARTITION BY seq))
-SELECT seq, round(coalesce(sum(d) FILTER (WHERE health = 'OK'), 0), 4) AS ok_s, round(coalesce(sum(d) FILTER (WHERE health = 'DEGRADED'), 0), 4) AS degraded_s,
-       round(coalesce(sum(d) FILTER (WHERE health = 'LOST'), 0), 4) AS lost_s, round(coalesce(sum(d) FILTER (WHERE health = 'INVALID'), 0), 4) AS invalid_s FROM d GROUP BY seq""")
-def a09_coverage(b: DataFrame) -> DataFrame:
-    return evaluate.coverage(b, ["seq"], ["t", "idx"])
-
-
-@query("""
-f AS (SELECT seq, health IN ('LOST', 'INVALID') AS failed, lag(health IN ('LOST', 'INVALID')) OVER (PARTITION BY seq ORDER BY t, idx) AS before FROM base)
-SELECT seq, count(*) FILTER (WHERE failed) AS n_failed, round(avg(failed::INT), 6) AS failed_fraction, count(*) FILTER (WHERE failed AND NOT coalesce(before, false)) AS n_runs FROM f GROUP BY seq""")
-def a11_failures(b: DataFrame) -> DataFrame:
-    return evaluate.failures(b, ["seq"], ["t", "idx"])
-
-
-@query("SELECT seq, round(avg(x), 6) AS mean_x, round(median(x), 6) AS median_x, round(quantile_cont(x, 0.95), 6) AS p95_x, round(max(x), 6) AS max_x FROM base GROUP BY seq")
-def a12_runtime(b: DataFrame) -> DataFrame:
-    return evaluate.runtime(b, ["seq"], "x")
-
-
-@query(f"""{SQL_MATCH}, e AS (SELECT *, sqrt((x - ref_x) ** 2 + (y - ref_y) ** 2) AS error FROM matched)
-SELECT seq, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(error), 6) AS mean, round(median(error), 6) AS median, round(stddev_pop(error), 6) AS std, round(min(error), 6) AS min, round(max(error), 6) AS max,
-       round(max_by(error, (t, idx)), 6) AS final_drift FROM e GROUP BY seq""")
-def a13_ate(b: DataFrame) -> DataFrame:
-    return evaluate.ate(evaluate.errors(matches(b)), ["seq"], ["t", "idx"])
 
 
 @query("pairs AS (SELECT seq, idx, x - y AS d FROM base) SELECT seq, round(avg(abs(d + 180 - 360 * floor((d + 180) / 360) - 180)), 9) AS mean_deg, round(quantile_cont(abs(d + 180 - 360 * floor((d + 180) / 360) - 180), 0.95), 6) AS p95_deg FROM pairs GROUP BY seq")

@@ -43,22 +43,27 @@ def stepped(b: DataFrame) -> DataFrame:
     return b.withColumn("dt", F.col("t") - F.lag("t").over(w)).withColumn("jump", F.col("x") - F.lag("x").over(w))
 
 
-@query(f"""{SQL_STEPS}
-SELECT seq, idx, CASE WHEN health IN ('LOST', 'INVALID') THEN 'health_gate' WHEN confidence < 0.15 THEN 'confidence_gate' WHEN abs(dt) > 36000 THEN 'timestamp_gate' WHEN abs(jump) / greatest(dt, 1e-3) > 0.01 THEN 'motion_sanity_gate' END AS reason FROM steps""")
+@query(f"""{SQL_STEPS},
+d AS (SELECT *, ((x - 50) ** 2 * (3.0 + py) - 2 * (x - 50) * (y - 50) + (y - 50) ** 2 * (2.0 + px)) / ((2.0 + px) * (3.0 + py) - 1) AS d2 FROM steps)
+SELECT seq, idx, CASE WHEN health IN ('LOST', 'INVALID') THEN 'health_gate' WHEN confidence < 0.15 THEN 'confidence_gate' WHEN abs(dt) > 36000 THEN 'timestamp_gate' WHEN abs(jump) / greatest(dt, 1e-3) > 0.01 THEN 'motion_sanity_gate' WHEN d2 > 200 THEN 'mahalanobis_gate' END AS reason FROM d""")
 def f13_gate_reason(b: DataFrame) -> DataFrame:
-    """The first of the health, confidence, timestamp and motion gates (F08-F11) that a row fails."""
-    reason = gates.gate_reason(F.col("health"), F.col("confidence"), F.col("dt"), F.abs("jump"), F.col("dt"), max_age=36000.0, max_speed=0.01)
+    """The first of the health, confidence, timestamp, motion and Mahalanobis gates (F08-F12) that a row fails."""
+    reason = gates.gate_reason(F.col("health"), F.col("confidence"), F.col("dt"), F.abs("jump"), F.col("dt"), max_age=36000.0, max_speed=0.01, d2=distance_squared(), most=200.0)
     return stepped(b).select("seq", "idx", reason.alias("reason"))
 
 
+def distance_squared():
+    zero, one = F.lit(0.0), F.lit(1.0)
+    s = [[2.0 + F.col("px"), one, zero], [one, 3.0 + F.col("py"), zero], [zero, zero, one]]
+    return gates.mahalanobis_squared([F.col("x") - 50, F.col("y") - 50, zero], s)
+
+
 @query("""
 e AS (SELECT idx, x - 50 AS a, y - 50 AS b, 2.0 + px AS s0, 3.0 + py AS s1 FROM base),
 d AS (SELECT idx, (a * a * s1 - 2 * a * b + b * b * s0) / (s0 * s1 - 1) AS d2 FROM e)
 SELECT idx, round(d2 / 7, 5) AS d2_seventh, d2 > 16.27 AS rejected FROM d""")
 def f12_mahalanobis(b: DataFrame) -> DataFrame:
-    zero, one = F.lit(0.0), F.lit(1.0)
-    s = [[2.0 + F.col("px"), one, zero], [one, 3.0 + F.col("py"), zero], [zero, zero, one]]
-    d2 = gates.mahalanobis_squared([F.col("x") - 50, F.col("y") - 50, zero], s)
+    d2 = distance_squared()
     return b.select("idx", F.round(d2 / 7, 5).alias("d2_seventh"), (d2 > 16.27).alias("rejected"))
 
 

@@ -9,8 +9,6 @@ from trailmark.functions import geometry
 from trailmark.operators import asof, fusion, matching, sequences
 from trailmark.plans.catalogue import ORACLE_SQL, PACKET, QUERIES, query
 
-SCRIPT = [(0.0, 0.0), (600_000.0, 90.0), (1_200_000.0, 45.0), (1_800_000.0, 270.0)]
-
 SQL_PAIRS = """
 q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT vec_id AS other, embedding::DOUBLE[] AS u FROM embeddings),
 pairs AS (SELECT id, other, sqrt(list_sum(list_transform(list_zip(v, u), lambda p: (p[1] - p[2]) ** 2))) AS d FROM q JOIN r ON id <> other)"""
@@ -60,10 +58,6 @@ def w24_ego_motion(b: DataFrame) -> DataFrame:
     return made.select("seq", "idx", *[(F.round(c, 6) + 0.0).alias(c) for c in ("forward", "left", "rz", "dt")])
 
 
-@query("""
-SELECT seq, idx, round(CASE WHEN t <= 0 THEN 0.0 WHEN t <= 600000 THEN t / 600000 * 90 WHEN t <= 1200000 THEN 90 - (t - 600000) / 600000 * 45 WHEN t <= 1800000 THEN 45 + (t - 1200000) / 600000 * 225 ELSE 270.0 END, 6) AS heading FROM base""")
-def m04_heading_script(b: DataFrame) -> DataFrame:
-    return b.select("seq", "idx", F.round(geometry.piecewise(F.col("t"), SCRIPT), 6).alias("heading"))
 
 
 def _stream(name: str, method: str, left: str) -> str:

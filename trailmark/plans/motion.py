@@ -124,12 +124,31 @@ def inertial(b: DataFrame) -> DataFrame:
     return b.select("seq", nth.alias("t"), *[((F.col(c) - 100.0) * k).alias(n) for n, c, k in (("ax", "x", 1e-4), ("ay", "y", 1e-4), ("gx", "y", 1e-5), ("gy", "x", 1e-5), ("gz", "x", 2e-5))], (F.lit(9.81) + F.col("y") * 1e-5).alias("az"))
 
 
-@rows_only
+SQL_INERTIAL = "o AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY t, idx) AS r, (x - 100) * 1e-4 AS ax, (y - 100) * 1e-4 AS ay, 9.81 + y * 1e-5 AS az, (y - 100) * 1e-5 AS gx, (x - 100) * 1e-5 AS gy, (x - 100) * 2e-5 AS gz FROM base)"
+
+
+@query(f"""{SQL_INERTIAL},
+g AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS angle FROM o),
+d AS (SELECT *, gx * k AS dx, gy * k AS dy, gz * k AS dz, cos(angle / 2) AS dw FROM (SELECT *, CASE WHEN angle < 1e-6 THEN 0.5 - angle * angle / 48 ELSE sin(angle / 2) / angle END AS k FROM g)),
+walk AS (SELECT seq, r, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw FROM o WHERE r = 1
+  UNION ALL SELECT seq, r + 1, x + vx + 0.5 * wx, y + vy + 0.5 * wy, z + vz + 0.5 * wz, vx + wx, vy + wy, vz + wz, tx / n, ty / n, tz / n, tw / n FROM (
+    SELECT *, sqrt(tx * tx + ty * ty + tz * tz + tw * tw) AS n FROM (
+      SELECT w.*, (1 - 2 * (qy * qy + qz * qz)) * ax + 2 * (qx * qy - qz * qw) * ay + 2 * (qx * qz + qy * qw) * az AS wx, 2 * (qx * qy + qz * qw) * ax + (1 - 2 * (qx * qx + qz * qz)) * ay + 2 * (qy * qz - qx * qw) * az AS wy,
+        2 * (qx * qz - qy * qw) * ax + 2 * (qy * qz + qx * qw) * ay + (1 - 2 * (qx * qx + qy * qy)) * az - 9.81 AS wz, qw * dx + dw * qx + qy * dz - qz * dy AS tx, qw * dy + dw * qy + qz * dx - qx * dz AS ty, qw * dz + dw * qz + qx * dy - qy * dx AS tz, qw * dw - qx * dx - qy * dy - qz * dz AS tw
+      FROM walk w JOIN d ON d.seq = w.seq AND d.r = w.r WHERE w.r < (SELECT max(r) FROM o)))),
+held AS (SELECT w.* FROM walk w JOIN o ON o.seq = w.seq AND o.r = w.r),
+bad AS (SELECT *, max(CASE WHEN r - 1 > 10 OR sqrt(x * x + y * y + z * z) > 100 THEN 2 WHEN r - 1 > 5 OR sqrt(x * x + y * y + z * z) > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY r ROWS UNBOUNDED PRECEDING) AS worst FROM held)
+SELECT seq, r::DOUBLE AS t, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(qx, 6) + 0.0 AS qx, round(qy, 6) + 0.0 AS qy, round(qz, 6) + 0.0 AS qz, round(qw, 6) + 0.0 AS qw, CASE worst WHEN 0 THEN 'OK' WHEN 1 THEN 'DEGRADED' ELSE 'LOST' END AS health FROM bad""")
 def w11_strapdown(b: DataFrame) -> DataFrame:
     return motion.strapdown(inertial(b), ["seq"]).select("seq", "t", *rounded("x", "y", "z", "qx", "qy", "qz", "qw"), "health")
 
 
-@rows_only
+@query(f"""{SQL_INERTIAL},
+d AS (SELECT seq, r, CASE WHEN s > 0 THEN gx / s * sin(angle / 2) ELSE 0 END AS dx, CASE WHEN s > 0 THEN gy / s * sin(angle / 2) ELSE 0 END AS dy, CASE WHEN s > 0 THEN gz / s * sin(angle / 2) ELSE 0 END AS dz, CASE WHEN s > 0 THEN cos(angle / 2) ELSE 1 END AS dw
+    FROM (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS angle, abs(gx) + abs(gy) + abs(gz) AS s FROM o)),
+walk AS (SELECT seq, r, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw FROM o WHERE r = 1
+  UNION ALL SELECT d.seq, d.r, qw * dx + dw * qx + qy * dz - qz * dy, qw * dy + dw * qy + qz * dx - qx * dz, qw * dz + dw * qz + qx * dy - qy * dx, qw * dw - qx * dx - qy * dy - qz * dz FROM walk JOIN d ON d.seq = walk.seq AND d.r = walk.r + 1)
+SELECT seq, r::DOUBLE AS t, round(qx, 6) + 0.0 AS qx, round(qy, 6) + 0.0 AS qy, round(qz, 6) + 0.0 AS qz, round(qw, 6) + 0.0 AS qw FROM walk""")
 def w12_gyro(b: DataFrame) -> DataFrame:
     return motion.gyro_orientation(inertial(b), ["seq"]).select("seq", "t", *rounded("qx", "qy", "qz", "qw"))
 
@@ -198,46 +217,6 @@ def a08_stream_ranges(b: DataFrame) -> DataFrame:
     return b.groupBy("method").agg(F.count("*").alias("n"), F.round(F.min("t"), 6).alias("t_first"), F.round(F.max("t"), 6).alias("t_last"), (F.max("px") + 1).alias("width"), (F.max("py") + 1).alias("height"), F.bool_and(F.col("t") >= 0).alias("in_epoch"))
 
 
-@query("SELECT seq, idx, round(CASE WHEN count(*) OVER s <= 2 THEN 0 ELSE coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0) END, 6) AS lasts FROM base WINDOW w AS (PARTITION BY seq ORDER BY t, idx), s AS (PARTITION BY seq)")
-def a10_durations(b: DataFrame) -> DataFrame:
-    return evaluate.durations(b, ["seq"], ["t", "idx"]).select("seq", "idx", F.round("lasts", 6).alias("lasts"))
-
-
-SQL_ERRORS = f"""{SQL_MATCH},
-walked AS (SELECT *, sqrt((x - ref_x) ** 2 + (y - ref_y) ** 2) AS error, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS d FROM matched WINDOW w AS (PARTITION BY seq ORDER BY t, idx)),
-far AS (SELECT *, round(sum(d) OVER (PARTITION BY seq ORDER BY t, idx ROWS UNBOUNDED PRECEDING), 4) AS distance FROM walked)"""
-
-
-def walked(b: DataFrame) -> DataFrame:
-    """Matched rows with error and the distance gone so far."""
-    d = sequences.cumulative_distance(evaluate.errors(matches(b)), ["seq"], ["x", "y"], ["t", "idx"])
-    return d.withColumn("distance", F.round("distance", 4))
-
-
-@query(f"{SQL_ERRORS} SELECT seq, round(CASE WHEN max(distance) > 0 THEN 100 * max_by(error, (t, idx)) / max(distance) END, 6) AS drift_percent FROM far GROUP BY seq")
-def a14_drift_percent(b: DataFrame) -> DataFrame:
-    far = F.max("distance")
-    return walked(b).groupBy("seq").agg(F.round(F.when(far > 0, 100 * F.max_by("error", F.struct("t", "idx")) / far), 6).alias("drift_percent"))
-
-
-@query(f"""{SQL_ERRORS},
-n AS (SELECT seq, greatest(ceil(max(distance) / {BIN}), 1)::BIGINT AS many FROM far GROUP BY seq), bins AS (SELECT seq, unnest(range(many)) AS bin FROM n),
-s AS (SELECT seq, least(floor(distance / {BIN})::BIGINT, many - 1) AS bin, count(*) AS n, median(error) AS median, quantile_cont(error, 0.75) - quantile_cont(error, 0.25) AS iqr FROM far JOIN n USING (seq) GROUP BY ALL)
-SELECT seq, bin, (bin * {BIN})::DOUBLE AS bin_start, coalesce(n, 0) AS n, round(median, 6) AS median, round(iqr, 6) AS iqr FROM bins LEFT JOIN s USING (seq, bin)""")
-def a16_drift_bins(b: DataFrame) -> DataFrame:
-    return evaluate.drift_bins(walked(b), ["seq"], "distance", "error", BIN).select("seq", "bin", "bin_start", "n", *[F.round(c, 6).alias(c) for c in ("median", "iqr")])
-
-
-@query(f"""{SQL_ERRORS},
-ahead AS (SELECT seq, idx, distance + 1000 AS d, x, y, ref_x, ref_y FROM far), there AS (SELECT seq, distance AS u, max(idx) AS i FROM far GROUP BY ALL), th AS (SELECT t.seq, t.u, f.x, f.y, f.ref_x, f.ref_y FROM there t JOIN far f ON f.seq = t.seq AND f.idx = i),
-p AS (SELECT a.*, h.u AS pu, h.x AS x1, h.y AS y1, h.ref_x AS rx1, h.ref_y AS ry1 FROM ahead a ASOF LEFT JOIN th h ON a.seq = h.seq AND a.d >= h.u),
-q AS (SELECT p.*, h.u AS nu, h.x AS x2, h.y AS y2, h.ref_x AS rx2, h.ref_y AS ry2 FROM p ASOF LEFT JOIN th h ON p.seq = h.seq AND p.d <= h.u),
-pick AS (SELECT *, nu IS NULL OR (pu IS NOT NULL AND d - pu <= nu - d) AS take FROM q),
-pair AS (SELECT seq, abs(d - CASE WHEN take THEN pu ELSE nu END) AS gap, CASE WHEN take THEN (x1 - x) - (rx1 - ref_x) ELSE (x2 - x) - (rx2 - ref_x) END AS dx, CASE WHEN take THEN (y1 - y) - (ry1 - ref_y) ELSE (y2 - y) - (ry2 - ref_y) END AS dy FROM pick)
-SELECT seq, count(*) AS n, round(sqrt(avg(dx * dx + dy * dy)), 6) AS rmse FROM pair WHERE gap <= 100 GROUP BY seq""")
-def a17_relative_errors(b: DataFrame) -> DataFrame:
-    e = F.col("error")
-    return evaluate.relative_errors(walked(b), ["seq"], "distance", 1000.0).groupBy("seq").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))
 
 
 @rows_only
@@ -251,9 +230,14 @@ def a34_centroid(b: DataFrame) -> DataFrame:
     return events.centroid(b, ["seq", "method"], "x").select("seq", "method", *[F.round(c, 6).alias(c) for c in ("cy", "cx")])
 
 
-@query("SELECT method, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 4) AS variance FROM base GROUP BY method")
+@query("""
+s AS (SELECT method, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM base GROUP BY method),
+r AS (SELECT method, m * n / (n + 1e-4) AS mean, (1e-4 + v * n + m * m * 1e-4 * n / (n + 1e-4)) / (n + 1e-4) AS variance FROM s)
+SELECT idx, round((x - mean) / sqrt(variance + 1e-8), 6) + 0.0 AS normal FROM base JOIN r USING (method)""")
 def a35_running_norm(b: DataFrame) -> DataFrame:
-    return b.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.var_pop("x"), 4).alias("variance"))
+    """Values by their stream's running mean and variance, whose first state counts as a ten-thousandth of a row."""
+    state = sequences.running_norm(b, ["method"], "x")
+    return sequences.normalise(b, state, ["method"], "x").select("idx", (F.round("normal", 6) + 0.0).alias("normal"))
 
 
 @query(f"""{SQL_ORDERED.replace("t, idx)", "t DESC, idx DESC)")},
@@ -280,14 +264,6 @@ def m03_ground_truth(b: DataFrame) -> DataFrame:
     return made.select("idx", *rounded("east", "qz", "qw", "vx", "vy"))
 
 
-@query("""
-s AS (SELECT *, coalesce(lag(x) OVER w * sin(radians(lag(y) OVER w)) * (t - lag(t) OVER w), 0) AS dx, coalesce(lag(x) OVER w * cos(radians(lag(y) OVER w)) * (t - lag(t) OVER w), 0) AS dy FROM base WINDOW w AS (PARTITION BY seq ORDER BY t, idx))
-SELECT seq, idx, round(sum(dx) OVER o / 1000, 3) + 0.0 AS east, round(sum(dy) OVER o / 1000, 3) + 0.0 AS north FROM s WINDOW o AS (PARTITION BY seq ORDER BY t, idx ROWS UNBOUNDED PRECEDING)""")
-def m05_kinematic(b: DataFrame) -> DataFrame:
-    w = Window.partitionBy("seq").orderBy("t", "idx")
-    upto, dt, yaw = w.rowsBetween(Window.unboundedPreceding, 0), F.col("t") - F.lag("t").over(w), F.radians(F.lag("y").over(w))
-    steps = b.select("seq", "idx", "t", *[F.coalesce(F.lag("x").over(w) * f(yaw) * dt, F.lit(0.0)).alias(n) for n, f in (("dx", F.sin), ("dy", F.cos))])
-    return steps.select("seq", "idx", *[(F.round(F.sum(d).over(upto) / 1000, 3) + 0.0).alias(n) for n, d in (("east", "dx"), ("north", "dy"))])
 
 
 @query("""SELECT idx, round((floor(y) + px / 60.0 + py / 3600.0) * CASE WHEN method IN ('error', 'click') THEN -1.0 ELSE 1.0 END, 9) + 0.0 AS decimal,
@@ -307,12 +283,6 @@ def m08_homography(b: DataFrame) -> DataFrame:
     return b.select("idx", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
-@query("""
-c AS (SELECT seq, idx, ln(least(x, 255) / 255.0 + 1e-3) - lag(ln(least(x, 255) / 255.0 + 1e-3)) OVER w AS change, (t + lag(t) OVER w) / 2 AS mid FROM base WINDOW w AS (PARTITION BY seq, py ORDER BY t, idx))
-SELECT seq, idx, round(mid, 4) AS t, CASE WHEN change > 0 THEN 1 ELSE -1 END AS p, round(change, 6) AS change FROM c WHERE abs(change) >= 0.2""")
-def m09_log_intensity(b: DataFrame) -> DataFrame:
-    found = events.log_events(b.withColumn("x", F.least("x", F.lit(255.0))).drop("p"), ["seq", "py"], "x", ["t", "idx"], 0.2)
-    return found.select("seq", "idx", F.round("t", 4).alias("t"), "p", F.round("change", 6).alias("change"))
 
 
 @query("""
@@ -332,10 +302,3 @@ def a27_blend_two(b: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     q = geometry.blend([zero, zero, F.sin(F.radians("x") / 2), F.cos(F.radians("x") / 2)], [zero, zero, F.sin(F.radians("y") / 2), F.cos(F.radians("y") / 2)], F.col("confidence"))
     return b.select("idx", (F.round(q[2], 6) + 0.0).alias("qz"), (F.round(q[3], 6) + 0.0).alias("qw"))
-
-
-@query(f"{SQL_DIST}, bins AS (SELECT seq, idx, floor(round(distance, 4) / {BIN}) * {BIN} AS bin_start FROM dist) SELECT seq, bin_start, count(*) AS n, min(idx) AS first_idx FROM bins GROUP BY ALL")
-def v05_bin_relation(b: DataFrame) -> DataFrame:
-    """The relation behind a drift-over-distance plot."""
-    d = sequences.cumulative_distance(b, ["seq"], ["x", "y"], ["t", "idx"]).select("seq", "idx", (F.floor(F.round("distance", 4) / BIN) * F.lit(BIN)).alias("bin_start"))
-    return d.groupBy("seq", "bin_start").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))

@@ -117,10 +117,19 @@ def unordered_streams(rows: DataFrame, keys: list[str], order: str, t: str = "t"
     return rows.withColumn("_back", back).groupBy(*keys).agg(F.bool_or(F.coalesce("_back", F.lit(False))).alias("_any")).where("_any").drop("_any")
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """vec_id, embedding as doubles, size."""
-    e = spark.read.parquet(path)
-    return e.select("*", F.size("embedding").alias("size"))
+def time_problems(rows: DataFrame, keys: list[str], order: list[str], strictly: bool = False, t: str = "t") -> DataFrame:
+    """Rows whose time is before that of the row before them, or with strictly not after it, in the given order, with problem."""
+    last = F.lag(t).over(Window.partitionBy(*keys).orderBy(*order))
+    bad = F.col(t) <= last if strictly else F.col(t) < last
+    return rows.withColumn("problem", F.when(bad, F.concat(F.lit("time goes back to "), F.col(t).cast("string")))).where("problem is not null")
+
+
+def read_embeddings(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """All columns, size, and problem: no vector, one of another size than given, or a number in it that isn't finite."""
+    e = spark.read.parquet(path).withColumn("size", F.size("embedding"))
+    wrong = F.col("size") != size if size else F.lit(False)
+    infinite = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return e.withColumn("problem", F.when(F.col("embedding").isNull(), "no vector").when(wrong, F.concat(F.lit("size "), F.col("size").cast("string"))).when(infinite, "a number isn't finite"))
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +138,14 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.try_parse_json("value").alias("body"))
 
 
-def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """The newest run folder with an estimate: path and modification time, from file listings alone."""
+def latest_run(spark: SparkSession, path: str, method: str | None = None, sequence: str | None = None) -> DataFrame:
+    """The newest run folder with an estimate: path and modification time, from file listings; with a method or sequence,
+    of the runs whose manifest names these."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "trajectory*").load(path).select("path", "modificationTime")
+    if method or sequence:
+        folder = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/[^/]*$", "")
+        told = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "run_manifest.json").text(path, wholetext=True).select("value", F.input_file_name().alias("path")).withColumn("_folder", folder)
+        for name, value in (("method", method), ("sequence", sequence)):
+            told = told.where(F.get_json_object("value", f"$.{name}") == value) if value else told
+        files = files.withColumn("_folder", folder).join(told.select("_folder"), "_folder", "left_semi")
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.max("modificationTime").alias("modified"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.sources.validators import HEADINGS, HEALTH, MANIFEST_KEYS, NO_FAILURES
+
+#: Fixed: the columns of a trajectory file.
 COLUMNS = ["timestamp", "method", "x", "y", "z", "qx", "qy", "qz", "qw", "vx", "vy", "vz", "confidence", "health", "latency_ms"]
 
 
@@ -14,24 +17,27 @@ def fixed(value: str | Column, places: int = 9) -> Column:
     return F.when(c.isNotNull(), F.format_string(f"%.{places}f", c)).otherwise("")
 
 
-def write_trajectory(poses: DataFrame, path: str, extra: list[str] | None = None) -> None:
-    """Trajectory as CSV: 15 columns and any extra ones, nine decimals, latency three; empty cells for nulls."""
+def write_trajectory(poses: DataFrame, path: str, extra: list[str] | None = None, keys: list[str] | None = None) -> None:
+    """Trajectory as CSV: 15 columns and any extra ones, nine decimals, latency three; empty cells for nulls. Keys become folders."""
     named = {"timestamp": fixed("t"), "method": F.col("method"), "health": F.col("health"), "latency_ms": fixed("latency_ms", 3)}
     have = set(poses.columns)
     cells = [named[c].alias(c) if c in named and (c == "timestamp" or c in have) else (fixed(c).alias(c) if c in have else F.lit("").alias(c)) for c in COLUMNS]
-    poses.select(*cells, *[fixed(c).alias(c) for c in extra or []]).write.csv(path, header=True, emptyValue="")
+    made = poses.select(*keys or [], *cells, *[fixed(c).alias(c) for c in extra or []])
+    (made.write.partitionBy(*keys) if keys else made.write).csv(path, header=True, emptyValue="")
 
 
-def write_tum(poses: DataFrame, path: str) -> None:
-    """Space-separated poses of those that are neither LOST nor INVALID."""
+def write_tum(poses: DataFrame, path: str) -> int:
+    """Space-separated poses of those that are neither LOST nor INVALID; gives how many others were left out."""
     kept = poses.where(~F.col("health").isin("LOST", "INVALID"))
     kept.select(F.concat_ws(" ", *[fixed(c) for c in ("t", "x", "y", "z", "qx", "qy", "qz", "qw")]).alias("value")).write.text(path)
+    return poses.where(F.col("health").isin("LOST", "INVALID")).count()
 
 
 def write_json(report: DataFrame, path: str) -> None:
-    """One JSON document for each row; numbers that aren't finite become null."""
-    cells = [F.when(~F.isnan(f.name) & (F.abs(f.name) != float("inf")), F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in report.schema.fields]
-    report.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    """One JSON document for each row; numbers that aren't finite become null, at any depth."""
+    from trailmark.sources.reports import json_rows
+
+    json_rows(report).write.text(path)
 
 
 def write_log(rows: DataFrame, path: str) -> None:
@@ -44,12 +50,27 @@ def health_counts(poses: DataFrame, keys: list[str]) -> DataFrame:
     return poses.groupBy(*keys).agg(*[F.count_if(F.col("health") == h).alias(h.lower()) for h in ("OK", "DEGRADED", "LOST", "INVALID")])
 
 
+def manifest(poses: DataFrame, details: dict) -> DataFrame:
+    """value: a run's manifest as JSON, of details (which must have every key that the check asks for, but for the
+    counts) and the number of poses in each state."""
+    import json
+
+    if missing := [k for k in MANIFEST_KEYS if k not in details and k != "health_counts"]:
+        raise ValueError(f"no {missing[0]} in the manifest's details")
+    counts = F.to_json(F.struct(*[F.count_if(F.col("health") == h).alias(h) for h in HEALTH]))
+    start = json.dumps(details, allow_nan=False)[:-1]
+    return poses.agg(F.concat(F.lit(f'{start}, "health_counts": '), counts, F.lit("}")).alias("value"))
+
+
 def failure_notes(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, notes: a Markdown line for each DEGRADED or LOST run (runs of state, t_first, t_last, n), in time order."""
+    """keys, notes for each key of intervals (runs of state, t_first, t_last, n, healthy ones too): the headings that the
+    notes' check asks for, poses of each state, and a line for each DEGRADED, LOST or INVALID run in time order, or that there was none."""
     line = F.format_string("- %s: %.3f s to %.3f s (%d poses)", "state", "t_first", "t_last", "n")
-    failed = intervals.where(F.col("state").isin("DEGRADED", "LOST"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("t_first", line.alias("line")))), lambda r: r["line"])
-    return failed.groupBy(*keys).agg(F.concat_ws("\n", lines).alias("notes"))
+    failed = F.col("state").isin(*HEALTH[1:])
+    lines = F.transform(F.sort_array(F.collect_list(F.when(failed, F.struct("t_first", line.alias("line"))))), lambda r: r["line"])
+    counts = [F.concat(F.lit(f"- {h}: "), F.sum(F.when(F.col("state") == h, F.col("n")).otherwise(0)).cast("string")) for h in HEALTH]
+    found = F.when(F.count_if(failed) > 0, F.concat_ws("\n", lines)).otherwise(NO_FAILURES)
+    return intervals.groupBy(*keys).agg(F.concat_ws("\n", F.lit(HEADINGS[0]), F.lit(""), F.lit(HEADINGS[1]), *counts, F.lit(""), F.lit(HEADINGS[2]), found).alias("notes"))
 
 
 def check_run(trajectory: DataFrame, tum: DataFrame, manifest: dict[str, int]) -> DataFrame:
