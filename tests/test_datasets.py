@@ -77,5 +77,5 @@ def test_other_readers(spark, tmp_path):
     counts = sinks.health_counts(spark.createDataFrame([("a", "OK"), ("a", "LOST")], "seq string, health string"), ["seq"]).first()
     assert (counts.ok, counts.lost, counts.invalid) == (1, 1, 0)
     sinks.write_log(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "log"))
-    assert spark.read.text(str(tmp_path / "log")).collect()[-1].value == "1,"
+    assert {r.value for r in spark.read.text(str(tmp_path / "log")).collect()} == {"a,b", "1,"}
     assert latest is not None

@@ -42,7 +42,10 @@ def test_unordered_streams(spark):
 
 def test_notes(spark):
     runs = spark.createDataFrame([("a", "OK", 0.0, 1.0, 2), ("a", "LOST", 2.0, 3.0, 4), ("a", "DEGRADED", 1.0, 1.5, 1)], "seq string, state string, t_first double, t_last double, n long")
-    assert sinks.failure_notes(runs, ["seq"]).first().notes == "- DEGRADED: 1.000 s to 1.500 s (1 poses)\n- LOST: 2.000 s to 3.000 s (4 poses)"
+    notes = sinks.failure_notes(runs, ["seq"]).first().notes
+    assert notes.endswith("## Detected Degraded/Lost Intervals\n- DEGRADED: 1.000 s to 1.500 s (1 poses)\n- LOST: 2.000 s to 3.000 s (4 poses)")
+    assert notes.startswith("# Run Failure Notes\n\n## Health Summary\n- OK: 2\n- DEGRADED: 1\n- LOST: 4\n- INVALID: 0\n")
+    assert sinks.failure_notes(runs.where("state = 'OK'"), ["seq"]).first().notes.endswith("No degraded or lost intervals were detected.")
 
 
 def test_streams(spark, tmp_path):
