@@ -497,12 +497,13 @@ def test_lines_by_value(spark):
 
 
 def test_long_texts(spark):
-    """A text of twelve million characters beside small ones, in every operator that holds words."""
-    words = random.Random(1).choices([f"w{k}" for k in range(3000)], k=2_000_000)
+    """A text of more than a segment beside small ones, in every operator that holds words."""
+    words = random.Random(1).choices([f"w{k}" for k in range(3000)], k=450_000)
+    assert len(" ".join(words)) > lm.SEGMENT
     docs = spark.createDataFrame([(1, " ".join(words), "en", "s"), (2, "a short one", "en", "s")], "doc_id long, text string, lang string, source string").repartition(2)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs, F.lit(False), path, public_tokenizers.PATTERN).collect()} == {1: 2_000_001, 2: 4}
-    assert {r.doc_id: r.n_words for r in quality.judge_quality(docs, {}).collect()} == {1: 2_000_000, 2: 3}
+    assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs, F.lit(False), path, public_tokenizers.PATTERN).collect()} == {1: 450_001, 2: 4}
+    assert {r.doc_id: r.n_words for r in quality.judge_quality(docs, {}).collect()} == {1: 450_000, 2: 3}
     assert jaccard_join.near_duplicates(docs).where("n_links = 0").count() == 2
     assert langid.predict_language(docs, langid.fit_profiles(docs)).where("lang_pred = 'en'").count() == 2
 
