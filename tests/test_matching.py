@@ -6,11 +6,11 @@ import pytest
 
 from trailmark.functions import frames
 
-from trailmark.plans import catalogue, matching as plans
+from trailmark.plans import catalogue, episodes, matching as plans  # noqa: F401
 from trailmark.sources import validators
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a29_three_streams", "j17_reference_at_boundaries", "j18_ratio_matches", "j19_mutual_matches", "m04_heading_script", "w24_ego_motion"]
+NAMES = ["a29_three_streams", "j17_reference_at_boundaries", "j18_ratio_matches", "j19_mutual_matches", "w17_pair_cues", "w23_rebased", "w24_ego_motion"]
 
 
 @pytest.mark.parametrize("name", NAMES)

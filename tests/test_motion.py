@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import evaluate, fusion, motion
-from trailmark.plans import catalogue, fusion as fusion_plans, motion as motion_plans  # noqa: F401
+from trailmark.plans import catalogue, evaluation, fusion as fusion_plans, motion as motion_plans  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

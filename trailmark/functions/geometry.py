@@ -93,11 +93,3 @@ def rotation_vector(q: list[Column]) -> list[Column]:
     size = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])
     scale = F.when(size < 1e-12, 2.0).otherwise(2 * F.atan2(size, F.abs(q[3])) / F.nullif(size, F.lit(0.0)))
     return [sign * scale * x for x in q[:3]]
-
-
-def piecewise(t: Column, points: list[tuple[float, float]]) -> Column:
-    """Linear between the given (time, value) points, held before the first and after the last; angles aren't wrapped."""
-    out = F.lit(float(points[-1][1]))
-    for (t0, v0), (t1, v1) in reversed(list(zip(points, points[1:], strict=False))):
-        out = F.when(t <= t1, v0 + (t - t0) / (t1 - t0) * (v1 - v0) if t1 > t0 else F.lit(float(v0))).otherwise(out)
-    return F.when(t <= points[0][0], float(points[0][1])).otherwise(out)

@@ -75,11 +75,3 @@ def centroid(pixels: DataFrame, keys: list[str], weight: str, x: str = "px", y:
     """Weighted centre of each frame; (0, 0) for one without mass."""
     mass = F.sum(weight)
     return pixels.groupBy(*keys).agg(*[F.when(mass > 0, F.sum(F.col(c) * F.col(weight)) / mass).otherwise(0.0).alias(n) for c, n in ((x, "cx"), (y, "cy"))])
-
-
-def log_events(samples: DataFrame, keys: list[str], intensity: str, order: list[str], threshold: float, t: str = "t") -> DataFrame:
-    """Changes of log intensity (0..255) between a pixel's samples that reach the threshold: t (midway), p (1 or -1), change."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    now = F.log(F.col(intensity) / 255.0 + 1e-3)
-    made = samples.withColumn("change", now - F.lag(now).over(w)).withColumn("_mid", (F.col(t) + F.lag(t).over(w)) / 2)
-    return made.where(F.abs("change") >= threshold).withColumn("p", F.when(F.col("change") > 0, 1).otherwise(-1)).withColumn(t, F.col("_mid")).drop("_mid")
