@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,23 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import map_batches, slices, type_of
 from trailmark.llm.tokens import LETTER, MARK, PLAIN, SPLIT, ChunkCache, Kept, read_ranks, space_chunks
 
-#: Words of one recursive query, and the longest word (in bytes) that one may hold: a query keeps every step of its
-#: words, which for a longer word would grow as the square of its length. Such words are contracted with a heap.
-WORDS_A_QUERY, LONGEST_WORD = 20_000, 255
-#: Memory of a worker's DuckDB.
-MEMORY = "100MB"
-#: Characters of texts whose words are contracted together; a longer text is alone.
-SLICE = 2_500_000
-#: Contracted words, and chunks, that a worker keeps, beside as many that came up before.
-WORDS_KEPT, CHUNKS_KEPT = 120_000, 80_000
+
+class Limits(NamedTuple):
+    """What a worker holds: words of one recursive query, contracted words and chunks that it keeps (beside as many that
+    came up before), characters of texts whose words are contracted together (a longer text is alone), DuckDB's memory."""
+
+    query: int
+    words: int
+    chunks: int
+    characters: int
+    memory: str
+
+
+#: For a job of its own, and for one among others whose executors have little memory left for Python.
+ALONE, BESIDE = Limits(30_000, 300_000, 150_000, 4_000_000, "250MB"), Limits(20_000, 120_000, 80_000, 2_500_000, "100MB")
+#: The longest word (in bytes) that a recursive query may hold: it keeps every step of its words, which for a longer word
+#: would grow as the square of its length. Such words are contracted with a heap.
+LONGEST_WORD = 255
 #: The pattern's pieces of plain chunks that are joined by MARK, by Python's re.
 _PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+|{MARK}| ?[^\s{LETTER}0-9{MARK}]+|[^\S{MARK}]+(?=[{MARK}]|$)|[^\S{MARK}]+(?!\S)|[^\S{MARK}]+")
 
@@ -83,15 +92,16 @@ def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class RankEncoder:
     """Encodes distinct words with DuckDB; gives (ids joined by spaces, decoded bytes) for each chunk."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, limits: Limits = ALONE) -> None:
         import duckdb
         import regex
 
         self.ranks, merges, vocabulary = merge_tables(path)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pattern, self.known_pattern, self.words = regex.compile(pattern), pattern == SPLIT, Kept(WORDS_KEPT)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
+        self.pattern, self.known_pattern, self.words = regex.compile(pattern), pattern == SPLIT, Kept(limits.words)
+        self.limits = limits
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": limits.memory, "autoinstall_known_extensions": "false", "autoload_known_extensions": "false"})
         self.db.register("merges_given", merges)
         self.db.register("vocabulary_given", vocabulary)
         self.db.execute("CREATE TABLE merges AS FROM merges_given")
@@ -138,8 +148,8 @@ class RankEncoder:
             else:
                 short.append((p, b))
         short.sort(key=lambda x: len(x[1]))  # words of one query need about as many rounds
-        for at in range(0, len(short), WORDS_A_QUERY):
-            part = short[at : at + WORDS_A_QUERY]
+        for at in range(0, len(short), self.limits.query):
+            part = short[at : at + self.limits.query]
             for word, ids, decoded in self.contract([b for _, b in part]):
                 known[part[word][0]] = (ids, bytes.fromhex(decoded))
         out = {}
@@ -169,13 +179,13 @@ def _pieces_alone(chunk: str) -> list[str]:
 
 
 @cache
-def worker_ranks(path: str, pattern: str) -> tuple[RankEncoder, ChunkCache]:
+def worker_ranks(path: str, pattern: str, limits: Limits) -> tuple[RankEncoder, ChunkCache]:
     """One encoder with its bounded caches for each Python worker, which runs one task after another."""
-    encoder = RankEncoder(path, pattern)
-    return encoder, ChunkCache(encoder.chunks, CHUNKS_KEPT)
+    encoder = RankEncoder(path, pattern, limits)
+    return encoder, ChunkCache(encoder.chunks, limits.chunks)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", with_ids: bool = False, limits: Limits = ALONE) -> DataFrame:
     """Encode every whole text by the ranks, each match of the pattern separately, and decode the ids again.
 
     Returns id, n_tokens, ids_sha256 (of the decimal ids joined by spaces), decoded_sha256 (of the decoded bytes), and
@@ -184,10 +194,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = worker_ranks(ranks_path, pattern)
+        encoder, cache = worker_ranks(ranks_path, pattern, limits)
         for rows in parts:
             texts, out = rows.column("text").to_pylist(), []
-            for part in slices(texts, (len(t or "") for t in texts), SLICE):
+            for part in slices(texts, (len(t or "") for t in texts), limits.characters):
                 chunked = [[c for c in encoder.parted(t) if c] if t else [] for t in part]
                 known = cache.get(chunked)
                 for chunks in chunked:
