@@ -363,7 +363,7 @@ def test_quality_equals_a_plain_version(spark):
     found = {r.doc_id: r for r in quality.judge_quality(docs, refs).collect()}
     counts = defaultdict(Counter)
     for r in docs.collect():
-        counts[r.lang].update(w.strip(quality.EDGE) for w in (r.text or "").encode().lower().split())
+        counts[r.lang].update(w.lower().encode().strip(quality.EDGE) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
     for lang, c in counts.items():
         top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]
         assert (refs[lang]["words"], refs[lang]["counts"], refs[lang]["total"]) == ([w.decode() for w, _ in top], [n for _, n in top], sum(c.values()))

@@ -77,6 +77,11 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
     return int(in_any.sum())
 
 
+def common_form(word: bytes) -> bytes:
+    """A word as the common words have it: in lower case by Unicode's rules, without the marks at its ends."""
+    return (word.lower() if word.isascii() else word.decode().lower().encode()).strip(EDGE)
+
+
 def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, dict]:
     """For each language: the character-class histogram, and its COMMON_WORDS most frequent words with the count of all.
 
@@ -89,7 +94,11 @@ def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, dict]:
         chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES)))
 
         def out() -> pa.RecordBatch:
-            rows = [(k, f"w{w.decode()}", n) for k, c in words.items() for w, n in c.items()]
+            folded: dict[str, Counter] = defaultdict(Counter)
+            for label, c in words.items():
+                for w, n in c.items():
+                    folded[label][common_form(w)] += n
+            rows = [(k, f"w{w.decode()}", n) for k, c in folded.items() for w, n in c.items()]
             rows += [(k, f"c{i}", int(n)) for k, h in chars.items() for i, n in enumerate(h)]
             words.clear()
             chars.clear()
@@ -99,7 +108,7 @@ def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, dict]:
             for text, label in zip(rows.column("text").to_pylist(), rows.column("label").to_pylist(), strict=True):
                 data = text.encode("utf-8", "replace")
                 chars[label] += np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ CLASS_TABLE
-                words[label].update([w.strip(EDGE) for w in data.lower().split()])
+                words[label].update(data.split())
                 if sum(map(len, words.values())) > FLUSH:
                     yield out()
         yield out()
@@ -152,7 +161,7 @@ def judge_quality(docs: DataFrame, refs: dict[str, dict], id_col: str = "doc_id"
         times = np.bincount(ids, minlength=len(seen))
         common: dict[bytes, int] = defaultdict(int)
         for w, k in zip(seen, times.tolist(), strict=True):
-            common[w.lower().strip(EDGE)] += k
+            common[common_form(w)] += k
         best = (0.0, 0.0)
         near = [label] if label in char_refs else labels
         histogram = by_byte @ CLASS_TABLE
