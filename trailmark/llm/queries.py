@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, lm, quality, token_counts, token_output, url_filters
+from trailmark.llm import bpe, collocations, decontaminate, jaccard_join, langid, line_dedup, lm, quality, token_counts, token_output, url_filters
 from trailmark.llm.common import crc_mod, scratch, table
 
 #: Fixed rules: host, path, verdict.
@@ -61,9 +61,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch(spark, "token-counts"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts, op11_collocations)}
 
 ORACLE_SQL = {
+    "op11_collocations": r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL)
+), places AS (
+    SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces WHERE len(w) > 0
+), f AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), sizes AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), frequent AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= 100
+), cuts AS (
+    SELECT lang, k, phrase, a, w, unnest(generate_series(1, k - 1)) AS cut FROM frequent WHERE k > 1
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+    FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ') JOIN sizes s ON s.lang = c.lang
+), worst AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+    SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(generate_series(1, k)) AS i FROM frequent WHERE k > 2), (SELECT unnest([2, 3, 4]) AS m) WHERE m < k AND i + m - 1 <= k
+), within AS (
+    SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY ALL
+), ranked AS (
+    SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank FROM worst w LEFT JOIN within i ON i.lang = w.lang AND i.phrase = w.phrase WHERE most IS NULL OR 100 * most < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""",
     "op9_line_dedup": """
 WITH docs AS (
     SELECT doc_id, source, text, row_number() OVER () AS r FROM documents
