@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, collocations, decontaminate, jaccard_join, langid, line_dedup, lm, quality, token_counts, token_output, url_filters
+from trailmark.llm import bpe, collocations, decontaminate, jaccard_join, langid, line_dedup, lm, prefix_trie, quality, token_counts, token_output, url_filters
 from trailmark.llm.common import crc_mod, scratch, table
 
 #: Fixed rules: host, path, verdict.
@@ -65,9 +65,40 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts, op11_collocations)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts, op11_collocations, op12_prefix_trie)}
 
 ORACLE_SQL = {
+    "op12_prefix_trie": """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), ids AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS origin, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT i.conv_id, pos, role, text FROM ids i JOIN turns t ON t.conv_id = i.origin AND pos <= h
+    UNION ALL SELECT i.conv_id, pos, role, text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND pos > h
+), paths AS (
+    SELECT ids.conv_id, coalesce(path, []) AS path FROM ids LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS path FROM rebuilt GROUP BY conv_id) USING (conv_id)
+), steps AS (
+    SELECT conv_id, d, path[1:d] AS node, d = len(path) AS ends FROM (SELECT *, unnest(generate_series(0, len(path))) AS d FROM paths)
+), nodes AS (
+    SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ended FROM steps GROUP BY node, d
+), children AS (
+    SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), whole AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.node[d].text) END AS value FROM nodes n LEFT JOIN children c ON c.node = n.node
+), below AS (
+    SELECT node[1:j] AS node, sum(value)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(generate_series(0, d)) AS j FROM whole) GROUP BY ALL
+)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(coalesce(w.ended, '')) AS ends_sha256
+FROM whole w JOIN below b ON b.node = w.node LEFT JOIN nodes p ON w.d > 0 AND p.d = w.d - 1 AND p.node = w.node[1:w.d - 1]
+""",
     "op11_collocations": r"""
 WITH pieces AS (
     SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
