@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, collocations, decontaminate, jaccard_join, langid, line_dedup, lm, prefix_trie, quality, token_counts, token_output, url_filters
+from trailmark.llm import bpe, collocations, decontaminate, jaccard_join, langid, line_dedup, lm, prefix_trie, quality, secret_scan, token_counts, token_output, url_filters
 from trailmark.llm.common import crc_mod, scratch, table
 
 #: Fixed rules: host, path, verdict.
@@ -69,7 +69,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts, op11_collocations, op12_prefix_trie)}
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.learn_field(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_language_id, op6_jaccard_join, op7_token_files, op8_lm_scores, op9_line_dedup, op10_token_counts, op11_collocations, op12_prefix_trie, op13_secret_scan)}
 
 ORACLE_SQL = {
     "op12_prefix_trie": """
