@@ -160,8 +160,11 @@ def safe_windows(words: np.ndarray, size: int, bits: np.ndarray) -> tuple[np.nda
     new = np.ones(len(at), bool)
     new[1:] = hashes[1:] != hashes[:-1]
     first = at[new][np.cumsum(new) - 1] if len(at) else at
+    other = np.zeros(len(at), bool)
     for j in range(size):
-        new |= words[at + j] != words[first + j]
+        other |= words[at + j] != words[first + j]
+    new |= other
+    new[1:] |= other[:-1]
     starts = np.flatnonzero(new)
     return hashes[starts], at[starts], np.diff(np.append(starts, len(at)))
 
