@@ -10,12 +10,14 @@ count the accepting states that they reach; Spark adds the tasks' counts.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ from trailmark.llm.common import map_batches, materialise
 PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 LONGEST = 5
 #: Hashes in an array that is written, bytes of a text that are cut at once (at a piece's end), words that a task counts.
-ARRAY, SLICE, FLUSH = 1 << 18, 1 << 20, 200_000
+ARRAY, SLICE, FLUSH = 1 << 18, 1 << 20, 100_000
+#: Windows that a task adds up before it hands their sums on; parts that keys are dealt in; phrases whose counts are one row.
+MERGED, BUCKETS, COUNTS = 1 << 20, 1024, 1024
 #: Bits of the bitmap of frequent parts; when there are many more parts, it lets more windows pass, never fewer.
 BITS = 1 << 26
 #: Phrases of a trie: what is sent to tasks at once is a few times ten bytes for each.
@@ -148,13 +152,16 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.astype(">u8").tobytes())])
 
 
-def safe_windows(words: np.ndarray, size: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first place and count of the different windows whose parts may both be frequent. Windows that share a hash but
-    not their words stand alone."""
+def safe_windows(words: np.ndarray, size: int, bits: np.ndarray, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first place and count of the different windows whose parts may both be frequent (and, with `heavy`, they
+    themselves). Windows that share a hash but not their words stand alone."""
     part, whole = rolling(words, size - 1)
     whole &= in_bitmap(bits, part)
     at = np.flatnonzero(whole[:-1] & whole[1:]) if len(whole) > 1 else np.zeros(0, np.int64)
     hashes = part[at] * np.uint64(FACTOR) + words[at + size - 1]
+    if heavy is not None:
+        some = in_bitmap(heavy, hashes)
+        at, hashes = at[some], hashes[some]
     order = np.argsort(hashes, kind="stable")
     at, hashes = at[order], hashes[order]
     new = np.ones(len(at), bool)
@@ -169,19 +176,81 @@ def safe_windows(words: np.ndarray, size: int, bits: np.ndarray) -> tuple[np.nda
     return hashes[starts], at[starts], np.diff(np.append(starts, len(at)))
 
 
-def candidates(arrays: DataFrame, size: int, frequent: DataFrame, least: int) -> DataFrame:
-    """hash, key of the phrases of so many words that can be frequent: both parts are, and so is the sum of tasks' windows."""
-    bits = arrays.sparkSession.sparkContext.broadcast(bitmap(frequent))
+def window_sums(arrays: DataFrame, size: int, bits: Broadcast, least: int) -> DataFrame:
+    """hash of the windows of so many words whose parts may both be frequent, and that are frequent by the sum of all
+    windows with that hash. Tasks add up what they can hold before Spark does."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(full: bool) -> Iterator[pa.RecordBatch]:
+            every, times = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            order = np.argsort(every, kind="stable")
+            every, times = every[order], times[order]
+            starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+            every, times = every[starts], np.add.reduceat(times, starts) if len(starts) else times
+            held.clear()
+            if full or len(starts) > MERGED // 2:
+                for cut in range(0, len(starts), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(every[cut : cut + 100_000].view(np.int64)), pa.array(times[cut : cut + 100_000])], ["hash", "n"])
+            else:
+                held.append((every, times))
+
+        for rows in parts:
+            for ids in rows.column("ids"):
+                words = np.frombuffer(ids.as_py(), np.uint64)
+                hashes, _, times = safe_windows(words, size, bits.value)
+                held.append((hashes, times))
+                if sum(len(h) for h, _ in held) > MERGED:
+                    yield from add(False)
+        yield from add(True)
+
+    summed = map_batches(arrays, run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return materialise(summed.where(F.col("n") >= least).select("hash"), "frequent-windows")
+
+
+def candidates(arrays: DataFrame, size: int, frequent: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """key of the phrases of so many words that can be frequent, with few others; and the hashes that they have.
+
+    Tasks hand on each key once, packed by bucket; a bucket's task drops what several tasks have handed on."""
+    context = arrays.sparkSession.sparkContext
+    bits = context.broadcast(bitmap(frequent))
+    heavy = window_sums(arrays, size, bits, least)
+    heavy_bits, width = context.broadcast(bitmap(heavy)), 8 * size
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
+        def packed() -> pa.RecordBatch:
+            by: dict[int, list[bytes]] = defaultdict(list)
+            for key in seen:
+                by[zlib.crc32(key) % BUCKETS].append(key)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([b"".join(x) for x in by.values()], pa.binary())], ["bucket", "keys"])
+
         for rows in parts:
             for ids in rows.column("ids"):
                 words = np.frombuffer(ids.as_py(), np.uint64)
-                hashes, at, n = safe_windows(words, size, bits.value)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), binary(words[at[:, None] + np.arange(size)]), pa.array(n)], ["hash", "key", "n"])
+                at = safe_windows(words, size, bits.value, heavy_bits.value)[1]
+                seen.update(binary(words[at[:, None] + np.arange(size)]).to_pylist())
+                if len(seen) > FLUSH:
+                    yield packed()
+        yield packed()
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, seen = None, set()
+        for rows in parts:
+            out = []
+            for own, keys in zip(rows.column("bucket").to_pylist(), rows.column("keys").to_pylist(), strict=True):
+                if own != bucket:
+                    bucket, seen = own, set()
+                new = {keys[i : i + width] for i in range(0, len(keys), width)} - seen
+                seen |= new
+                out += new
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
 
-    seen = map_batches(arrays, run, "hash long, key binary, n long")
-    return materialise(seen.groupBy("hash", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash", "key"), "phrases")
+    made = map_batches(arrays, run, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    return materialise(map_batches(made, merge, "key binary"), "phrases"), heavy
 
 
 class Trie:
@@ -272,7 +341,8 @@ class Trie:
 
 def count_phrases(arrays: DataFrame, phrases: DataFrame, trie_phrases: int = TRIE) -> DataFrame:
     """key, a for each phrase (key) and how often the arrays have it, overlaps included. Phrases go in shards of about
-    trie_phrases each; a shard is one trie, sent to all tasks, and one pass over the arrays."""
+    trie_phrases each; a shard is one trie, sent to all tasks, and one pass over the arrays. Tasks hand on blocks of
+    counts, which are added one after the other."""
     spark, shards = phrases.sparkSession, max(1, math.ceil(phrases.count() / trie_phrases))
     counts = []
     for shard in range(shards):
@@ -285,13 +355,30 @@ def count_phrases(arrays: DataFrame, phrases: DataFrame, trie_phrases: int = TRI
             for rows in parts:
                 for ids in rows.column("ids"):
                     trie.count(np.frombuffer(ids.as_py(), np.uint64), totals)
-            hit = np.flatnonzero((totals > 0) & (trie.phrase >= 0))
-            for cut in range(0, len(hit), 50_000):
-                some = hit[cut : cut + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in trie.phrase[some]], pa.binary()), pa.array(totals[some])], ["key", "a"])
+            ends = np.flatnonzero(trie.phrase >= 0)
+            counts = np.zeros(-(-len(keys) // COUNTS) * COUNTS, np.int64)
+            counts[trie.phrase[ends]] = totals[ends]
+            blocks = counts.reshape(-1, COUNTS)
+            some = np.flatnonzero(blocks.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
+
+        def add(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            keys, block, total = sent.value[1], None, None
 
-        found = map_batches(arrays, run, "key binary, a long").groupBy("key").agg(F.sum("a").alias("a"))
-        counts.append(materialise(found, "phrase-counts"))
+            def done() -> pa.RecordBatch:
+                some = np.flatnonzero(total) if block is not None else np.zeros(0, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array([keys[block * COUNTS + i] for i in some], pa.binary()), pa.array(total[some] if len(some) else [], pa.int64())], ["key", "a"])
+
+            for rows in parts:
+                for own, counts in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist(), strict=True):
+                    if own != block:
+                        yield done()
+                        block, total = own, np.zeros(COUNTS, np.int64)
+                    total += np.frombuffer(counts, np.int64)
+            yield done()
+
+        found = map_batches(arrays, run, "block int, counts binary").repartition("block").sortWithinPartitions("block")
+        counts.append(materialise(map_batches(found, add, "key binary, a long"), "phrase-counts"))
         sent.unpersist()
     out = counts[0]
     for more in counts[1:]:
@@ -318,8 +405,8 @@ def mine_phrases(docs: DataFrame, least: int = 100, first: int = 2000, text_col:
     arrays, words = hashed_words(docs, text_col, lang_col)
     frequent, levels = words.where(F.col("n") >= least).select(F.col("h").alias("hash")), []
     for size in range(2, LONGEST + 1):
-        frequent = candidates(arrays, size, frequent, least)
-        levels.append(frequent.select("key"))
+        keys, frequent = candidates(arrays, size, frequent, least)
+        levels.append(keys)
         if frequent.isEmpty():
             break
     phrases = levels[0]
