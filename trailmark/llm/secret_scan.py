@@ -34,6 +34,8 @@ KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[\w+/.-]{16,}={0,2}|[\w+/-]+(?:\.[\w+/-]+)*|[^\w\s]")
 #: Windows of either kind that the field is trained on at most, their reach in characters, and tokens of one.
 SAMPLE, REACH, WINDOW = 1500, 150, 120
+#: Times that an example is varied at most.
+MOST_VARIED = 12
 #: Weights of a block, which features' names are hashed to: one block for shapes, one for each place of a word beside the
 #: token, one for files. Steps of training, their size, and the pull towards 0.
 BLOCK, STEPS, RATE, PULL = 1 << 12, 150, 0.15, 2e-4
@@ -327,8 +329,8 @@ JOINTS = (" = ", "=", ": ", ":", " is ", " => ", " ")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 
 
-def varied(text: str, secrets: list[tuple[int, int]], file: tuple[int, ...], rng: random.Random) -> Iterator[tuple]:
-    """An example, others with another secret in its place, and one with an ordinary word there, which is no secret."""
+def varied(text: str, secrets: list[tuple[int, int]], file: tuple[int, ...], rng: random.Random, times: int = 1) -> Iterator[tuple]:
+    """An example, and so many times three with another secret in its place and one with an ordinary word, which is none."""
     yield text, secrets, file
     if not secrets:
         return
@@ -336,7 +338,7 @@ def varied(text: str, secrets: list[tuple[int, int]], file: tuple[int, ...], rng
     m = next((m for m in ASSIGN.finditer(text) if m.start(2) <= a < m.end(2)), None)
     head, tail = text[: m.start() if m else a], text[b:][:REACH]
     words = [w for w in re.findall(r"[^\W\d_]+", text) if w.lower() not in NAMES] or ["none"]
-    for plain in (False, False, False, True):
+    for plain in (False, False, False, True) * times:
         quote = rng.choice(("", '"', "'"))
         lead = rng.choice(NAMED) + rng.choice(JOINTS) + quote
         value = rng.choice(words) if plain else "".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(14, 48)))
@@ -369,10 +371,12 @@ def learn_field(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -
     rng, windows = random.Random(13), []
     seen = materialise(made.groupBy("hit", "hash").agg(F.min(F.struct("window", "file")).alias("w")).select("hit", "hash", "w.*"), "secret-windows")
     for hit in (True, False):
-        for r in seen.where(F.col("hit") == hit).orderBy("hash").limit(sample).collect():
+        rows = seen.where(F.col("hit") == hit).orderBy("hash").limit(sample).collect()
+        times = max(1, min(MOST_VARIED, sample // (4 * max(1, len(rows)))))  # few examples are varied more often
+        for r in rows:
             secrets = secret_parts(r.window)
             if bool(secrets) == hit:
-                windows += varied(r.window, secrets, tuple(r.file), rng)
+                windows += varied(r.window, secrets, tuple(r.file), rng, times)
     return fit_field(windows)
 
 
