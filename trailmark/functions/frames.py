@@ -74,3 +74,52 @@ def frame_shift(before: pd.Series, after: pd.Series, height: pd.Series, width: p
         out.iloc[rows, :3] = shifts(*(np.stack([pairs[i][side] for i in rows]) for side in (0, 1)))
         out.iloc[rows, 3] = True
     return out
+
+
+# Side of a resampled frame and of a patch, and what is added to a patch's deviation.
+FRAME_SIDE, PATCH_SIDE, SLACK = 32, 8, 1e-6
+
+
+def overlap_weights(n: int, m: int) -> np.ndarray:
+    """m x n: the share that each of n cells has of each of m cells laid over the same length."""
+    edges = np.arange(m + 1) * (n / m)
+    low, high = edges[:-1, None], edges[1:, None]
+    cells = np.arange(n)
+    return np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None) / (n / m)
+
+
+def patches(frames: np.ndarray, side: int, patch: int) -> np.ndarray:
+    """(n, tiles, cells) of gray frames (n, height, width): resampled by area to side x side, cut into tiles of patch x
+    patch, each less its mean and by its deviation."""
+    n, h, w = frames.shape
+    small = overlap_weights(h, side) @ frames @ overlap_weights(w, side).T
+    grid = side // patch
+    tiles = small.reshape(n, grid, patch, grid, patch).transpose(0, 1, 3, 2, 4).reshape(n, grid * grid, patch * patch)
+    return (tiles - tiles.mean(axis=2, keepdims=True)) / (tiles.std(axis=2, keepdims=True) + SLACK)
+
+
+def frame_patches(side: int = FRAME_SIDE, patch: int = PATCH_SIDE):
+    """A function of pixels (array<double>, row by row), height and width: array<array<double>>, a tile's cells each.
+
+    Frames with a value over 1 are divided by 255, and all are clipped to 0..1. A null or empty frame gives null; one of
+    other than height x width cells raises. Frames of one size are worked on at once."""
+    if side % patch:
+        raise ValueError("a patch must divide the side")
+
+    @pandas_udf("array<array<double>>")
+    def run(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        out, groups = [None] * len(pixels), {}
+        for i, (p, h, w) in enumerate(zip(pixels, height, width, strict=True)):
+            if p is None or not len(p):
+                continue
+            if len(p) != h * w:
+                raise ValueError(f"a frame of {len(p)} cells, expected {h} x {w}")
+            groups.setdefault((int(h), int(w)), []).append(i)
+        for (h, w), rows in groups.items():
+            frames = np.stack([np.asarray(pixels[i], float).reshape(h, w) for i in rows])
+            scale = np.where(frames.max(axis=(1, 2), keepdims=True) > 1.0, 255.0, 1.0)
+            for i, tiles in zip(rows, patches(np.clip(frames / scale, 0.0, 1.0), side, patch), strict=True):
+                out[i] = [list(map(float, t)) for t in tiles]
+        return pd.Series(out, dtype=object)
+
+    return run

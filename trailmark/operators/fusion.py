@@ -111,7 +111,7 @@ class _Filter:
         self.cov = move @ self.cov @ move.T + np.diag(noise)
         self.p, self.v, self.q = self.p + self.v * dt + 0.5 * a * dt * dt, self.v + a * dt, quat_mul(self.q, rotvec(g * dt))
 
-    def offer(self, row: Any, trust: float) -> list[Any]:
+    def offer(self, row: Any, trust: float, least_trust: float = 0.05) -> list[Any]:
         """accepted, reason, innovation, d2, sigma of a measurement; it is applied if every gate lets it pass."""
         c = self.config
         if row.health in ("LOST", "INVALID"):
@@ -129,7 +129,7 @@ class _Filter:
         d2 = float(e @ np.linalg.solve(s, e))
         if d2 > c.chi_square:
             return [False, "mahalanobis_gate", size, d2, sigma]
-        if trust < 0.05:
+        if trust < least_trust:
             return [False, "policy_gate", size, d2, sigma]
         gain = self.cov[:, :3] @ np.linalg.inv(s)
         dx = gain @ e

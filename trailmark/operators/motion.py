@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators import scan, sequences
 from trailmark.operators.asof import _brackets, interpolate, latest, nearest
 from trailmark.operators.fold import fold
 
@@ -91,22 +92,22 @@ def control_windows(df: DataFrame, keys: list[str], period: float, order: list[s
     return fold(df, keys, order, step, f"{columns}, win long")
 
 
-def hysteresis_winner(scores: DataFrame, keys: list[str], methods: list[str], order: list[str], margin: float = 0.10) -> DataFrame:
+def hysteresis_winner(scores: DataFrame, keys: list[str], methods: list[str], order: list[str], margin: float = 0.10, bucket: float | None = None) -> DataFrame:
     """Rows (one score column for each method) with winner: the best method at first, of equal ones the first in the
-    alphabet; another takes over only if its score exceeds the incumbent's by more than the margin."""
+    alphabet; another takes over only if its score exceeds the incumbent's by more than the margin. A null score is the
+    least. With a bucket (see prefix_scan) a key is many tasks: a row says where each incumbent leads."""
     names = sorted(methods)
-
-    def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        values, winner = rows[names].fillna(-np.inf).to_numpy(), []
-        for row in values:
-            best = int(row.argmax())
-            if state is None or row[best] > row[state] + margin:
-                state = best
-            winner.append(names[state])
-        return state, rows.assign(winner=winner)
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema.fields)
-    return fold(scores, keys, order, step, f"{columns}, winner string")
+    values = [F.coalesce(F.col(m).cast("double"), F.lit(float("-inf"))) for m in names]
+    top = F.greatest(*values)
+    best = F.lit(float(len(names) - 1))
+    for i in reversed(range(len(names) - 1)):
+        best = F.when(values[i] == top, float(i)).otherwise(best)
+    # State 0 is none yet; state i + 1 is names[i].
+    leads = [best + 1, *[F.when(top > v + margin, best + 1).otherwise(float(i + 1)) for i, v in enumerate(values)]]
+    size = len(leads)
+    found = scan.prefix_scan(scores, keys, order, leads, scan.paths, list(range(size)), [f"_s{i}" for i in range(size)], bucket)
+    winner = F.element_at(F.array(*map(F.lit, names)), F.col("_s0").cast("int"))
+    return found.select(*scores.columns, winner.alias("winner"))
 
 
 def rotvec(v: np.ndarray) -> np.ndarray:
@@ -127,57 +128,66 @@ def matrix(q: np.ndarray) -> np.ndarray:
     return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
 
 
-def strapdown(imu: DataFrame, keys: list[str], gravity: float = 9.81, degraded: tuple[float, float] = (5.0, 50.0), lost: tuple[float, float] = (10.0, 100.0), t: str = "t") -> DataFrame:
+#: What samples are, and what strapdown() and gyro_orientation() make of them.
+IMU, POSE = ["ax", "ay", "az", "gx", "gy", "gz"], ["x", "y", "z", "vx", "vy", "vz", "qx", "qy", "qz", "qw"]
+
+
+def sample_motion(dt: Column, sample: list[Column]) -> list[Column]:
+    """Turn, change of speed, way and time of a sample that lasts dt, as scan.motions takes them."""
+    g = [c * dt for c in sample[3:]]
+    angle = F.sqrt(sum((c * c for c in g), F.lit(0.0)))
+    k = F.when(angle < 1e-6, 0.5 - angle * angle / 48).otherwise(F.sin(angle / 2) / F.nullif(angle, F.lit(0.0)))
+    return [*[c * k for c in g], F.cos(angle / 2), *[c * dt for c in sample[:3]], *[0.5 * c * dt * dt for c in sample[:3]], dt]
+
+
+def strapdown(imu: DataFrame, keys: list[str], gravity: float = 9.81, degraded: tuple[float, float] = (5.0, 50.0), lost: tuple[float, float] = (10.0, 100.0), t: str = "t", bucket: float | None = None) -> DataFrame:
     """Open-loop inertial navigation from ax..gz: keys, t, position, velocity, quaternion and a health that never recovers.
 
     Each row is the state before its own sample is applied; steps of no time count as 1e-6 s. Health is LOST or
-    DEGRADED after the given (seconds, metres) from the start.
+    DEGRADED after the given (seconds, metres) from the start. With a bucket (a length of time, see prefix_scan) a
+    sequence is many tasks. Gravity is taken off at the end, so positions lose digits as its fall grows: 1e-9 m or so
+    after a quarter of an hour.
     """
-    names = ["ax", "ay", "az", "gx", "gy", "gz"]
-
-    def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        times, samples, out = rows[t].to_numpy(float), rows[names].to_numpy(float), []
-        for now, sample in zip(times, samples, strict=True):
-            if state is None:
-                p, v, q, start, worst = np.zeros(3), np.zeros(3), np.array([0.0, 0, 0, 1]), now, 0
-            else:
-                p, v, q, last, start, worst, before = state
-                dt = now - last if now > last else 1e-6
-                a = matrix(q) @ before[:3] - (0, 0, gravity)
-                p, v, q = p + v * dt + 0.5 * a * dt * dt, v + a * dt, quat_mul(q, rotvec(before[3:] * dt))
-                gone, far = now - start, float(np.linalg.norm(p))
-                worst = max(worst, 2 if gone > lost[0] or far > lost[1] else 1 if gone > degraded[0] or far > degraded[1] else 0)
-            out.append([*p, *v, *q])
-            state = (p, v, q, now, start, worst, sample)
-            out[-1].append(("OK", "DEGRADED", "LOST")[worst])
-        made = pd.DataFrame(out, columns=["x", "y", "z", "vx", "vy", "vz", "qx", "qy", "qz", "qw", "health"])
-        return state, pd.concat([rows[[*keys, t]], made], axis=1)
-
-    key = ", ".join(f"`{k}` {imu.schema[k].dataType.simpleString()}" for k in [*keys, t])
-    return fold(imu.select(*keys, t, *names), keys, [t], step, f"{key}, x double, y double, z double, vx double, vy double, vz double, qx double, qy double, qz double, qw double, health string")
-
-
-def gyro_orientation(imu: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    before = sequences.previous(imu.select(*keys, t, *IMU), keys, t, [t, *IMU], bucket)
+    dt = F.when(F.col("prev").isNull(), 0.0).when(F.col(t) > F.col(f"prev.{t}"), F.col(t) - F.col(f"prev.{t}")).otherwise(1e-6)
+    steps = sample_motion(dt, [F.coalesce(F.col(f"prev.{c}"), F.lit(0.0)) for c in IMU])
+    moved = [f"_m{i}" for i in range(11)]
+    found = scan.prefix_scan(before.select(*keys, t, *[s.alias(f"_{i}") for i, s in enumerate(steps)]), keys, [t], [F.col(f"_{i}") for i in range(11)], scan.motions, [0.0, 0, 0, 1] + [0.0] * 7, moved, bucket)
+    fall = [F.lit(0.0), F.lit(0.0), F.lit(gravity)]
+    time = F.col("_m10")
+    values = [*[F.col(f"_m{7 + i}") - 0.5 * fall[i] * time * time for i in range(3)], *[F.col(f"_m{4 + i}") - fall[i] * time for i in range(3)], *[F.col(f"_m{i}") for i in range(4)]]
+    poses = found.select(*keys, t, *[v.alias(n) for v, n in zip(values, POSE, strict=True)])
+    far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.alias("p").join(right.alias("s"), [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select("p.*", *[f"s.{c}" for c in right.columns if c not in keys])
+
+    # Health never recovers, so it turns at the first rows of either kind: two times for each key.
+    timed = joined(poses, imu.groupBy(*keys).agg(F.min(t).alias("_start")))
+    gone = F.col(t) - F.col("_start")
+    marks = timed.groupBy(*keys).agg(*[F.min(F.when((gone > s) | (far > m), F.col(t))).alias(n) for n, (s, m) in (("_bad", degraded), ("_worst", lost))])
+    health = F.when(F.col(t) >= F.col("_worst"), "LOST").when(F.col(t) >= F.col("_bad"), "DEGRADED").otherwise("OK")
+    return joined(poses, marks).select(*keys, t, *POSE, health.alias("health"))
+
+
+def gyro_turn(dt: Column, g: list[Column]) -> list[Column]:
+    """The turn of a gyro sample that lasts dt; its axis is divided by the sum of its absolute components, as the compared
+    system does, so it isn't of length one."""
+    angle, size = F.sqrt(sum((c * c for c in g), F.lit(0.0))) * dt, sum((F.abs(c) for c in g), F.lit(0.0))
+    some = (angle > 0) & (size > 0)
+    return [*[F.when(some, c / F.nullif(size, F.lit(0.0)) * F.sin(angle / 2)).otherwise(0.0) for c in g], F.when(some, F.cos(angle / 2)).otherwise(1.0)]
+
+
+def gyro_orientation(imu: DataFrame, keys: list[str], t: str = "t", bucket: float | None = None) -> DataFrame:
     """keys, t, quaternion by the gyro alone; the first sample sets the clock, backward steps count as none.
 
-    The axis is divided by the sum of its absolute components, as the compared system does, so results aren't of length one.
-    """
+    With a bucket (a length of time, see prefix_scan) a sequence is many tasks."""
     names = ["gx", "gy", "gz"]
-
-    def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        out = []
-        for now, g in zip(rows[t].to_numpy(float), rows[names].to_numpy(float), strict=True):
-            q, last = state or (np.array([0.0, 0, 0, 1]), now)
-            angle, size = float(np.linalg.norm(g)) * max(0.0, now - last), float(np.abs(g).sum())
-            if angle > 0 and size > 0:
-                d = np.array([*(g / size * np.sin(angle / 2)), np.cos(angle / 2)])
-                q = np.array([*(q[3] * d[:3] + d[3] * q[:3] + np.cross(q[:3], d[:3])), q[3] * d[3] - q[:3] @ d[:3]])
-            state = (q, now)
-            out.append(q)
-        return state, pd.concat([rows[[*keys, t]], pd.DataFrame(out, columns=["qx", "qy", "qz", "qw"])], axis=1)
-
-    key = ", ".join(f"`{k}` {imu.schema[k].dataType.simpleString()}" for k in [*keys, t])
-    return fold(imu.select(*keys, t, *names), keys, [t], step, f"{key}, qx double, qy double, qz double, qw double")
+    before = sequences.previous(imu.select(*keys, t, *names), keys, t, [t], bucket)
+    dt = F.greatest(F.coalesce(F.col(t) - F.col(f"prev.{t}"), F.lit(0.0)), F.lit(0.0))
+    turn = [f"_{i}" for i in range(4)]
+    rows = before.select(*keys, t, *[c.alias(n) for c, n in zip(gyro_turn(dt, [F.col(c) for c in names]), turn, strict=True)])
+    return scan.prefix_scan(rows, keys, [t], [F.col(c) for c in turn], scan.turns, [0.0, 0, 0, 1], ["qx", "qy", "qz", "qw"], bucket).drop(*turn)
 
 
 def embedding_signals(df: DataFrame, keys: list[str], order: str, embedding: str = "embedding") -> DataFrame:
@@ -235,17 +245,16 @@ def gradient(df: DataFrame, keys: list[str], value: str, order: list[str], t: st
     return df.withColumn("gradient", F.when(tb > ta, (b - a) / (tb - ta)))
 
 
-def discounted_scan(df: DataFrame, keys: list[str], order: list[Any], gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """Rows (reward, value, done) with advantage: generalised advantage estimates, walked from the last row back."""
-
-    def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        ahead, after, out = state[0] if state else 0.0, state[1] if state else 0.0, np.empty(len(rows))
-        for i, (r, v, done) in enumerate(zip(rows["reward"], rows["value"], rows["done"], strict=True)):
-            if done:
-                ahead, after = 0.0, 0.0
-            ahead = r + gamma * after - v + gamma * lam * ahead
-            after, out[i] = v, ahead
-        return (ahead, after), rows.assign(advantage=out)
+def discounted_scan(df: DataFrame, keys: list[str], order: list[str], gamma: float = 0.99, lam: float = 0.95, bucket: float | None = None) -> DataFrame:
+    """Rows (reward, value, done) with advantage: generalised advantage estimates, walked from the last row back.
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return fold(df, keys, order, step, f"{columns}, advantage double")
+    order: columns of numbers, ascending; of equal rows the one that comes later in the walk is any. With a bucket (a
+    length of the first, see prefix_scan) a key is many tasks: a row is an affine map of the advantage behind it."""
+    back = df.withColumns({f"_o{i}": -F.col(c) for i, c in enumerate(order)})
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = sequences.previous(back, keys, names, ["value"], bucket)
+    going = ~F.coalesce(F.col("done"), F.lit(False))
+    ahead = F.when(going, F.coalesce(F.col("prev.value"), F.lit(0.0))).otherwise(0.0)
+    shift, factor = F.col("reward") + gamma * ahead - F.col("value"), F.when(going, gamma * lam).otherwise(0.0)
+    found = scan.prefix_scan(rows.select(*df.columns, *names, factor.alias("_f"), shift.alias("_s")), keys, names, [F.col("_f"), F.col("_s")], scan.affine, [1.0, 0.0], ["_factor", "advantage"], bucket)
+    return found.select(*df.columns, "advantage")

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from trailmark.functions import geometry
 
 
-def previous(df: DataFrame, keys: list[str], order: str, columns: list[str], bucket: float | None = None) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: str | list[str], columns: list[str], bucket: float | None = None) -> DataFrame:
     """Rows with prev: the row before it in its key, as a struct of these columns; null for the first.
 
-    Without a bucket a key is one task. With one (a length of the order, which is then a number), each bucket of a key is
-    sorted alone, and its first row takes the last of the bucket before it from a table of one row a bucket. Equal orders
-    go in any order."""
+    Without a bucket a key is one task. With one (a length of the first of order, which is then a number), each bucket of
+    a key is sorted alone, and its first row takes the last of the bucket before it from a table of one row a bucket.
+    Equal orders go in any order."""
+    order = [order] if isinstance(order, str) else order
     kept = F.struct(*columns)
     if bucket is None:
-        return df.withColumn("prev", F.lag(kept).over(Window.partitionBy(*keys).orderBy(order)))
+        return df.withColumn("prev", F.lag(kept).over(Window.partitionBy(*keys).orderBy(*order)))
     parted = [*keys, "_bucket"]
-    dealt = df.withColumn("_bucket", F.floor(F.col(order) / bucket))
-    ends = dealt.groupBy(*parted).agg(F.max_by(kept, order).alias("_end"))
+    dealt = df.withColumn("_bucket", F.floor(F.col(order[0]) / bucket))
+    ends = dealt.groupBy(*parted).agg(F.max_by(kept, F.struct(*order)).alias("_end"))
     ends = ends.select(*parted, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_end"))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in parted]
-    own = dealt.withColumn("prev", F.lag(kept).over(Window.partitionBy(*parted).orderBy(order)))
+    own = dealt.withColumn("prev", F.lag(kept).over(Window.partitionBy(*parted).orderBy(*order)))
     both = own.alias("l").join(ends.alias("r"), same, "left")
     return both.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("prev", "_end").alias("prev"))
 

@@ -11,6 +11,9 @@ from trailmark.functions import gates, geometry
 from trailmark.operators import asof, evaluate, events, motion, sequences
 from trailmark.plans.catalogue import BIN, ORACLE_SQL, PACKET, QUERIES, SQL_DIST, SQL_MATCH, base, matches, query
 
+#: Seconds of a part of a sequence: what one task scans.
+PART = 864_000.0
+
 SQL_AROUND = """
 grid AS (SELECT seq, idx, t FROM base WHERE idx % 2 = 0), src AS (SELECT seq, t AS u, x, y, confidence AS c, health AS h FROM base WHERE idx % 2 = 1),
 prev AS (SELECT g.*, s.u AS pu, s.x AS ax, s.y AS ay, s.c AS ac, s.h AS ah FROM grid g ASOF LEFT JOIN src s ON g.seq = s.seq AND g.t >= s.u),
@@ -115,7 +118,7 @@ def w10_hysteresis(b: DataFrame) -> DataFrame:
     names = ["click", "purchase", "view"]
     mean = [F.coalesce(F.avg(F.when(F.col("method") == m, F.col("confidence"))), F.lit(-1.0)).alias(m) for m in names]
     scores = b.groupBy("seq", F.floor(F.col("t") / 86400).alias("day")).agg(*mean)
-    return motion.hysteresis_winner(scores, ["seq"], names, ["day"]).select("seq", "day", "winner")
+    return motion.hysteresis_winner(scores, ["seq"], names, ["day"], bucket=100).select("seq", "day", "winner")
 
 
 def inertial(b: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ held AS (SELECT w.* FROM walk w JOIN o ON o.seq = w.seq AND o.r = w.r),
 bad AS (SELECT *, max(CASE WHEN r - 1 > 10 OR sqrt(x * x + y * y + z * z) > 100 THEN 2 WHEN r - 1 > 5 OR sqrt(x * x + y * y + z * z) > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY r ROWS UNBOUNDED PRECEDING) AS worst FROM held)
 SELECT seq, r::DOUBLE AS t, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(qx, 6) + 0.0 AS qx, round(qy, 6) + 0.0 AS qy, round(qz, 6) + 0.0 AS qz, round(qw, 6) + 0.0 AS qw, CASE worst WHEN 0 THEN 'OK' WHEN 1 THEN 'DEGRADED' ELSE 'LOST' END AS health FROM bad""")
 def w11_strapdown(b: DataFrame) -> DataFrame:
-    return motion.strapdown(inertial(b), ["seq"]).select("seq", "t", *rounded("x", "y", "z", "qx", "qy", "qz", "qw"), "health")
+    return motion.strapdown(inertial(b), ["seq"], bucket=200.0).select("seq", "t", *rounded("x", "y", "z", "qx", "qy", "qz", "qw"), "health")
 
 
 @query(f"""{SQL_INERTIAL},
@@ -150,7 +153,7 @@ walk AS (SELECT seq, r, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz,
   UNION ALL SELECT d.seq, d.r, qw * dx + dw * qx + qy * dz - qz * dy, qw * dy + dw * qy + qz * dx - qx * dz, qw * dz + dw * qz + qx * dy - qy * dx, qw * dw - qx * dx - qy * dy - qz * dz FROM walk JOIN d ON d.seq = walk.seq AND d.r = walk.r + 1)
 SELECT seq, r::DOUBLE AS t, round(qx, 6) + 0.0 AS qx, round(qy, 6) + 0.0 AS qy, round(qz, 6) + 0.0 AS qz, round(qw, 6) + 0.0 AS qw FROM walk""")
 def w12_gyro(b: DataFrame) -> DataFrame:
-    return motion.gyro_orientation(inertial(b), ["seq"]).select("seq", "t", *rounded("qx", "qy", "qz", "qw"))
+    return motion.gyro_orientation(inertial(b), ["seq"], bucket=200.0).select("seq", "t", *rounded("qx", "qy", "qz", "qw"))
 
 
 def w14_embedding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +249,7 @@ walk AS (SELECT seq, idx, r, x / 3 - y / 7 AS a, y / 7 AS v FROM o WHERE r = 1
 SELECT seq, idx, round(a, 4) + 0.0 AS advantage FROM walk""")
 def a36_gae(b: DataFrame) -> DataFrame:
     rows = b.select("seq", "idx", "t", (F.col("x") / 3).alias("reward"), (F.col("y") / 7).alias("value"), (F.col("method") == "error").alias("done"))
-    return motion.discounted_scan(rows, ["seq"], [F.desc("t"), F.desc("idx")]).select("seq", "idx", *rounded("advantage", to=4))
+    return motion.discounted_scan(rows, ["seq"], ["t", "idx"], bucket=PART).select("seq", "idx", *rounded("advantage", to=4))
 
 
 @query("SELECT idx, round(10.0 + degrees(x / 6371000.0), 9) AS lat, round(20.0 + degrees(y / (6371000.0 * cos(radians(10.0)))), 9) AS lon FROM base")
