@@ -110,20 +110,27 @@ def test_operations_are_associative():
     motions = np.concatenate([q, rng.normal(size=(3, 50, 6)), rng.random((3, 50, 1))], axis=2)
     for combine, (a, b, c) in ((scan.turns, q), (scan.motions, motions), (scan.affine, rng.normal(size=(3, 50, 2))), (scan.paths, rng.integers(0, 4, (3, 50, 4)).astype(float))):
         assert combine(combine(a, b), c) == pytest.approx(combine(a, combine(b, c)), abs=1e-9)
-        whole, state, parts = scan.running(np.tile(a, (4, 1)), combine)[:50], (a[:1], a[:0]), []
-        long = np.tile(a, (6, 1))[1:]
-        for i in range(0, len(long), 17):
-            state, found = scan.resume(state, long[i : i + 17], combine)
-            parts.append(found)
-        assert np.array_equal(np.concatenate(parts), scan.resume((a[:1], a[:0]), long, combine)[1])
-        assert np.concatenate(parts)[:49] == pytest.approx(whole[1:], abs=1e-8)
-        assert scan.total(a, combine)[0] == pytest.approx(whole[-1], abs=1e-9)
+        whole = scan.running(a, combine)
         step = a[:1]
         for i in range(1, len(a)):
             step = combine(step, a[i : i + 1])
             assert whole[i] == pytest.approx(step[0], abs=1e-8)
 
 
+def test_batches_and_neighbours_change_nothing():
+    """Sequences of many lengths, cut anywhere, give the same bits as each alone."""
+    rng = np.random.default_rng(7)
+    sequences = [rng.normal(size=(n, 2)) for n in (1, 31, 32, 33, 2, 400, 64, 5)]
+    alone = [scan.Runner([1.0, 0.0], scan.affine).feed(x, np.arange(len(x)) == 0) for x in sequences]
+    every, starts = np.concatenate(sequences), np.concatenate([np.arange(len(x)) == 0 for x in sequences])
+    for size in (1, 7, 64, 1000):
+        runner = scan.Runner([1.0, 0.0], scan.affine)
+        parts = [runner.feed(every[i : i + size], starts[i : i + size]) for i in range(0, len(every), size)]
+        assert np.array_equal(np.concatenate(parts), np.concatenate(alone))
+    for x, found in zip(sequences, alone, strict=True):
+        assert found == pytest.approx(scan.running(x, scan.affine), abs=1e-9)
+
+
 def test_no_rows(spark, walk):
     for bucket in (None, 5.0):
         assert motion.discounted_scan(walk[1].limit(0), ["k"], ["t"], bucket=bucket).collect() == []

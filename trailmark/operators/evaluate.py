@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = ("OK", "DEGRADED", "LOST", "INVALID")
@@ -15,11 +15,18 @@ def errors(matched: DataFrame, axes: tuple[str, ...] = ("x", "y", "z")) -> DataF
     return matched.withColumn("error", F.sqrt(square))
 
 
-def ate(errors: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Absolute trajectory error of each key, and the error of its last matched row."""
+def matched_rows() -> list[Column]:
+    """A key's matched rows, and the first and last time of them."""
+    return [F.count("*").alias("matched_count"), F.min("t").alias("first_matched"), F.max("t").alias("last_matched")]
+
+
+def ate(errors: DataFrame, keys: list[str], order: list[str], matched: bool = False) -> DataFrame:
+    """Absolute trajectory error of each key, and the error of its last matched row; with matched, also how many there are,
+    their first and last times, and that error unrounded (exact_drift)."""
     e = F.col("error")
     made = {"rmse": F.sqrt(F.avg(e * e)), "mean": F.avg(e), "median": F.median(e), "std": F.stddev_pop(e), "min": F.min(e), "max": F.max(e), "final_drift": F.max_by(e, F.struct(*order))}
-    return errors.groupBy(*keys).agg(*[F.round(v, 6).alias(k) for k, v in made.items()])
+    more = [*matched_rows(), made["final_drift"].alias("exact_drift")] if matched else []
+    return errors.groupBy(*keys).agg(*more, *[F.round(v, 6).alias(k) for k, v in made.items()])
 
 
 def durations(poses: DataFrame, keys: list[str], order: list[str], t: str = "t") -> DataFrame:

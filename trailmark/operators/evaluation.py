@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import geometry
@@ -38,9 +38,10 @@ class Settings:
 
 @dataclass(frozen=True)
 class Evaluation:
-    """Frames by key. problems: keys that can't be evaluated, and why; the other frames leave them out, but for coverage,
-    runtime and failures, which need no reference."""
+    """Frames by key. summary: every key's counts, problem, errors and drift in one plan. problems: keys that can't be
+    evaluated, and why; the other frames leave them out, but for coverage, runtime and failures, which need no reference."""
 
+    summary: DataFrame
     problems: DataFrame
     coverage: DataFrame
     runtime: DataFrame | None
@@ -63,47 +64,65 @@ def with_reference_names(matched: DataFrame, names: list[str]) -> DataFrame:
     return matched.select("*", *[F.col(f"near.{n}").alias(f"ref_{n}") for n in names], F.col("near.ref_idx").alias("ref_idx"), F.col("near.t").alias("ref_t")).drop("near")
 
 
-def evaluate_trajectories(estimate: DataFrame, reference: DataFrame, keys: list[str], settings: Settings = Settings()) -> Evaluation:
+def of_good_keys(rows: DataFrame, keys: list[str], matched: Column) -> DataFrame:
+    """Rows of keys that have enough matched rows."""
+    return rows.withColumn("_many", F.count_if(matched).over(Window.partitionBy(*keys))).where(F.col("_many") >= LEAST_ROWS).drop("_many")
+
+
+def evaluate_trajectories(estimate: DataFrame, reference: DataFrame, keys: list[str], settings: Settings = Settings(), store: str | None = None) -> Evaluation:
     """estimate: keys, idx (its order), t, x, y, z, health, perhaps qx..qw and latency_ms; reference: keys, ref_idx, t, x, y, z,
     perhaps qx..qw.
 
     Rows in a state other than OK and DEGRADED aren't matched. Distances run along the eligible rows, as estimated; errors
-    are taken after the alignment. Every frame is a plan over the two inputs, with one shuffle by key for each as-of join
-    and each window, so all keys are evaluated at once.
+    are taken after the alignment. Every frame is a plan over the two inputs that matches them once (an alignment takes a
+    second look at the match), for all keys at once. With store, a path in a folder that driver and executors share, the
+    match is written there first, and all frames read it: for callers that want many of them.
     """
     order, has = ["t", "idx"], [q for q in QUATERNION if q in estimate.columns and q in reference.columns]
     turns = has if len(has) == 4 else []
     pose = [*AXES, *turns]
-    eligible = sequences.cumulative_distance(estimate.where(F.col("health").isin(*HEALTHY)), keys, list(AXES), order)
+    # Distances run along the eligible rows alone; the others' own are never read.
+    walking = sequences.cumulative_distance(estimate.withColumn("_eligible", F.coalesce(F.col("health").isin(*HEALTHY), F.lit(False))), [*keys, "_eligible"], list(AXES), order)
+    eligible = walking.where("_eligible").drop("_eligible")
     near = asof.match_nearest(eligible, reference.select(*keys, "ref_idx", "t", *pose), keys, settings.tolerance, "idx", "ref_idx", bucket=settings.bucket)
-    found = with_reference_names(near, pose)
-    counts = estimate.groupBy(*keys).agg(F.count("*").alias("source_count"), F.count_if(F.col("health").isin(*HEALTHY)).alias("eligible_count"))
-    counts = counts.join(reference.groupBy(*keys).agg(F.count("*").alias("target_count")), keys, "left")
-    counts = counts.join(found.groupBy(*keys).agg(F.count("*").alias("matched_count"), F.min("t").alias("first_matched"), F.max("t").alias("last_matched")), keys, "left").fillna(0, ["target_count", "matched_count"])
-    problem = F.when(F.col("target_count") == 0, "reference is empty").when(F.col("eligible_count") < LEAST_ROWS, "too few OK or DEGRADED rows").when(F.col("matched_count") < LEAST_ROWS, "too few matched rows")
-    counts = counts.withColumn("problem", problem)
-    good = counts.where("problem is null").select(*keys)
-    found = found.join(good, keys, "left_semi")
+    found_any = with_reference_names(near, pose)
+    if store is not None:
+        found_any.write.mode("overwrite").parquet(store)
+        found_any = found_any.sparkSession.read.schema(found_any.schema).parquet(store)
+    stats = walking.groupBy(*keys).agg(F.count("*").alias("source_count"), F.count_if("_eligible").alias("eligible_count"), F.max(F.when(F.col("_eligible"), F.col("distance"))).alias("cumulative_distance"))
+    stats = stats.join(reference.groupBy(*keys).agg(F.count("*").alias("target_count")), keys, "left")
+    # A key is evaluated if it has enough matched rows: the other conditions follow. Its rows carry their number, so that
+    # no frame needs the match a second time to know.
+    found = of_good_keys(found_any, keys, F.lit(True))
 
     alignment = None
     if settings.alignment == "se3":
         alignment = evaluate.align(found, keys, settings.scale)
         moved = evaluate.apply_alignment(found, alignment, keys)
-        everything = evaluate.apply_alignment(estimate.join(good, keys, "left_semi"), alignment, keys)
+        everything = evaluate.apply_alignment(estimate, alignment, keys)
         if turns:
             moved = moved.join(alignment.select(*keys, F.col("q").alias("_turn")), keys, "left")
             turned = geometry.multiply([F.col("_turn")[i] for i in range(4)], [F.col(q) for q in turns])
             moved = moved.withColumns({q: F.when(F.col("_turn").isNull(), F.col(q)).otherwise(v) for q, v in zip(turns, turned, strict=True)}).drop("_turn")
     else:
-        moved, everything = found, estimate.join(good, keys, "left_semi")
+        moved, everything = found, estimate
     errors = evaluate.errors(moved, AXES)
+    made = evaluate.ate(errors if alignment is not None else evaluate.errors(found_any, AXES), keys, order, matched=True)
+    if alignment is not None:  # too few rows for an alignment are counted all the same
+        made = made.drop("matched_count", "first_matched", "last_matched").join(found_any.groupBy(*keys).agg(*evaluate.matched_rows()), keys, "right")
+    problem = F.when(F.col("target_count") == 0, "reference is empty").when(F.col("eligible_count") < LEAST_ROWS, "too few OK or DEGRADED rows").when(F.col("matched_count") < LEAST_ROWS, "too few matched rows")
+    whole = stats.join(made, keys, "left").fillna(0, ["target_count", "matched_count"]).withColumn("problem", problem)
+    percent = F.when(F.col("cumulative_distance") > 0, 100 * F.col("exact_drift") / F.col("cumulative_distance"))
+    numbers = [c for c in made.columns if c not in (*keys, "matched_count", "first_matched", "last_matched", "exact_drift")]
+    summary = diagnostics(whole.withColumn("drift_percent", percent)).drop("exact_drift").withColumns({c: F.when(F.col("problem").isNull(), F.col(c)) for c in [*numbers, "drift_percent"]})
+    counts = stats.drop("cumulative_distance").join(found_any.groupBy(*keys).agg(*evaluate.matched_rows()), keys, "left").fillna(0, ["target_count", "matched_count"]).withColumn("problem", problem)
 
     walked = sequences.cumulative_distance(moved.drop("distance"), keys, list(AXES), order)
     relative = evaluate.relative_errors(walked, keys, "distance", settings.step, axes=AXES, quaternion=turns or None)
     e = F.col("error")
     rpe = relative.groupBy(*keys).agg(F.count("*").alias("n_pairs"), *[F.round(v, 6).alias(k) for k, v in {"rmse": F.sqrt(F.avg(e * e)), "mean": F.avg(e), "median": F.median(e), "std": F.stddev_pop(e), "min": F.min(e), "max": F.max(e)}.items()])
 
-    length = eligible.groupBy(*keys).agg(F.max("distance").alias("cumulative_distance")).join(good, keys, "left_semi")
+    length = eligible.groupBy(*keys).agg(F.max("distance").alias("cumulative_distance"))
     last = errors.groupBy(*keys).agg(F.max_by("error", F.struct(*order)).alias("final_drift"))
     drift = last.join(length, keys).withColumn("drift_percent", F.when(F.col("cumulative_distance") > 0, 100 * F.col("final_drift") / F.col("cumulative_distance")))
     heading = None
@@ -114,11 +133,11 @@ def evaluate_trajectories(estimate: DataFrame, reference: DataFrame, keys: list[
 
     w = settings.bin_width
     by_time = everything.join(errors.select(*keys, "idx", *[F.col(f"ref_{a}") for a in AXES], "error", "gap"), [*keys, "idx"], "left")
-    by_time = by_time.select(*keys, "idx", "t", *AXES, *[f"ref_{a}" for a in AXES], *[(F.col(a) - F.col(f"ref_{a}")).alias(f"error_{a}") for a in AXES], "error", "health", "gap")
+    by_time = of_good_keys(by_time, keys, F.col("gap").isNotNull()).select(*keys, "idx", "t", *AXES, *[f"ref_{a}" for a in AXES], *[(F.col(a) - F.col(f"ref_{a}")).alias(f"error_{a}") for a in AXES], "error", "health", "gap")
     start = F.floor(F.col("distance") / w) * F.lit(w)
     by_distance = errors.select(*keys, "idx", "distance", "error", "health", "gap", start.alias("bin_start"), (start + w).alias("bin_end"))
     return Evaluation(
-        problems=counts.where("problem is not null").select(*keys, "problem"), coverage=evaluate.coverage(estimate, keys, order), runtime=evaluate.runtime(estimate, keys, "latency_ms") if "latency_ms" in estimate.columns else None,
+        summary=summary, problems=counts.where("problem is not null").select(*keys, "problem"), coverage=evaluate.coverage(estimate, keys, order), runtime=evaluate.runtime(estimate, keys, "latency_ms") if "latency_ms" in estimate.columns else None,
         failures=evaluate.failures(estimate, keys, order), diagnostics=diagnostics(counts), alignment=alignment, matched=errors, ate=evaluate.ate(errors, keys, order), relative=relative, rpe=rpe, drift=drift, heading=heading,
         markers=evaluate.first_reach(errors, keys, "distance", "error", list(settings.markers), order), drift_bins=bins_with_centres(evaluate.drift_bins(errors, keys, "distance", "error", w), w),
         error_vs_time=by_time, error_vs_distance=by_distance,

@@ -151,23 +151,23 @@ def strapdown(imu: DataFrame, keys: list[str], gravity: float = 9.81, degraded:
     before = sequences.previous(imu.select(*keys, t, *IMU), keys, t, [t, *IMU], bucket)
     dt = F.when(F.col("prev").isNull(), 0.0).when(F.col(t) > F.col(f"prev.{t}"), F.col(t) - F.col(f"prev.{t}")).otherwise(1e-6)
     steps = sample_motion(dt, [F.coalesce(F.col(f"prev.{c}"), F.lit(0.0)) for c in IMU])
-    moved = [f"_m{i}" for i in range(11)]
-    found = scan.prefix_scan(before.select(*keys, t, *[s.alias(f"_{i}") for i, s in enumerate(steps)]), keys, [t], [F.col(f"_{i}") for i in range(11)], scan.motions, [0.0, 0, 0, 1] + [0.0] * 7, moved, bucket)
+    moved = [f"_m{i}" for i in range(12)]
+    rows = before.select(*keys, t, *[s.alias(f"_{i}") for i, s in enumerate(steps)], F.col(t).cast("double").alias("_11"))
+    found = scan.prefix_scan(rows, keys, [t], [F.col(f"_{i}") for i in range(12)], scan.motions_since, [0.0, 0, 0, 1] + [0.0] * 7 + [float("nan")], moved, bucket)
     fall = [F.lit(0.0), F.lit(0.0), F.lit(gravity)]
     time = F.col("_m10")
     values = [*[F.col(f"_m{7 + i}") - 0.5 * fall[i] * time * time for i in range(3)], *[F.col(f"_m{4 + i}") - fall[i] * time for i in range(3)], *[F.col(f"_m{i}") for i in range(4)]]
-    poses = found.select(*keys, t, *[v.alias(n) for v, n in zip(values, POSE, strict=True)])
+    poses = found.select(*keys, t, *[v.alias(n) for v, n in zip(values, POSE, strict=True)], (F.col(t) - F.col("_m11")).alias("_gone"))
     far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.alias("p").join(right.alias("s"), [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select("p.*", *[f"s.{c}" for c in right.columns if c not in keys])
-
+    bad, worst = ((F.col("_gone") > s) | (far > m) for s, m in (degraded, lost))
+    if bucket is None:
+        worse = F.max(F.when(worst, 2).when(bad, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
+        return poses.select(*keys, t, *POSE, F.when(worse == 2, "LOST").when(worse == 1, "DEGRADED").otherwise("OK").alias("health"))
     # Health never recovers, so it turns at the first rows of either kind: two times for each key.
-    timed = joined(poses, imu.groupBy(*keys).agg(F.min(t).alias("_start")))
-    gone = F.col(t) - F.col("_start")
-    marks = timed.groupBy(*keys).agg(*[F.min(F.when((gone > s) | (far > m), F.col(t))).alias(n) for n, (s, m) in (("_bad", degraded), ("_worst", lost))])
+    marks = poses.groupBy(*keys).agg(F.min(F.when(bad | worst, F.col(t))).alias("_bad"), F.min(F.when(worst, F.col(t))).alias("_worst"))
+    both = poses.alias("p").join(marks.alias("s"), [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select("p.*", "_bad", "_worst")
     health = F.when(F.col(t) >= F.col("_worst"), "LOST").when(F.col(t) >= F.col("_bad"), "DEGRADED").otherwise("OK")
-    return joined(poses, marks).select(*keys, t, *POSE, health.alias("health"))
+    return both.select(*keys, t, *POSE, health.alias("health"))
 
 
 def gyro_turn(dt: Column, g: list[Column]) -> list[Column]:

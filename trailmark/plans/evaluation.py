@@ -183,7 +183,6 @@ SELECT seq, source_count, eligible_count, target_count, matched_count, eligible_
        rmse, std, round(CASE WHEN far > 0 THEN 100 * drift.final_drift / far END, 6) AS drift_percent FROM all_ LEFT JOIN ate USING (seq) LEFT JOIN drift USING (seq)""")
 def x20_evaluation(b: DataFrame) -> DataFrame:
     """The evaluation of all sequences in one call, a row for each."""
-    e = evaluated(b)
-    found = e.diagnostics.join(e.ate.select("seq", "rmse", "std"), "seq", "left").join(e.drift.select("seq", "drift_percent"), "seq", "left")
+    found = evaluated(b).summary
     counts = ["source_count", "eligible_count", "target_count", "matched_count", "unmatched_source_count", "unmatched_target_count"]
     return found.select("seq", *counts, F.round("overlap_sufficiency", 6).alias("overlap_sufficiency"), "problem", "rmse", "std", *rounded("drift_percent"))

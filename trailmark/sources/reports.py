@@ -84,7 +84,9 @@ def config(settings: Settings) -> Column:
 
 
 def write_evaluation(e: Evaluation, keys: list[str], settings: Settings, path: str) -> None:
-    """All files of an evaluation under path: a report for each key, both error files, the matched reference as a trajectory."""
+    """All files of an evaluation under path: a report for each key, both error files, the matched reference as a trajectory.
+
+    Each file is a job of its own; evaluate with `store`, so that they share one match."""
     json_rows(metrics(e, keys, settings)).write.text(f"{path}/{METRICS}")
     write_error_vs_time(e.error_vs_time, f"{path}/{BY_TIME}", keys)
     write_error_vs_distance(e.error_vs_distance, f"{path}/{BY_DISTANCE}", keys)
