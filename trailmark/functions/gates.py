@@ -33,6 +33,21 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def in_frame(x: Column, y: Column, width: int, height: int) -> Column:
+    """Whether a place is a cell of a frame."""
+    return (x >= 0) & (x < width) & (y >= 0) & (y < height)
+
+
+def into_frame(x: Column, y: Column, width: int, height: int) -> tuple[Column, Column]:
+    """The cell of a frame that is nearest to a place."""
+    return F.least(F.greatest(x, F.lit(0)), F.lit(width - 1)), F.least(F.greatest(y, F.lit(0)), F.lit(height - 1))
+
+
+def polarity_bit(p: Column) -> Column:
+    """1 for a rising event, else 0, whatever stands for them."""
+    return F.when(p > 0, 1).otherwise(0)
+
+
 def position_sigma(confidence: Column, least: float = 0.05, spread: float = 5.0) -> Column:
     """Standard deviation of a position by confidence."""
     return least + (1 - clip(confidence)) * spread

@@ -177,6 +177,19 @@ def event_inertial(imu: DataFrame, pairs: DataFrame, keys: list[str], focal: flo
     return near.withColumn("confidence", F.when(F.coalesce(inside, F.lit(False)), F.col("confidence")).otherwise(0.0)).drop("_lo", "_hi")
 
 
+def cue_diagnostics(cues: DataFrame, keys: list[str], poses: DataFrame, slack: float = 0.25, t: str = "t") -> DataFrame:
+    """keys, pairs, applied, skipped, invalid, mean_confidence, coverage of pair_cues(): a pair that isn't applied is invalid if
+    its confidence is 0, else skipped; coverage is the share of poses (keys, t) within `slack` of the time the pairs cover,
+    0 without poses."""
+    counts = cues.groupBy(*keys).agg(
+        F.count("*").alias("pairs"), F.count_if("applied").alias("applied"), F.count_if(~F.col("applied") & (F.col("confidence") > 0)).alias("skipped"), F.count_if(~F.col("applied") & (F.col("confidence") <= 0)).alias("invalid"),
+        F.avg("confidence").alias("mean_confidence"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"),
+    )
+    inside = F.col(t).between(F.col("_lo") - slack, F.col("_hi") + slack)
+    covered = poses.select(*keys, t).join(counts.select(*keys, "_lo", "_hi"), keys).groupBy(*keys).agg(F.avg(inside.cast("int")).alias("coverage"))
+    return counts.drop("_lo", "_hi").join(covered, keys, "left").fillna(0.0, ["coverage"])
+
+
 def estimator_states(events: DataFrame, imu: DataFrame, keys: list[str], step: str = "step") -> DataFrame:
     """keys, step, t, qx, qy, qz, qw: after each step of packets (events: keys, step, t; imu: keys, step, t, gx, gy, gz), the
     latest time of what it held, or the one before, and the orientation by the gyro alone."""

@@ -93,6 +93,17 @@ def drift_bins(errors: DataFrame, keys: list[str], distance: str, error: str, wi
     return every.join(stats, [*keys, "bin"], "left").select(*keys, "bin", (F.col("bin") * F.lit(width)).alias("bin_start"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "median", "iqr")
 
 
+def iqr_band(bins: DataFrame) -> DataFrame:
+    """Drift bins with low and high: half the interquartile range to either side of the median, the lower end not below 0."""
+    return bins.withColumn("low", F.greatest(F.col("median") - F.col("iqr") / 2, F.lit(0.0))).withColumn("high", F.col("median") + F.col("iqr") / 2)
+
+
+def improvement(runs: DataFrame, base: str, error: str, by: list[str]) -> DataFrame:
+    """by, n, improvement: how much less the error is than the base's, as a share of the base's (at least 1e-6), on average."""
+    share = (F.col(base) - F.col(error)) / F.greatest(F.col(base), F.lit(1e-6))
+    return runs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(share).alias("improvement"))
+
+
 def relative_errors(matched: DataFrame, keys: list[str], distance: str, delta: float, tolerance: float = 0.1, axes: tuple[str, ...] = ("x", "y", "z"), quaternion: list[str] | None = None) -> DataFrame:
     """Translation error between each row and the one nearest to `delta` further along (within a share of it).
 

@@ -16,10 +16,10 @@ from trailmark.operators.fold import fold
 from trailmark.operators.motion import matrix, quat_mul, resample, rotvec
 
 
-def sample_methods(grid: DataFrame, trajectories: DataFrame, keys: list[str], methods: list[str], values: list[str], t: str = "t") -> DataFrame:
+def sample_methods(grid: DataFrame, trajectories: DataFrame, keys: list[str], methods: list[str], values: list[str], t: str = "t", bucket: float | None = None) -> DataFrame:
     """Grid rows for each method, with that method's pose at their time (see resample)."""
     each = grid.select("*", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
-    return resample(each, trajectories.where(F.col("method").isin(methods)).select(*keys, "method", t, *values, "confidence", "health"), [*keys, "method"], values, t)
+    return resample(each, trajectories.where(F.col("method").isin(methods)).select(*keys, "method", t, *values, "confidence", "health"), [*keys, "method"], values, t, bucket)
 
 
 def blend(sampled: DataFrame, row: list[str], static: dict[str, float], values: list[str], fallback: str) -> DataFrame:
@@ -38,6 +38,47 @@ def blend(sampled: DataFrame, row: list[str], static: dict[str, float], values:
     return weighted.groupBy(*row).agg(*[mean(v) for v in [*values, "confidence"]], total.alias("total_weight"))
 
 
+def ensemble_weights(sampled: DataFrame, row: list[str], static: dict[str, float], fallback: str) -> DataFrame:
+    """row, method, raw, weight: each method's static weight times its confidence and what its health is worth (not below
+    0), and its share of the row's sum; where all are 0 the fallback method has 1 and the others nothing.
+
+    A method without a static weight counts as one of 0. Rows meet by their key, so many methods of few rows are few groups."""
+    weights = F.coalesce(F.create_map(*[F.lit(v) for kv in static.items() for v in kv])[F.col("method")], F.lit(0.0))
+    raw = F.greatest(weights * F.coalesce("confidence", F.lit(0.0)) * gates.multiplier(F.col("health")), F.lit(0.0))
+    rows = sampled.select(*row, "method", raw.alias("raw"))
+    total = F.sum("raw").over(Window.partitionBy(*row))
+    return rows.withColumn("weight", F.when(total > 1e-9, F.col("raw") / total).otherwise(F.when(F.col("method") == fallback, 1.0).otherwise(0.0)))
+
+
+def observations(stats: DataFrame, steps: DataFrame, row: list[str], methods: list[str], innovation_scale: float = 5.0, staleness: float = 5.0, speed_scale: float = 20.0) -> DataFrame:
+    """row, features: what a policy sees of each control step, as one array in the order of episodes.feature_names().
+
+    stats: row, method and window_stats() with age, seconds since the method's last accepted update. steps: row, sigma,
+    speed, progress, mean_trust. Squashed into bounded ranges; a method that a step has nothing of counts as unseen and as
+    stale as can be."""
+    ordered = sorted(methods)
+
+    def squash(x: Column, scale: float) -> Column:
+        return F.tanh(x / scale)
+
+    seen = [F.lit(1.0), F.col("mean_confidence"), F.col("degraded_share"), F.col("failed_share"), squash(F.col("mean_innovation"), innovation_scale), squash(F.log1p("mean_d2"), 4.0), F.least(F.col("age") / staleness, F.lit(1.0)), F.col("accepted") / F.col("offered")]
+    blocks = stats.where(F.col("method").isin(ordered) & (F.col("offered") > 0)).groupBy(*row).agg(*[F.max(F.when(F.col("method") == m, F.array(*[c.cast("double") for c in seen]))).alias(f"_m{i}") for i, m in enumerate(ordered)])
+    nothing = F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)])
+    whole = [squash(F.log1p("sigma"), 2.0), squash(F.col("speed"), speed_scale), gates.clip(F.col("progress")), F.col("mean_trust")]
+    joined = steps.join(blocks, row, "left")
+    return joined.select(*row, F.concat(*[F.coalesce(f"_m{i}", nothing) for i in range(len(ordered))], F.array(*[c.cast("double") for c in whole])).alias("features"))
+
+
+def rewards(rows: DataFrame, keys: list[str], order: list[str], error: str, trusts: list[str], bucket: float | None = None, change: float = 0.05, most: float = 2.0) -> DataFrame:
+    """Rows with reward: how far the error fell since the row before, less a share of the mean squared change of the trusts,
+    within -most to most; null for a key's first row. With a bucket (a length of the first of order) a key is many tasks."""
+    from trailmark.operators.sequences import previous
+
+    both = previous(rows, keys, order, list(dict.fromkeys([error, *trusts])), bucket)
+    moved = sum(((F.col(c) - F.col(f"prev.{c}")) * (F.col(c) - F.col(f"prev.{c}")) for c in trusts), F.lit(0.0)) / max(1, len(trusts))
+    return both.withColumn("reward", F.when(F.col("prev").isNotNull(), gates.clip(F.col(f"prev.{error}") - F.col(error) - change * moved, -most, most))).drop("prev")
+
+
 def blend_rotations(rows: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
     """One quaternion for each key: the weighted sum after turning each to the side of the first in order, to length one."""
     names = ["qx", "qy", "qz", "qw"]
@@ -175,7 +216,8 @@ def offered(imu: DataFrame, measurements: DataFrame, keys: list[str]) -> DataFra
 
 
 def stepper(keys: list[str], config: FilterConfig):
-    """step(state, rows) -> (state, output): the filter after rows in time order. A sample older than the state is passed over."""
+    """step(state, rows) -> (state, output): the filter after rows in time order. A sample older than the state changes
+    nothing, and has a row of kind `late`."""
 
     def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
         fused, sample, due = state or (None, None, [])
@@ -191,6 +233,7 @@ def stepper(keys: list[str], config: FilterConfig):
             if fused is None:
                 fused = _Filter(config, t)
             elif t < fused.now:
+                out.append([*key, "late", t, fused.now, *[None] * (len(_OUT) - 3)])
                 continue
             else:
                 fused.predict(sample, max(t - fused.now, 1e-6))

@@ -14,14 +14,15 @@ from trailmark.operators.asof import _brackets, interpolate, latest, nearest
 from trailmark.operators.fold import fold
 
 
-def resample(grid: DataFrame, trajectory: DataFrame, keys: list[str], values: list[str], t: str = "t") -> DataFrame:
+def resample(grid: DataFrame, trajectory: DataFrame, keys: list[str], values: list[str], t: str = "t", bucket: float | None = None) -> DataFrame:
     """Grid rows with the trajectory's values, confidence and health at their times, and in_range.
 
     Values are interpolated and clamped; confidence is interpolated and clipped to 0..1; health is that of the nearest
-    row, of two equally near the earlier. Outside the trajectory's range confidence is 0 and health INVALID.
+    row, of two equally near the earlier. Outside the trajectory's range confidence is 0 and health INVALID. With a bucket
+    (a length of time) a sequence is many tasks.
     """
     names = [*values, "confidence", "health"]
-    found = _brackets(grid.select(*[c for c in grid.columns if c not in names]), trajectory.select(*keys, t, *names), keys, t, closed=True)
+    found = _brackets(grid.select(*[c for c in grid.columns if c not in names]), trajectory.select(*keys, t, *names), keys, t, closed=True, bucket=bucket)
     inside = F.col("prev").isNotNull() & F.col("next").isNotNull()
     to_prev, to_next = F.col(t) - F.col(f"prev.{t}"), F.col(f"next.{t}") - F.col(t)
     span = to_prev + to_next
@@ -36,25 +37,26 @@ def resample(grid: DataFrame, trajectory: DataFrame, keys: list[str], values: li
     return found.select("*", *[lerp(v).alias(v) for v in values], confidence.alias("confidence"), health.alias("health"), inside.alias("in_range")).drop("prev", "next")
 
 
-def mean_in_windows(points: DataFrame, windows: DataFrame, keys: list[str], value: str, width: float, window_id: str, t: str = "t") -> DataFrame:
+def mean_in_windows(points: DataFrame, windows: DataFrame, keys: list[str], value: str, width: float, window_id: str, t: str = "t", bucket: float | None = None) -> DataFrame:
     """Windows (lo, hi, both closed) with the mean of the points in them; the point nearest their middle where there is none."""
     from trailmark.operators.asof import in_windows
 
     means = in_windows(points.select(*keys, t, value), windows.select(*keys, window_id, "lo", "hi"), keys, width, t).groupBy(*keys, window_id).agg(F.avg(value).alias("_mean"))
     middle = windows.withColumn(t, (F.col("lo") + F.col("hi")) / 2)
-    near = nearest(middle, points.select(*keys, t, value), keys, t, tie="prev")
+    near = nearest(middle, points.select(*keys, t, value), keys, t, tie="prev", bucket=bucket)
     return near.join(means, [*keys, window_id], "left").withColumn(value, F.coalesce("_mean", f"near.{value}")).drop("_mean", "near", "gap", t)
 
 
-def ramp_offsets(poses: DataFrame, cues: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+def ramp_offsets(poses: DataFrame, cues: DataFrame, keys: list[str], t: str = "t", bucket: float | None = None) -> DataFrame:
     """Poses with offset: the sum of the corrections of cues (t0, t1, correction; not overlapping) that ended, and that
     part of a running cue's correction which has passed.
 
-    Equal to adding every cue to every pose, at the cost of one as-of lookup of a running sum.
+    Equal to adding every cue to every pose, at the cost of one as-of lookup of a running sum. With a bucket (a length of
+    time) a sequence is many tasks.
     """
-    before = F.sum("correction").over(Window.partitionBy(*keys).orderBy("t0").rowsBetween(Window.unboundedPreceding, -1))
-    sums = cues.select(*keys, F.col("t0").alias(t), "t1", "correction", F.coalesce(before, F.lit(0.0)).alias("before"))
-    found = _brackets(poses, sums, keys, t, closed=False)
+    summed = sequences.running_sum(cues, keys, ["t0"], "correction", bucket)
+    sums = summed.select(*keys, F.col("t0").alias(t), "t1", "correction", (F.col("running") - F.col("correction")).alias("before"))
+    found = _brackets(poses, sums, keys, t, closed=False, bucket=bucket)
     part = F.least((F.col(t) - F.col(f"prev.{t}")) / (F.col("prev.t1") - F.col(f"prev.{t}")), F.lit(1.0))
     return found.withColumn("offset", F.coalesce(F.col("prev.before") + part * F.col("prev.correction"), F.lit(0.0))).drop("prev", "next")
 
@@ -170,6 +172,22 @@ def strapdown(imu: DataFrame, keys: list[str], gravity: float = 9.81, degraded:
     return both.select(*keys, t, *POSE, health.alias("health"))
 
 
+def ground_truth(log: DataFrame, keys: list[str], order: list[str], t: str = "t") -> DataFrame:
+    """keys, t, x, y, z, qx..qw, vx, vy, vz from a log of lat, lon, alt, heading_deg (0 is north) and speed.
+
+    The first row of a key is the origin; x is east, y north, z up. The heading is the turn about z as it stands, and the
+    velocity is the speed towards it. Only the first row of each key is looked up, so no sequence is sorted."""
+    from trailmark.functions import geometry
+
+    first = log.groupBy(*keys).agg(F.min_by(F.struct("lat", "lon", "alt"), F.struct(*order)).alias("_o"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    rows = log.alias("l").join(first.alias("r"), same).select("l.*", "_o")
+    east, north = F.radians(F.col("lon") - F.col("_o.lon")) * F.cos(F.radians("_o.lat")) * geometry.EARTH_RADIUS_M, F.radians(F.col("lat") - F.col("_o.lat")) * geometry.EARTH_RADIUS_M
+    yaw = F.radians("heading_deg")
+    made = {"x": east, "y": north, "z": F.col("alt") - F.col("_o.alt"), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(yaw / 2), "qw": F.cos(yaw / 2), "vx": F.col("speed") * F.sin(yaw), "vy": F.col("speed") * F.cos(yaw), "vz": F.lit(0.0)}
+    return rows.select(*log.columns, *[v.alias(k) for k, v in made.items()])
+
+
 def gyro_turn(dt: Column, g: list[Column]) -> list[Column]:
     """The turn of a gyro sample that lasts dt; its axis is divided by the sum of its absolute components, as the compared
     system does, so it isn't of length one."""
@@ -190,10 +208,12 @@ def gyro_orientation(imu: DataFrame, keys: list[str], t: str = "t", bucket: floa
     return scan.prefix_scan(rows, keys, [t], [F.col(c) for c in turn], scan.turns, [0.0, 0, 0, 1], ["qx", "qy", "qz", "qw"], bucket).drop(*turn)
 
 
-def embedding_signals(df: DataFrame, keys: list[str], order: str, embedding: str = "embedding") -> DataFrame:
-    """surprise (1 - cosine to the row before, 1 if a norm is 0) and speed (distance by the root of the size); 0 in the first row."""
-    now, last = F.col(embedding).cast("array<double>"), F.lag(F.col(embedding).cast("array<double>")).over(Window.partitionBy(*keys).orderBy(order))
-    rows = df.select("*", now.alias("_now"), last.alias("_last"))
+def embedding_signals(df: DataFrame, keys: list[str], order: str, embedding: str = "embedding", bucket: float | None = None) -> DataFrame:
+    """surprise (1 - cosine to the row before, 1 if a norm is 0) and speed (distance by the root of the size); 0 in the first row.
+
+    With a bucket (a length of the order, a number) a key is many tasks."""
+    rows = sequences.previous(df.withColumn("_now", F.col(embedding).cast("array<double>")), keys, order, ["_now"], bucket)
+    rows = rows.withColumn("_last", F.col("prev._now")).drop("prev")
 
     def total(of: Column) -> Column:
         return F.aggregate(of, F.lit(0.0), lambda acc, x: acc + x)
@@ -206,14 +226,14 @@ def embedding_signals(df: DataFrame, keys: list[str], order: str, embedding: str
     return rows.withColumn("surprise", F.when(first, 0.0).otherwise(1 - cosine)).withColumn("speed", F.when(first, 0.0).otherwise(speed)).drop("_now", "_last")
 
 
-def union_grid(streams: list[DataFrame], keys: list[str], value: str, t: str = "t") -> DataFrame:
+def union_grid(streams: list[DataFrame], keys: list[str], value: str, t: str = "t", bucket: float | None = None) -> DataFrame:
     """Distinct times of all streams with each stream's latest value (value_0, value_1, ...; 0 before its first) and their mean."""
     grid = streams[0].select(*keys, t)
     for s in streams[1:]:
         grid = grid.unionByName(s.select(*keys, t))
     out = grid.distinct()
     for i, s in enumerate(streams):
-        out = latest(out, s.select(*keys, t, F.col(value).alias(f"{value}_{i}")), keys, f"{value}_{i}", t=t)
+        out = latest(out, s.select(*keys, t, F.col(value).alias(f"{value}_{i}")), keys, f"{value}_{i}", t=t, bucket=bucket)
     return out.withColumn("mean", sum((F.col(f"{value}_{i}") for i in range(len(streams))), F.lit(0.0)) / len(streams))
 
 

@@ -28,6 +28,22 @@ def previous(df: DataFrame, keys: list[str], order: str | list[str], columns: li
     return both.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("prev", "_end").alias("prev"))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: float | None = None, name: str = "running") -> DataFrame:
+    """Rows with the sum of a value up to and with them, nulls as 0. With a bucket (a length of the first of order, a number)
+    buckets are summed alone and take what was before them from a table of one row a bucket, so that a key is many tasks."""
+    amount = F.coalesce(F.col(value), F.lit(0.0))
+    upto = Window.unboundedPreceding, 0
+    if bucket is None:
+        return df.withColumn(name, F.sum(amount).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)))
+    parted = [*keys, "_bucket"]
+    dealt = df.withColumn("_bucket", F.floor(F.col(order[0]) / bucket))
+    sums = dealt.groupBy(*parted).agg(F.sum(amount).alias("_sum"))
+    sums = sums.select(*parted, F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    own = dealt.withColumn(name, F.sum(amount).over(Window.partitionBy(*parted).orderBy(*order).rowsBetween(*upto)))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in parted]
+    return own.alias("l").join(sums.alias("r"), same).select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{name}") + F.col("r._before")).alias(name))
+
+
 def velocity(df: DataFrame, keys: list[str], value: str, order: list[str], t: str = "t") -> DataFrame:
     """Forward difference; the last row repeats the one before, a lone row has 0; steps of no time count as 1e-9."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -58,17 +74,6 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def perturb(df: DataFrame, method: str, kind: str, start: float, end: float, magnitude: float = 0.0, value: str = "x", t: str = "t") -> DataFrame:
-    """Poses of one method spoiled within a closed window: bias (ramped up, confidence x 0.6), confident_bias (as it is), or
-    dropout (confidence 0, health LOST)."""
-    hit = (F.col("method") == method) & F.col(t).between(start, end)
-    if kind == "dropout":
-        return df.withColumn("confidence", F.when(hit, 0.0).otherwise(F.col("confidence"))).withColumn("health", F.when(hit, "LOST").otherwise(F.col("health")))
-    ramp = F.least(F.greatest((F.col(t) - start) / (end - start), F.lit(0.0)), F.lit(1.0))
-    moved = df.withColumn(value, F.when(hit, F.col(value) + magnitude * ramp).otherwise(F.col(value)))
-    return moved.withColumn("confidence", F.when(hit, F.col("confidence") * (0.6 if kind == "bias" else 1.0)).otherwise(F.col("confidence")))
-
-
 def ego_motion(df: DataFrame, keys: list[str], order: list[str], position: list[str], quaternion: list[str], t: str = "t") -> DataFrame:
     """Each row but the last of a sequence, with forward, left, up (the way to the next row, seen from this one), the
     rotation vector rx, ry, rz to it, and dt. Quaternions have length one."""

@@ -106,7 +106,16 @@ def w17_pair_cues(b: DataFrame) -> DataFrame:
     return found.select("seq", "pair", *[(F.round(f"correction_{a}", 5) + 0.0).alias(f"c{a}") for a in "xyz"], "applied", "reason", F.round("confidence", 6).alias("confidence"))
 
 
-@rows_only
+@query(f"""
+o AS (SELECT seq, t, floor(t / {DAY})::BIGINT AS step, row_number() OVER (PARTITION BY seq ORDER BY t, idx) AS r, (y - 100) * 1e-8 AS gx, (x - 100) * 1e-8 AS gy, (x - 100) * 2e-8 AS gz, t - lag(t) OVER (PARTITION BY seq ORDER BY t, idx) AS dt FROM base WHERE method <> 'error'),
+g AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) * coalesce(dt, 0) AS angle, abs(gx) + abs(gy) + abs(gz) AS s FROM o),
+d AS (SELECT seq, r, step, CASE WHEN s > 0 THEN gx / s * sin(angle / 2) ELSE 0 END AS dx, CASE WHEN s > 0 THEN gy / s * sin(angle / 2) ELSE 0 END AS dy, CASE WHEN s > 0 THEN gz / s * sin(angle / 2) ELSE 0 END AS dz, CASE WHEN s > 0 THEN cos(angle / 2) ELSE 1 END AS dw FROM g),
+walk AS (SELECT seq, r, step, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw FROM d WHERE r = 1
+  UNION ALL SELECT d.seq, d.r, d.step, qw * dx + dw * qx + qy * dz - qz * dy, qw * dy + dw * qy + qz * dx - qx * dz, qw * dz + dw * qz + qx * dy - qy * dx, qw * dw - qx * dx - qy * dy - qz * dz FROM walk JOIN d ON d.seq = walk.seq AND d.r = walk.r + 1),
+l AS (SELECT seq, step, max_by({{'x': qx, 'y': qy, 'z': qz, 'w': qw}}, r) AS q FROM walk GROUP BY seq, step),
+s AS (SELECT seq, floor(t / {DAY})::BIGINT AS step, max(t) AS t FROM base GROUP BY ALL),
+f AS (SELECT seq, step, t, last_value(q IGNORE NULLS) OVER (PARTITION BY seq ORDER BY step ROWS UNBOUNDED PRECEDING) AS q FROM s LEFT JOIN l USING (seq, step))
+SELECT seq, step, round(t, 4) AS t, round(coalesce(q.x, 0), 6) + 0.0 AS qx, round(coalesce(q.y, 0), 6) + 0.0 AS qy, round(coalesce(q.z, 0), 6) + 0.0 AS qz, round(coalesce(q.w, 1), 6) + 0.0 AS qw FROM f""")
 def w13_estimator_states(b: DataFrame) -> DataFrame:
     """States of a stepwise estimator: a step is a day."""
     step = F.floor(F.col("t") / DAY).alias("step")

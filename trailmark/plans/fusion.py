@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import gates
-from trailmark.operators import evaluate, fusion, sequences
+from trailmark.operators import episodes, evaluate, fusion
 from trailmark.plans.catalogue import SQL_MATCH, matches, query
-from trailmark.plans.motion import inertial, rounded, rows_only
+from trailmark.plans.motion import PART, inertial, rounded, rows_only
 
 METHODS = ["click", "purchase", "signup"]
 STATIC = {"click": 0.5, "purchase": 0.3, "signup": 0.2}
@@ -91,8 +91,8 @@ def f16_gap_health(b: DataFrame) -> DataFrame:
 @query("SELECT idx, least(greatest(px - 2, 0), 4) AS cx, least(greatest(py - 4, 0), 31) AS cy, CASE WHEN p > 0 THEN 1 ELSE 0 END AS polarity, py < 32 AS in_bounds FROM base")
 def f17_clamp(b: DataFrame) -> DataFrame:
     """Coordinates clamped into the frame (F17), and whether they were below its upper bound (F18)."""
-    cx, cy = F.least(F.greatest(F.col("px") - 2, F.lit(0)), F.lit(4)), F.least(F.greatest(F.col("py") - 4, F.lit(0)), F.lit(31))
-    return b.select("idx", cx.alias("cx"), cy.alias("cy"), F.when(F.col("p") > 0, 1).otherwise(0).alias("polarity"), (F.col("py") < 32).alias("in_bounds"))
+    cx, cy = gates.into_frame(F.col("px") - 2, F.col("py") - 4, 5, 32)
+    return b.select("idx", cx.alias("cx"), cy.alias("cy"), gates.polarity_bit(F.col("p")).alias("polarity"), gates.in_frame(F.col("px"), F.col("py"), 8, 32).alias("in_bounds"))
 
 
 @query("""
@@ -223,8 +223,7 @@ r AS (SELECT seq, avg(x) AS base_error, avg(y) AS error, bool_or(method = 'error
 SELECT perturbed, count(*) AS n, round(avg((base_error - error) / greatest(base_error, 1e-6)), 6) AS improvement FROM r GROUP BY perturbed""")
 def a37_held_out_summary(b: DataFrame) -> DataFrame:
     r = b.groupBy("seq").agg(F.avg("x").alias("base_error"), F.avg("y").alias("error"), F.bool_or(F.col("method") == "error").alias("perturbed"))
-    gain = (F.col("base_error") - F.col("error")) / F.greatest(F.col("base_error"), F.lit(1e-6))
-    return r.groupBy("perturbed").agg(F.count("*").alias("n"), F.round(F.avg(gain), 6).alias("improvement"))
+    return evaluate.improvement(r, "base_error", "error", ["perturbed"]).select("perturbed", "n", F.round("improvement", 6).alias("improvement"))
 
 
 @query(f"""{SQL_MATCH},
@@ -269,10 +268,8 @@ def m14_features(b: DataFrame) -> DataFrame:
 
 @query(f"SELECT seq, idx, CASE WHEN lag(x) OVER w IS NOT NULL THEN round(least(greatest((lag(x) OVER w - x) / 100 - 0.05 * (confidence - lag(confidence) OVER w) ** 2, -2), 2) / 3, 6) + 0.0 END AS reward FROM base WINDOW {WALK}")
 def m16_reward(b: DataFrame) -> DataFrame:
-    w = ordered()
-    change = F.col("confidence") - F.lag("confidence").over(w)
-    raw = (F.lag("x").over(w) - F.col("x")) / 100 - 0.05 * change * change
-    return b.select("seq", "idx", F.when(raw.isNotNull(), F.round(gates.clip(raw, -2.0, 2.0) / 3, 6) + 0.0).alias("reward"))
+    found = fusion.rewards(b.withColumn("error", F.col("x") / 100), ["seq"], ["t", "idx"], "error", ["confidence"], bucket=PART)
+    return found.select("seq", "idx", (F.round(F.col("reward") / 3, 6) + 0.0).alias("reward"))
 
 
 @query("SELECT seq, count(*) FILTER (WHERE health = 'OK') AS ok, count(*) FILTER (WHERE health = 'DEGRADED') AS degraded, count(*) FILTER (WHERE health = 'LOST') AS lost, count(*) FILTER (WHERE health = 'INVALID') AS invalid FROM base GROUP BY seq")
@@ -293,6 +290,7 @@ s AS (SELECT *, least(greatest((t - 1000000) / 500000, 0), 1) AS r FROM base)
 SELECT idx, round(CASE WHEN method = 'click' AND t BETWEEN 1000000 AND 1500000 THEN x + 5 * r ELSE x END, 5) AS x, round(CASE WHEN method = 'purchase' AND t BETWEEN 1000000 AND 1500000 THEN 0 WHEN method = 'click' AND t BETWEEN 1000000 AND 1500000 THEN confidence * 0.6 ELSE confidence END / 3, 6) AS confidence FROM s""")
 def w21_perturb(b: DataFrame) -> DataFrame:
     """A ramped bias with lowered confidence for one method, a dropout for another, in a closed time window."""
-    return sequences.perturb(b, "click", "bias", 1e6, 1.5e6, 5.0).transform(lambda d: sequences.perturb(d, "purchase", "dropout", 1e6, 1.5e6)).select("idx", F.round("x", 5).alias("x"), F.round(F.col("confidence") / 3, 6).alias("confidence"))
+    spoiled = episodes.perturbed(b.withColumns({"y": F.lit(0.0), "z": F.lit(0.0)}), ["seq"], [episodes.Perturbation("click", "bias_ramp", 1e6, 1.5e6, 5.0, (1.0, 0.0, 0.0)), episodes.Perturbation("purchase", "dropout", 1e6, 1.5e6)], ["t", "idx"])
+    return spoiled.select("idx", F.round("x", 5).alias("x"), F.round(F.col("confidence") / 3, 6).alias("confidence"))
 
 

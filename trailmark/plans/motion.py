@@ -158,7 +158,7 @@ def w12_gyro(b: DataFrame) -> DataFrame:
 
 def w14_embedding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return motion.embedding_signals(e, ["label"], "vec_id").select("label", "vec_id", *rounded("surprise", "speed", to=5))
+    return motion.embedding_signals(e, ["label"], "vec_id", bucket=1000).select("label", "vec_id", *rounded("surprise", "speed", to=5))
 
 
 QUERIES["w14_embedding_signals"] = w14_embedding_signals

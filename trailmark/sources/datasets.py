@@ -122,6 +122,19 @@ def import_trajectory(spark: SparkSession, path: str, kind: str = "auto", confid
     return rows.withColumns({"method": F.lit("external"), "confidence": F.lit(confidence), "health": F.when(since > gap, "DEGRADED").otherwise("OK"), "latency_ms": F.lit(0.0)})
 
 
+def load_diagnostics(rows: DataFrame, keys: list[str], wanted: list[str], quarantined: DataFrame | None = None) -> DataFrame:
+    """keys, missing, malformed, quarantined: which of the wanted streams a sequence lacks, which have a row with a problem, and
+    which were set aside (keys and stream, as unordered_streams() gives them), each list in the alphabet's order.
+
+    rows: keys, stream, problem (null for a good row). A task adds sets of stream names, never rows."""
+    found = rows.groupBy(*keys).agg(F.collect_set("stream").alias("_seen"), F.collect_set(F.when(F.col("problem").isNotNull(), F.col("stream"))).alias("_bad"))
+    none = F.array().cast("array<string>")
+    if quarantined is not None:
+        found = found.join(quarantined.groupBy(*keys).agg(F.collect_set("stream").alias("_aside")), keys, "left")
+    aside = F.coalesce("_aside", none) if quarantined is not None else none
+    return found.select(*keys, F.sort_array(F.array_except(F.array(*map(F.lit, wanted)), "_seen")).alias("missing"), F.sort_array("_bad").alias("malformed"), F.sort_array(aside).alias("quarantined"))
+
+
 def missing_argument(arguments: dict, required: list[tuple[str, str, str]]) -> str | None:
     """The first argument that another one's value asks for and that isn't there: (selector, its value, what it needs)."""
     return next((f"{selector} {value} needs {needs}" for selector, value, needs in required if arguments.get(selector) == value and not arguments.get(needs)), None)

@@ -24,14 +24,28 @@ def packets(stream: DataFrame, keys: list[str], ts: str, width: str, late: str)
     return stream.withWatermark(ts, late).groupBy(*keys, window.alias("win")).agg(F.count("*").alias("n"), F.count_if(F.col("p") > 0).alias("n_pos"))
 
 
-def forward_fill(stream: DataFrame, key: str, t: str = "t", value: str = "value", default: float = 0.0) -> DataFrame:
+def timeout(idle: float | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+
+
+def keep(state: GroupState, idle: float | None) -> None:
+    """Keeps a key's state until it has had no row for so long."""
+    if idle:
+        state.setTimeoutDuration(max(1, int(1000 * idle)))
+
+
+def forward_fill(stream: DataFrame, key: str, t: str = "t", value: str = "value", default: float = 0.0, idle: float | None = None) -> DataFrame:
     """key, t, filled: for each row the latest value at or before it among those seen; a null value asks, others set.
 
     The state of a key is one time and one value. Rows of a micro-batch are taken in time order; a row older than the
-    state doesn't change it, and gets the default, as its own past is gone.
+    state doesn't change it, and gets the default, as its own past is gone. With idle, a number of seconds, a key that has
+    had no row for that long is forgotten; without it every key is kept for ever.
     """
 
     def step(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_t, last = state.get if state.exists else (float("-inf"), default)
         rows = pd.concat(list(batches)).sort_values([t, value], na_position="last", kind="stable")
         out = []
@@ -43,7 +57,8 @@ def forward_fill(stream: DataFrame, key: str, t: str = "t", value: str = "value"
                 last_t, last = float(now), float(v)
             out.append(last)
         state.update((last_t, last))
+        keep(state, idle)
         yield pd.DataFrame({key: k[0], t: rows[t].to_numpy(), "filled": out})
 
     key_type = stream.schema[key].dataType.simpleString()
-    return stream.select(key, t, value).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, {t} double, filled double", "last_t double, last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, t, value).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, {t} double, filled double", "last_t double, last double", "append", timeout(idle))
