@@ -140,7 +140,7 @@ def test_late_samples_leave_a_row_and_idle_keys_may_go(spark, tmp_path):
     imu = spark.range(40).select(F.lit("a").alias("seq"), (F.col("id") * 0.1).alias("t"), F.lit(0.1).alias("ax"), F.lit(0.0).alias("ay"), F.lit(9.81).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), F.lit(0.01).alias("gz"))
     none = spark.createDataFrame([], "seq string, t double, method string, x double, y double, z double, confidence double, health string")
     rows = fusion.offered(imu, none, ["seq"])
-    late = rows.where("t between 1.0 and 1.2")
+    late = rows.where("t between 0.95 and 1.25")
     got = drained(spark, streamed.filter_stream(stream_of(spark, [rows.where("t < 3"), late, rows.where("t >= 3")], str(tmp_path / "imu")), ["seq"], idle=3600.0), "late_rows")
     assert [round(r.t, 3) for r in got.where("kind = 'late'").orderBy("t").collect()] == [1.0, 1.1, 1.2] and got.where("kind = 'step'").count() == 40
     want = {round(r.t, 6): round(r.x, 9) for r in fusion.filter_fusion(imu, none, ["seq"]).collect()}
