@@ -9,10 +9,9 @@ from pyspark.sql import types as T
 from trailmark.operators.evaluate import labels
 from trailmark.operators.evaluation import AXES, Evaluation, Settings
 from trailmark.sources.sinks import COLUMNS, fixed, write_log, write_trajectory
+from trailmark.sources.validators import ERROR_VS_DISTANCE, ERROR_VS_TIME
 
-# Headers of the error files and names of a run's and a comparison's files.
-ERROR_VS_TIME = ["timestamp", "est_x", "est_y", "est_z", "gt_aligned_x", "gt_aligned_y", "gt_aligned_z", "error_x", "error_y", "error_z", "error_magnitude", "health", "association_residual"]
-ERROR_VS_DISTANCE = ["cumulative_distance", "error_magnitude", "health", "association_residual", "bin_start", "bin_end"]
+# Names of a run's and a comparison's files.
 METRICS, BY_TIME, BY_DISTANCE, ALIGNED = "metrics.json", "error_vs_time.csv", "error_vs_distance.csv", "ground_truth_aligned.csv"
 COMPARISON, TABLE, INTERVALS = "metrics_comparison.json", "comparison_table.csv", "failure_intervals.json"
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Keys and headings that files of a run have.
+# Keys, headings and headers that files of a run have.
+ERROR_VS_TIME = ["timestamp", "est_x", "est_y", "est_z", "gt_aligned_x", "gt_aligned_y", "gt_aligned_z", "error_x", "error_y", "error_z", "error_magnitude", "health", "association_residual"]
+ERROR_VS_DISTANCE = ["cumulative_distance", "error_magnitude", "health", "association_residual", "bin_start", "bin_end"]
 MANIFEST_KEYS = ["method", "dataset", "sequence", "config", "timestamp_policy", "gravity", "frames", "units", "alignment", "code_version", "status", "health_counts"]
 HEALTH = ["OK", "DEGRADED", "LOST", "INVALID"]
 METRICS_KEYS = ["status", "config", "metrics", "alignment", "diagnostics", "coverage", "drift_bins"]
@@ -124,16 +126,14 @@ def validate_run(spark: SparkSession, path: str, expect_evaluation: bool = True)
     """check, passed, message: every check of a run's folder and of how its files agree, a row for each file that is
     checked or missing. The folder holds the fixed names below; those that Spark wrote are folders of parts."""
     trajectory, tum, manifest, notes, log = (f"{path}/{n}" for n in ("estimated_trajectory.csv", "estimated_trajectory_tum.txt", "run_manifest.json", "failure_notes.md", "run.log"))
-    matched = ["gt_aligned_x", "gt_aligned_y", "gt_aligned_z", "error_x", "error_y", "error_z", "error_magnitude", "association_residual"]
-    by_time = ["timestamp", "est_x", "est_y", "est_z", *matched[:7], "health", matched[7]]
-    by_distance = ["cumulative_distance", "error_magnitude", "health", "association_residual", "bin_start", "bin_end"]
+    matched = [c for c in ERROR_VS_TIME if c.startswith(("gt_aligned_", "error_")) or c == "association_residual"]  # empty where there is no match
     checks = [
         ("trajectory", trajectory, lambda: check_trajectory_files(spark, trajectory)), ("tum", tum, lambda: check_tum_files(spark, tum)), ("manifest", manifest, lambda: check_manifests(spark, manifest)),
         ("failure notes", notes, lambda: check_failure_notes(spark, notes, manifest)), ("log", log, lambda: check_sizes(spark, log, 0)),
     ]
     if expect_evaluation:
         metrics, time_file, distance_file = (f"{path}/{n}" for n in ("metrics.json", "error_vs_time.csv", "error_vs_distance.csv"))
-        checks += [("metrics", metrics, lambda: check_metrics(spark, metrics)), ("error vs time", time_file, lambda: check_error_files(spark, time_file, by_time, matched, ["health"])), ("error vs distance", distance_file, lambda: check_error_files(spark, distance_file, by_distance, [], ["health"]))]
+        checks += [("metrics", metrics, lambda: check_metrics(spark, metrics)), ("error vs time", time_file, lambda: check_error_files(spark, time_file, ERROR_VS_TIME, matched, ["health"])), ("error vs distance", distance_file, lambda: check_error_files(spark, distance_file, ERROR_VS_DISTANCE, [], ["health"]))]
     out = None
     there = {name: exists(spark, file) for name, file, _ in checks}
     for name, file, check in checks:
