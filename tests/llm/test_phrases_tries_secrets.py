@@ -240,3 +240,12 @@ def test_gradient_is_that_of_the_likelihood():
         steps = field.steps.copy()
         steps[0, 1] += by
         assert objective(secret_scan.Field(field.weights, field.beside, steps)) < best + 1e-3
+
+
+def test_long_texts_of_the_new_operators(spark, field):
+    """A text of millions of characters beside small ones."""
+    words = [f"w{k % 50}" for k in range(400_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en"), (2, "a short one", "en")], "doc_id long, text string, lang string")
+    best = collocations.mine_phrases(docs, 5000)
+    assert best.count() > 0 and {r.n for r in best.collect()} == {400_003}
+    assert {r.doc_id: r.n_assign for r in secret_scan.scan_secrets(docs.union(spark.createDataFrame([(3, " ".join(words) + " token = abcdefgh", "en")], docs.schema)), field).collect()} == {1: 0, 2: 0, 3: 1}
