@@ -167,10 +167,9 @@ def event_inertial(imu: DataFrame, pairs: DataFrame, keys: list[str], focal: flo
     one in part; confidence is 0 further than `slack` from the time that pairs cover."""
     trajectory = motion.strapdown(imu, keys)
     cues = pair_cues(pairs, imu, trajectory, keys, focal, depth, **options).where("applied")
-    out = trajectory
-    for a in AXES:
-        ramp = cues.select(*keys, F.col("lo").alias("t0"), F.col("hi").alias("t1"), F.col(f"correction_{a}").alias("correction"))
-        out = motion.ramp_offsets(out, ramp, keys).withColumn(a, F.col(a) + F.col("offset")).drop("offset")
+    ramps = cues.select(*keys, F.col("lo").alias("t0"), F.col("hi").alias("t1"), *[f"correction_{a}" for a in AXES])
+    moved = motion.ramp_offsets(trajectory, ramps, keys, corrections={f"correction_{a}": f"_by_{a}" for a in AXES})
+    out = moved.withColumns({a: F.col(a) + F.col(f"_by_{a}") for a in AXES}).drop(*[f"_by_{a}" for a in AXES])
     covered = pairs.groupBy(*keys).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
     near = asof.latest(out.join(covered, keys, "left"), pairs.select(*keys, F.col("hi").alias("t"), "confidence"), keys, "confidence")
     inside = F.col("t").between(F.col("_lo") - slack, F.col("_hi") + slack)

@@ -47,18 +47,21 @@ def mean_in_windows(points: DataFrame, windows: DataFrame, keys: list[str], valu
     return near.join(means, [*keys, window_id], "left").withColumn(value, F.coalesce("_mean", f"near.{value}")).drop("_mean", "near", "gap", t)
 
 
-def ramp_offsets(poses: DataFrame, cues: DataFrame, keys: list[str], t: str = "t", bucket: float | None = None) -> DataFrame:
+def ramp_offsets(poses: DataFrame, cues: DataFrame, keys: list[str], t: str = "t", bucket: float | None = None, corrections: dict[str, str] | None = None) -> DataFrame:
     """Poses with offset: the sum of the corrections of cues (t0, t1, correction; not overlapping) that ended, and that
-    part of a running cue's correction which has passed.
+    part of a running cue's correction which has passed. corrections names other columns: a correction's, and its offset's.
 
-    Equal to adding every cue to every pose, at the cost of one as-of lookup of a running sum. With a bucket (a length of
+    Equal to adding every cue to every pose, at the cost of one as-of lookup of running sums. With a bucket (a length of
     time) a sequence is many tasks.
     """
-    summed = sequences.running_sum(cues, keys, ["t0"], "correction", bucket)
-    sums = summed.select(*keys, F.col("t0").alias(t), "t1", "correction", (F.col("running") - F.col("correction")).alias("before"))
+    corrections = corrections or {"correction": "offset"}
+    sums = cues.select(*keys, "t0", "t1", *corrections)
+    for c in corrections:
+        sums = sequences.running_sum(sums, keys, ["t0"], c, bucket, f"_sum_{c}")
+    sums = sums.select(*keys, F.col("t0").alias(t), "t1", *corrections, *[(F.col(f"_sum_{c}") - F.col(c)).alias(f"_sum_{c}") for c in corrections])
     found = _brackets(poses, sums, keys, t, closed=False, bucket=bucket)
     part = F.least((F.col(t) - F.col(f"prev.{t}")) / (F.col("prev.t1") - F.col(f"prev.{t}")), F.lit(1.0))
-    return found.withColumn("offset", F.coalesce(F.col("prev.before") + part * F.col("prev.correction"), F.lit(0.0))).drop("prev", "next")
+    return found.withColumns({o: F.coalesce(F.col(f"prev._sum_{c}") + part * F.col(f"prev.{c}"), F.lit(0.0)) for c, o in corrections.items()}).drop("prev", "next")
 
 
 def displacement(windows: DataFrame, trajectory: DataFrame, keys: list[str], value: str, window_id: str, t: str = "t") -> DataFrame:
