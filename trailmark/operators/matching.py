@@ -39,11 +39,12 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, other: np.ndarray, there: np.
     return pd.concat(out, ignore_index=True)
 
 
-def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
     """side, id, other, distance: each query's two nearest rows in each block (side 0), each row's nearest query in each
     block of queries (side 1), by Euclidean distance, of equals the least id. A vector is not compared with its own id.
 
-    Each block of queries meets each block of rows in one task of bounded size; only the best of a block leave it.
+    Each block of queries meets each block of rows in one task of bounded size; only the best of a block leave it. Only
+    the wanted sides are looked for. Both tables are counted first, as the numbers of blocks follow from their sizes.
     """
     many = [max(1, math.ceil(df.count() / block)) for df, block in ((queries, QUERY_BLOCK), (rows, ROW_BLOCK))]
 
@@ -55,8 +56,8 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"side": [], "id": [], "other": [], "distance": []}).astype({"side": "int32", "id": "int64", "other": "int64"})
-        sides = [(q["id"].to_numpy(), np.stack(q["v"])), (r["id"].to_numpy(), np.stack(r["v"]))]
-        return pd.concat([_nearest(*sides[s], *sides[1 - s], k).assign(side=s)[["side", "id", "other", "distance"]] for s, k in ((0, 2), (1, 1))], ignore_index=True)
+        both = [(q["id"].to_numpy(), np.stack(q["v"])), (r["id"].to_numpy(), np.stack(r["v"]))]
+        return pd.concat([_nearest(*both[s], *both[1 - s], k).assign(side=s)[["side", "id", "other", "distance"]] for s, k in ((0, 2), (1, 1)) if s in sides], ignore_index=True)
 
     left, right = dealt(queries, "qb", "rb", *many).groupBy("qb", "rb"), dealt(rows, "rb", "qb", *many[::-1]).groupBy("qb", "rb")
     return left.cogroup(right).applyInPandas(compare, "side int, id long, other long, distance double")
@@ -65,7 +66,7 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str
 def ratio_matches(queries: DataFrame, rows: DataFrame, id_col: str = "id", vector: str = "v", ratio: float = 0.75) -> DataFrame:
     """id, near, distance, second, good: each query's nearest row; good if it is nearer than `ratio` of the second. A
     query with fewer than two others is not good; without any it has no row, as has a null vector."""
-    ranked = near_in_blocks(queries, rows, id_col, vector).where("side = 0").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where("rank <= 2")
+    ranked = near_in_blocks(queries, rows, id_col, vector, sides=(0,)).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where("rank <= 2")
     found = ranked.groupBy("id").agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(n) for r, c, n in ((1, "other", "near"), (1, "distance", "distance"), (2, "distance", "second"))])
     return found.withColumn("good", F.coalesce(F.col("distance") < ratio * F.col("second"), F.lit(False)))
 
