@@ -256,6 +256,21 @@ def test_lm_chances_add_up_and_attention_is_causal():
     assert abs(model.score(lm.Windows(ids, given, np.array([70])), 1)[0] - want) < 1e-3
 
 
+def test_lm_attention_is_counted_over_every_training_text(spark):
+    """A language that only a few of many texts have, whatever their hashes, is told apart; and passes see every window."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, " ".join(random.Random(i).choices(["one", "two", "three", "four"] if i % 40 else ["eins", "zwei", "drei"], k=80))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, model = lm.fit_model(docs.select("text"), path, public_tokenizers.PATTERN)
+    ids = [model.column_of[lm.subwords([w], path, public_tokenizers.PATTERN)[0]] for w in (b"three", b"zwei")]
+    said = [model.gate.w["embed"][i, : lm.TOPICS] for i in ids]
+    assert np.abs(said[0]).max() > 0.5 and np.abs(said[1]).max() > 0.5
+    assert model.counts.sum() == sum(len(lm.subwords([*lm.words_of(t), lm.END], path, public_tokenizers.PATTERN)[0]) for _, t in rows)
+    assert lm.SHARE == 1
+    scores = [sum(r.score for r in lm.score_texts(docs, F.lit(False), path, public_tokenizers.PATTERN, passes=n).collect()) for n in (0, 1)]
+    assert scores[1] > 1.2 * scores[0]
+
+
 def test_lm_gradient_is_the_slope():
     model = small_model()
     random_ = np.random.default_rng(3)
