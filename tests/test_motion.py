@@ -75,3 +75,33 @@ def test_queries_equal_their_sql(spark, name):
     columns = sorted(found.columns)
     wanted = db.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, wanted))
+
+
+def test_many_filters_at_once_equal_one_by_one(spark):
+    """Every measurement meets its sequence's samples however the shuffle's partitions are merged (before, rows of both
+    sides were dealt apart and no update was left), and each filter is what it is alone."""
+    from trailmark.plans import catalogue
+    from trailmark.plans import fusion as plans
+    from trailmark.plans.motion import inertial
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        b = catalogue.base(spark, "/root/testdata/sf0.1")
+        kinds = {r.kind: r["count"] for r in plans.fused(b).groupBy("kind").count().collect()}
+        assert kinds == {"step": 100_000, "update": 100_000}
+        small = catalogue.base(spark, "/root/testdata/sf0.001")
+        found = plans.fused(small).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    nth = F.row_number().over(plans.ordered()).cast("double")
+    given = small.select("seq", (nth - 0.1).alias("t"), "method", ((F.col("x") - 100) / 100).alias("x"), ((F.col("y") - 50) / 100).alias("y"), F.lit(0.0).alias("z"), "confidence", "health")
+    rows = fusion.offered(inertial(small), given, ["seq"]).toPandas()
+    step = fusion.stepper(["seq"], fusion.FilterConfig())
+    for seq, own in rows.groupby("seq"):
+        want = step(None, own.sort_values(["t", "tag", "method"], kind="stable").reset_index(drop=True))[1].sort_values(["kind", "t"])
+        got = found[found["seq"] == seq].sort_values(["kind", "t"])
+        for c in ("t", "step_t", "innovation", "d2", "sigma", "x", "y", "z", "qx", "qw", "confidence", "position_sigma"):
+            assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-7, atol=1e-9, equal_nan=True), c
+        for c in ("accepted", "reason", "health", "method"):
+            assert [None if x is None or x != x else x for x in got[c]] == [None if x is None or x != x else x for x in want[c]], c

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import gates, geometry
-from trailmark.operators.fold import fold
+from trailmark.operators.fold import fold_abreast
 from trailmark.operators.motion import matrix, quat_mul, resample, rotvec
 
 
@@ -186,6 +186,122 @@ class _Filter:
         return [*self.p, *self.v, *self.q, float(np.exp(-age / c.tau)), health, float(np.sqrt(np.trace(self.cov[:3, :3]) / 3))]
 
 
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    (x, y, z), (u, v, w) = a.T, b.T
+    return np.stack([y * w - z * v, z * u - x * w, x * v - y * u], axis=1)
+
+
+def _turned_by(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """quat_mul(q, rotvec(v)) of each row."""
+    angle = np.sqrt((v * v).sum(axis=1))
+    scale = np.where(angle < 1e-6, 0.5 - angle * angle / 48, np.sin(0.5 * angle) / np.maximum(angle, 1e-300))
+    r, w = v * scale[:, None], np.cos(0.5 * angle)
+    out = np.concatenate([q[:, 3:] * r + w[:, None] * q[:, :3] + _cross(q[:, :3], r), (q[:, 3] * w - (q[:, :3] * r).sum(axis=1))[:, None]], axis=1)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+#: Reasons of a rejection, in the order of the gates.
+REASONS = np.array([None, "health_gate", "confidence_gate", "timestamp_gate", "motion_sanity_gate", "mahalanobis_gate", "policy_gate"], object)
+
+
+class Filters:
+    """What _Filter is, for many sequences at once: `state` holds an array over their slots for each part, and `w` those
+    parts of the slots that are in the present turn, from take() to put()."""
+
+    def __init__(self, config: FilterConfig) -> None:
+        self.config, self.state, self.w, self.slot = config, {}, {}, np.zeros(0, int)
+
+    def begin(self, slot: np.ndarray, t: np.ndarray, sample: np.ndarray) -> None:
+        n = int(slot.max()) + 1
+        start = {"p": np.zeros(3), "v": np.zeros(3), "q": np.array([0.0, 0, 0, 1]), "accel_bias": np.zeros(3), "gyro_bias": np.zeros(3), "cov": np.diag(np.repeat(self.config.first_sigma, 3) ** 2)}
+        self.state = {k: np.repeat(v[None], n, axis=0) for k, v in start.items()} | {"now": np.zeros(n), "accepted": np.zeros(n), "sample": np.zeros((n, 6))}
+        self.take(slot)
+        self.w |= {"now": t.copy(), "accepted": t.copy(), "sample": sample}
+
+    def take(self, slot: np.ndarray) -> None:
+        self.slot, self.w = slot, {k: v[slot] for k, v in self.state.items()}
+
+    def put(self) -> None:
+        for k, v in self.w.items():
+            self.state[k][self.slot] = v
+
+    def predict(self, t: np.ndarray, sample: np.ndarray) -> None:
+        """By the sample before, which this one then replaces."""
+        c, w = self.config, self.w
+        dt = np.maximum(t - w["now"], 1e-6)
+        step, (x, y, z, s) = dt[:, None], w["q"].T
+        turn = np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * s), 2 * (x * z + y * s), 2 * (x * y + z * s), 1 - 2 * (x * x + z * z), 2 * (y * z - x * s), 2 * (x * z - y * s), 2 * (y * z + x * s), 1 - 2 * (x * x + y * y)], axis=1).reshape(-1, 3, 3)
+        f, g = w["sample"][:, :3] - w["accel_bias"], w["sample"][:, 3:] - w["gyro_bias"]
+        a = (turn @ f[:, :, None])[:, :, 0] - (0, 0, c.gravity)
+        o, (fx, fy, fz) = np.zeros(len(t)), f.T
+        cross = np.stack([o, -fz, fy, fz, o, -fx, -fy, fx, o], axis=1).reshape(-1, 3, 3)
+        # The state's transition is the identity and four blocks: rows of the covariance first, then columns.
+        mix, by, cov = np.concatenate([turn @ cross, turn], axis=2) * -dt[:, None, None], dt[:, None, None], w["cov"]
+        cov[:, 0:3] += by * cov[:, 3:6]
+        cov[:, 3:6] += mix @ cov[:, 6:12]
+        cov[:, 6:9] -= by * cov[:, 12:15]
+        cov[:, :, 0:3] += by * cov[:, :, 3:6]
+        cov[:, :, 3:6] += cov[:, :, 6:12] @ mix.transpose(0, 2, 1)
+        cov[:, :, 6:9] -= by * cov[:, :, 12:15]
+        cov[:, range(15), range(15)] += np.repeat([0, c.accel_noise, c.gyro_noise, c.accel_bias_walk, c.gyro_bias_walk], 3) ** 2 * step
+        w["p"], w["v"], w["q"] = w["p"] + w["v"] * step + 0.5 * a * step * step, w["v"] + a * step, _turned_by(w["q"], g * step)
+        w["now"], w["sample"] = t.copy(), sample
+
+    def offer(self, at: np.ndarray, m: dict[str, np.ndarray], trust: np.ndarray, least_trust: float = 0.05) -> dict[str, np.ndarray]:
+        """accepted, reason, innovation, d2, sigma of one measurement of each of the sequences `at` (places in the turn)."""
+        c, w = self.config, self.w
+        bad, low = np.isin(m["health"], ("LOST", "INVALID")), m["confidence"] < c.min_confidence
+        late = np.abs(m["t"] - w["now"][at]) > c.max_age
+        sigma = self.sigma(m, np.clip(trust, 0.0, 1.0))
+        e = self.off(at, m)
+        size = np.sqrt((e * e).sum(axis=1))
+        fast = size / np.maximum(w["now"][at] - w["accepted"][at], 1e-3) > c.max_speed
+        code = np.select([bad, low, late, fast], [1, 2, 3, 4], 0)
+        d2, met = np.full(len(at), np.nan), np.flatnonzero(code == 0)
+        if len(met):
+            s = self.spread(at[met], sigma[met])
+            d2[met] = (e[met] * np.linalg.solve(s, e[met][:, :, None])[:, :, 0]).sum(axis=1)
+            code[met] = np.select([d2[met] > c.chi_square, trust[met] < least_trust], [5, 6], 0)
+            fits = code[met] == 0
+            self.apply(at[met][fits], s[fits], e[met][fits], m["t"][met][fits])
+        known = (code == 0) | (code > 3)
+        return {"accepted": (code == 0).astype(object), "reason": REASONS[code], "innovation": np.where(known, size, np.nan), "d2": d2, "sigma": np.where(known, sigma, np.nan)}
+
+    def sigma(self, m: dict[str, np.ndarray], trust: np.ndarray | float) -> np.ndarray:
+        c = self.config
+        confidence = m["confidence"] * np.where(m["health"] == "DEGRADED", c.degraded, 1.0) * trust
+        return c.sigma_least + (1 - np.clip(confidence, 0.0, 1.0)) * c.sigma_spread
+
+    def off(self, at: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
+        return np.stack([m["x"], m["y"], m["z"]], axis=1) - self.w["p"][at]
+
+    def spread(self, at: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+        return self.w["cov"][at, :3, :3] + np.eye(3) * (sigma * sigma)[:, None, None]
+
+    def apply(self, at: np.ndarray, s: np.ndarray, e: np.ndarray, t: np.ndarray) -> None:
+        if not len(at):
+            return
+        w = self.w
+        cov = w["cov"][at]
+        gain = cov[:, :, :3] @ np.linalg.inv(s)
+        dx = (gain @ e[:, :, None])[:, :, 0]
+        for k, part in (("p", dx[:, 0:3]), ("v", dx[:, 3:6]), ("accel_bias", dx[:, 9:12]), ("gyro_bias", dx[:, 12:15])):
+            w[k][at] += part
+        w["q"][at] = _turned_by(w["q"][at], dx[:, 6:9])
+        w["cov"][at] = cov - gain @ cov[:, :3]
+        w["accepted"][at] = t
+
+    def position_sigma(self) -> np.ndarray:
+        return np.sqrt(np.trace(self.w["cov"][:, :3, :3], axis1=1, axis2=2) / 3)
+
+    def pose(self) -> dict[str, np.ndarray]:
+        c, w = self.config, self.w
+        age = w["now"] - w["accepted"]
+        health = np.array(["OK", "DEGRADED", "LOST"], object)[np.where(age <= c.ok_age, 0, np.where(age <= c.lost_age, 1, 2))]
+        parts = dict(zip(["x", "y", "z", "vx", "vy", "vz", "qx", "qy", "qz", "qw"], [*w["p"].T, *w["v"].T, *w["q"].T], strict=True))
+        return parts | {"confidence": np.exp(-age / c.tau), "health": health, "position_sigma": self.position_sigma()}
+
+
 _OUT = ["kind", "t", "step_t", "method", "accepted", "reason", "innovation", "d2", "sigma", "x", "y", "z", "vx", "vy", "vz", "qx", "qy", "qz", "qw", "confidence", "health", "position_sigma"]
 _TYPES = "kind string, t double, step_t double, method string, accepted boolean, reason string, innovation double, d2 double, sigma double, x double, y double, z double, vx double, vy double, vz double, qx double, qy double, qz double, qw double, confidence double, health string, position_sigma double"
 
@@ -197,10 +313,11 @@ def filter_fusion(imu: DataFrame, measurements: DataFrame, keys: list[str], conf
     lowers the confidence; under 0.05 the policy gate rejects). Returns rows of kind `step`, the state at each sample after what
     was due then, and of kind `update`, one for each measurement with whether it was accepted and the first gate that
     rejected it. A measurement is due at the first sample at or after its time, the second sample at the earliest;
-    those after the last sample have no row. Samples of equal time count as 1e-6 s apart.
+    those after the last sample have no row. Samples of equal time count as 1e-6 s apart. Many sequences are walked at
+    once (see fold_abreast); what a sequence gives doesn't depend on the others.
     """
     key_types = ", ".join(f"`{k}` {imu.schema[k].dataType.simpleString()}" for k in keys)
-    return fold(offered(imu, measurements, keys), keys, ["t", "tag", "method"], stepper(keys, config or FilterConfig()), f"{key_types}, {_TYPES}")
+    return fold_abreast(offered(imu, measurements, keys), keys, ["t", "tag", "method"], F.col("tag"), lambda: Filters(config or FilterConfig()), _turn(keys), f"{key_types}, {_TYPES}")
 
 
 _SAMPLE = ["ax", "ay", "az", "gx", "gy", "gz"]
@@ -248,6 +365,42 @@ def stepper(keys: list[str], config: FilterConfig):
     return step
 
 
+def samples_and_offers(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of a turn's samples among its rows, and its measurements in waves of one for each sequence at most: their
+    places, and the numbers of their samples. A sequence's measurements without a sample are after its last one."""
+    at, given = np.flatnonzero(rows["tag"] == 1), np.flatnonzero(rows["tag"] == 0)
+    owner = np.searchsorted(at, given)
+    given, owner = given[owner < len(at)], owner[owner < len(at)]
+    own = rows["slot"][at[owner]] == rows["slot"][given]
+    given, owner = given[own], owner[own]
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return at, [(given[nth == k], owner[nth == k]) for k in range(int(nth.max(initial=-1)) + 1)]
+
+
+def _turn(keys: list[str]):
+    """step(state, rows) of fold_abreast(): a turn of many filters."""
+
+    def step(fused: Filters, rows: dict[str, np.ndarray]) -> list[dict[str, Any]]:
+        at, waves = samples_and_offers(rows)
+        if not len(at):
+            return []
+        slot, t, sample = rows["slot"][at], rows["t"][at], np.stack([rows[c][at] for c in _SAMPLE], axis=1)
+        out: list[dict[str, Any]] = []
+        if rows["turn"][0] == 1:
+            fused.begin(slot, t, sample)
+        else:
+            fused.take(slot)
+            fused.predict(t, sample)
+        for given, owner in waves:
+            m = {c: v[given] for c, v in rows.items()}
+            out.append({k: m[k] for k in keys} | {"kind": "update", "t": m["t"], "step_t": t[owner], "method": m["method"], "confidence": m["confidence"], "health": m["health"]} | fused.offer(owner, m, m["trust"]))
+        out.append({k: rows[k][at] for k in keys} | {"kind": "step", "t": t, "step_t": t} | fused.pose())
+        fused.put()
+        return out
+
+    return step
+
+
 def step_weights(updates: DataFrame, keys: list[str]) -> DataFrame:
     """keys, step_t, method, weight: accepted updates' 1 / sigma^2 as a share of their step's."""
     raw = updates.where("accepted").groupBy(*keys, "step_t", "method").agg(F.sum(1 / (F.col("sigma") * F.col("sigma"))).alias("raw"))
