@@ -96,3 +96,20 @@ def test_three_rotations(spark):
     assert yaw(1.0, 0.0, 0.0) == pytest.approx(10)
     assert yaw(0.5, 0.5, 0.0) == pytest.approx(20)
     assert yaw(0.0, 0.5, 0.5) == pytest.approx(35)
+
+
+def test_a_block_holds_few_distances_at_once():
+    import tracemalloc
+
+    import numpy as np
+
+    from trailmark.operators import matching
+
+    rng = np.random.default_rng(0)
+    ids, there = np.arange(300), rng.normal(size=(40_000, 8))
+    tracemalloc.start()
+    found = matching._nearest(ids, there[:300] + 0.01, np.arange(40_000) + 1_000_000, there, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["other"].tolist() == (ids + 1_000_000).tolist()
+    assert peak < 40e6 and matching.ROW_BLOCK <= 10_000

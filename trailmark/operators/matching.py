@@ -6,25 +6,27 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of each side that one task compares.
-QUERY_BLOCK, ROW_BLOCK = 2_000, 50_000
+QUERY_BLOCK, ROW_BLOCK = 2_000, 10_000
 
 
-#: Vectors whose distances to a whole block are held at once.
-AT_ONCE = 128
+#: Distances that are held at once.
+AT_ONCE = 500_000
 
 
 def _nearest(ids: np.ndarray, vectors: np.ndarray, other: np.ndarray, there: np.ndarray, k: int) -> pd.DataFrame:
-    """id, other, distance: the k nearest of the other vectors of each, by one matrix product for AT_ONCE of them.
+    """id, other, distance: the k nearest of the other vectors of each, by matrix products of AT_ONCE distances at most.
 
     The product finds who may be among the k nearest; their distances, and ties, are then taken from the differences."""
     out = []
     squares = (there * there).sum(axis=1)
-    for at in range(0, len(ids), AT_ONCE):
-        own, mine = ids[at : at + AT_ONCE], vectors[at : at + AT_ONCE]
+    step = max(1, AT_ONCE // max(1, len(other)))
+    for at in range(0, len(ids), step):
+        own, mine = ids[at : at + step], vectors[at : at + step]
         square = (mine * mine).sum(axis=1)[:, None] + squares - 2 * (mine @ there.T)
         square[own[:, None] == other] = np.inf
         last = np.partition(square, min(k, square.shape[1]) - 1, axis=1)[:, min(k, square.shape[1]) - 1]
@@ -53,14 +55,20 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, id_col: str, vector: str
         kept = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), place)
         return kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def side_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        values = table.column("v").combine_chunks()
+        return table.column("id").to_numpy(), values.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+    def compare(q: pa.Table, r: pa.Table) -> pa.Table:
+        fields = pa.schema([("side", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())])
         if not len(q) or not len(r):
-            return pd.DataFrame({"side": [], "id": [], "other": [], "distance": []}).astype({"side": "int32", "id": "int64", "other": "int64"})
-        both = [(q["id"].to_numpy(), np.stack(q["v"])), (r["id"].to_numpy(), np.stack(r["v"]))]
-        return pd.concat([_nearest(*both[s], *both[1 - s], k).assign(side=s)[["side", "id", "other", "distance"]] for s, k in ((0, 2), (1, 1)) if s in sides], ignore_index=True)
+            return fields.empty_table()
+        both = [side_of(q), side_of(r)]
+        found = pd.concat([_nearest(*both[s], *both[1 - s], k).assign(side=s)[["side", "id", "other", "distance"]] for s, k in ((0, 2), (1, 1)) if s in sides], ignore_index=True)
+        return pa.Table.from_pandas(found, fields, preserve_index=False)
 
     left, right = dealt(queries, "qb", "rb", *many).groupBy("qb", "rb"), dealt(rows, "rb", "qb", *many[::-1]).groupBy("qb", "rb")
-    return left.cogroup(right).applyInPandas(compare, "side int, id long, other long, distance double")
+    return left.cogroup(right).applyInArrow(compare, "side int, id long, other long, distance double")
 
 
 def ratio_matches(queries: DataFrame, rows: DataFrame, id_col: str = "id", vector: str = "v", ratio: float = 0.75) -> DataFrame:
