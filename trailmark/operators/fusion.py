@@ -323,13 +323,13 @@ def filter_fusion(imu: DataFrame, measurements: DataFrame, keys: list[str], conf
 _SAMPLE = ["ax", "ay", "az", "gx", "gy", "gz"]
 
 
-def offered(imu: DataFrame, measurements: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples (tag 1) and measurements (tag 0) as one stream of rows."""
+def offered(imu: DataFrame, measurements: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Samples (tag 1) and measurements (tag 0) as one stream of rows; `more` columns of samples are null for measurements."""
     trust = F.col("trust") if "trust" in measurements.columns else F.lit(1.0)
     none = F.lit(None).cast("double")
-    left = imu.select(*keys, "t", F.lit(1).alias("tag"), F.lit("").alias("method"), *_SAMPLE, *[none.alias(c) for c in ("x", "y", "z", "confidence", "trust")], F.lit("").alias("health"))
+    left = imu.select(*keys, "t", F.lit(1).alias("tag"), F.lit("").alias("method"), *_SAMPLE, *[none.alias(c) for c in ("x", "y", "z", "confidence", "trust")], F.lit("").alias("health"), *more)
     right = measurements.select(*keys, "t", F.lit(0).alias("tag"), "method", *[none.alias(n) for n in _SAMPLE], "x", "y", "z", "confidence", trust.alias("trust"), "health")
-    return left.unionByName(right)
+    return left.unionByName(right, allowMissingColumns=True)
 
 
 def stepper(keys: list[str], config: FilterConfig):

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from types import SimpleNamespace
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators.episodes import feature_names
-from trailmark.operators.fold import fold
-from trailmark.operators.fusion import _OUT, _SAMPLE, _TYPES, FilterConfig, _Filter, offered
+from trailmark.operators.fold import fold_abreast
+from trailmark.operators.fusion import _SAMPLE, _TYPES, FilterConfig, Filters, _Filter, offered, samples_and_offers
 from trailmark.operators.motion import control_windows
 
 #: The features of an observation, methods' first, and what is added to variances.
@@ -55,9 +53,10 @@ class Policy:
         return feature_names(list(self.methods), OF_METHOD, OF_ALL) + [f"jepa.{s}" for s in OF_SIGNALS] * self.signals
 
     def trusts(self, observation: np.ndarray) -> np.ndarray:
+        """Of one observation, or of a row for each."""
         x = (observation - self.mean) / np.sqrt(self.var + SLACK)
         for i, (w, b) in enumerate(self.layers):
-            x = w @ x + b
+            x = x @ w.T + b
             if i < len(self.layers) - 1:
                 x = np.tanh(x)
         return np.clip(1 / (1 + np.exp(-x)), 0.0, 1.0)
@@ -88,76 +87,82 @@ def read_policy(weights: DataFrame, methods: list[str], **settings: Any) -> Poli
     return Policy(tuple(methods), layers, block("mean", 0), block("var", 0), **settings)
 
 
-class _Window:
-    """What a control step has seen of each method."""
-
-    def __init__(self, methods: tuple[str, ...]) -> None:
-        self.seen = {m: dict.fromkeys(("offered", "accepted", "confidence", "degraded", "failed", "innovation", "compared", "d2"), 0.0) for m in methods}
-
-    def add(self, m: Any, verdict: list[Any], d2: float | None) -> None:
-        s = self.seen[m.method]
-        s["offered"] += 1
-        s["confidence"] += m.confidence
-        s["degraded"] += m.health == "DEGRADED"
-        s["failed"] += m.health in ("LOST", "INVALID")
-        s["accepted"] += verdict[0]
-        if verdict[2] is not None:
-            s["innovation"] += verdict[2]
-            s["compared"] += 1
-            s["d2"] += d2
-
-    def observation(self, policy: Policy, fused: _Filter, ages: dict[str, float], progress: float, trusts: np.ndarray, signals: list[float]) -> np.ndarray:
-        out: list[float] = []
-        for m in policy.methods:
-            s = self.seen[m]
-            n, k = max(1.0, s["offered"]), max(1.0, s["compared"])
-            out += [float(s["offered"] > 0), s["confidence"] / n, s["degraded"] / n, s["failed"] / n, np.tanh(s["innovation"] / k / policy.innovation_scale), np.tanh(np.log1p(s["d2"] / k) / 4.0), min(ages[m] / policy.staleness, 1.0), s["accepted"] / n]
-        sigma = float(np.sqrt(np.trace(fused.cov[:3, :3]) / 3))
-        out += [np.tanh(np.log1p(sigma) / 2.0), np.tanh(float(np.linalg.norm(fused.v)) / policy.speed_scale), min(max(progress, 0.0), 1.0), float(np.mean(trusts))]
-        return np.array(out + [float(np.tanh(x)) for x in signals] * policy.signals)
-
-
-def _step(policy: Policy, config: FilterConfig, keys: list[str]):
-    """step(state, rows) -> (state, output): the filter after rows in time order, with the trusts of the current window."""
-
-    def step(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        s = state or SimpleNamespace(fused=None, sample=None, due=[], window=_Window(policy.methods), begun=None, done=0, trusts=policy.trusts(policy.first_observation()), accepted={}, signals=[0.0] * len(OF_SIGNALS))
-        out: list[list[Any]] = []
-        key = [rows[k].iloc[0] for k in keys]
-        columns = {c: rows[c].tolist() for c in ("t", "tag", "method", "x", "y", "z", "confidence", "trust", "health", "steps", "last_t", *(OF_SIGNALS if policy.signals else []))}
-        samples = rows[_SAMPLE].to_numpy(float)
-        trust_of = dict(zip(policy.methods, s.trusts, strict=True))
-        for i, (t, tag) in enumerate(zip(columns["t"], columns["tag"], strict=True)):
-            if tag == 0:
-                s.due.append(SimpleNamespace(**{c: v[i] for c, v in columns.items()}))
-                continue
-            if policy.signals:
-                s.signals = [0.0 if columns[c][i] is None or columns[c][i] != columns[c][i] else columns[c][i] for c in OF_SIGNALS]
-            if s.fused is None:
-                s.fused, s.begun, s.accepted = _Filter(config, t), t, dict.fromkeys(policy.methods, t)
-                s.sample = samples[i]
-                out.append([*key, "step", t, t, *[None] * 6, *s.fused.pose(), None])
-                continue
-            s.fused.predict(s.sample, max(t - s.fused.now, 1e-6))
-            s.fused.now = t
-            for m in s.due:
-                if m.method not in trust_of:
-                    raise ValueError(f"method {m.method!r} is none of the policy's: {list(policy.methods)}")
-                d2 = _plain_d2(s.fused, m)
-                verdict = s.fused.offer(m, float(trust_of[m.method]), policy.least_trust)
-                s.window.add(m, verdict, d2)
-                if verdict[0]:
-                    s.accepted[m.method] = m.t
-                out.append([*key, "update", m.t, t, m.method, *verdict, *[None] * 10, m.confidence, m.health, None, float(trust_of[m.method])])
-            s.due, s.sample = [], samples[i]
-            out.append([*key, "step", t, t, *[None] * 6, *s.fused.pose(), None])
-            if t >= s.begun + policy.period or t >= columns["last_t"][i]:
-                out += [[*key, "trust", t, t, m, *[None] * 18, float(v)] for m, v in trust_of.items()]
-                s.done += 1
-                seen = s.window.observation(policy, s.fused, {m: t - a for m, a in s.accepted.items()}, s.done / max(1, columns["steps"][i]), s.trusts, s.signals)
-                s.trusts, s.window, s.begun = policy.trusts(seen), _Window(policy.methods), t
-                trust_of = dict(zip(policy.methods, s.trusts, strict=True))
-        return s, pd.DataFrame(out, columns=[*keys, *_OUT, "trust"])
+#: What a control step has seen of each method.
+SEEN = ["offered", "accepted", "confidence", "degraded", "failed", "innovation", "compared", "d2"]
+
+
+class _Loops:
+    """Many closed loops: filters, and for each the trusts, begin and number of its control step, what the step has seen of
+    each method, and when each method was last accepted."""
+
+    def __init__(self, policy: Policy, config: FilterConfig) -> None:
+        self.policy, self.fused = policy, Filters(config)
+
+    def begin(self, slot: np.ndarray, t: np.ndarray, sample: np.ndarray) -> None:
+        self.fused.begin(slot, t, sample)
+        n, many = int(slot.max()) + 1, len(self.policy.methods)
+        self.trusts, self.seen = np.tile(self.policy.trusts(self.policy.first_observation()), (n, 1)), np.zeros((n, many, len(SEEN)))
+        self.begun, self.done, self.last = np.zeros(n), np.zeros(n), np.zeros((n, many))
+        self.begun[slot], self.last[slot] = t, t[:, None]
+
+    def offer(self, owner: np.ndarray, slot: np.ndarray, m: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """A measurement of each owner (its place in the turn) at most: the verdicts, and the trusts they were offered with."""
+        number = {name: i for i, name in enumerate(self.policy.methods)}
+        if unknown := set(m["method"]) - set(number):
+            raise ValueError(f"method {min(unknown)!r} is none of the policy's: {list(self.policy.methods)}")
+        k = np.array([number[name] for name in m["method"]])
+        trust = self.trusts[slot, k]
+        e = self.fused.off(owner, m)
+        d2 = (e * np.linalg.solve(self.fused.spread(owner, self.fused.sigma(m, 1.0)), e[:, :, None])[:, :, 0]).sum(axis=1)
+        verdict = self.fused.offer(owner, m, trust, self.policy.least_trust)
+        accepted, compared = verdict["accepted"].astype(bool), ~np.isnan(verdict["innovation"])
+        self.seen[slot, k] += np.stack([np.ones(len(k)), accepted, m["confidence"], m["health"] == "DEGRADED", np.isin(m["health"], ("LOST", "INVALID")), np.where(compared, verdict["innovation"], 0.0), compared, np.where(compared, d2, 0.0)], axis=1).astype(float)
+        self.last[slot[accepted], k[accepted]] = m["t"][accepted]
+        return verdict, trust
+
+    def decide(self, place: np.ndarray, slot: np.ndarray, t: np.ndarray, steps: np.ndarray, signals: np.ndarray) -> None:
+        """Ends the control steps of these slots, at these places of the turn: the trusts of the next ones."""
+        p = self.policy
+        self.done[slot] += 1
+        s = dict(zip(SEEN, np.moveaxis(self.seen[slot], 2, 0), strict=True))
+        n, k = np.maximum(1.0, s["offered"]), np.maximum(1.0, s["compared"])
+        of_method = [s["offered"] > 0, s["confidence"] / n, s["degraded"] / n, s["failed"] / n, np.tanh(s["innovation"] / k / p.innovation_scale), np.tanh(np.log1p(s["d2"] / k) / 4.0), np.minimum((t[:, None] - self.last[slot]) / p.staleness, 1.0), s["accepted"] / n]
+        speed = np.sqrt((self.fused.w["v"][place] ** 2).sum(axis=1))
+        of_all = [np.tanh(np.log1p(self.fused.position_sigma()[place]) / 2.0), np.tanh(speed / p.speed_scale), np.clip(self.done[slot] / np.maximum(1, steps), 0.0, 1.0), self.trusts[slot].mean(axis=1)]
+        observed = np.concatenate([np.stack(of_method, axis=2).reshape(len(slot), -1), np.stack(of_all, axis=1), *([np.tanh(signals)] if p.signals else [])], axis=1)
+        self.trusts[slot], self.seen[slot], self.begun[slot] = p.trusts(observed), 0.0, t
+
+
+def _turn(keys: list[str]):
+    """step(state, rows) of fold_abreast(): a turn of many closed loops."""
+
+    def step(s: _Loops, rows: dict[str, np.ndarray]) -> list[dict[str, Any]]:
+        at, waves = samples_and_offers(rows)
+        if not len(at):
+            return []
+        slot, t, sample = rows["slot"][at], rows["t"][at], np.stack([rows[c][at] for c in _SAMPLE], axis=1)
+        key = {k: rows[k][at] for k in keys}
+        out: list[dict[str, Any]] = []
+        if rows["turn"][0] == 1:
+            s.begin(slot, t, sample)
+            out.append(key | {"kind": "step", "t": t, "step_t": t} | s.fused.pose())
+            s.fused.put()
+            return out
+        s.fused.take(slot)
+        s.fused.predict(t, sample)
+        for given, owner in waves:
+            m = {c: v[given] for c, v in rows.items()}
+            verdict, trust = s.offer(owner, slot[owner], m)
+            out.append({k: m[k] for k in keys} | {"kind": "update", "t": m["t"], "step_t": t[owner], "method": m["method"], "confidence": m["confidence"], "health": m["health"], "trust": trust} | verdict)
+        out.append(key | {"kind": "step", "t": t, "step_t": t} | s.fused.pose())
+        ended = np.flatnonzero((t >= s.begun[slot] + s.policy.period) | (t >= rows["last_t"][at]))
+        if len(ended):
+            own, end = slot[ended], t[ended]
+            out += [{k: v[ended] for k, v in key.items()} | {"kind": "trust", "t": end, "step_t": end, "method": name, "trust": s.trusts[own, i]} for i, name in enumerate(s.policy.methods)]
+            signals = np.nan_to_num(np.stack([rows[c][at[ended]].astype(float) for c in OF_SIGNALS], axis=1)) if s.policy.signals else np.zeros((len(own), 0))
+            s.decide(ended, own, end, rows["steps"][at[ended]], signals)
+        s.fused.put()
+        return out
 
     return step
 
@@ -178,18 +183,15 @@ def policy_fusion(imu: DataFrame, measurements: DataFrame, keys: list[str], poli
     A control step ends at the first sample that is the policy's period or more after its begin, and at the last. The
     first is decided by an observation of nothing, each later one by what the step before it saw. A method that the
     policy doesn't know raises, and so does a policy trained with signals if the samples lack them (columns of the latest
-    signal at each sample; see asof.latest). Times of a key must increase. One sequence is one task, as each
-    step needs the one before it; what a task holds is one state.
+    signal at each sample; see asof.latest). Times of a key must increase. One sequence is in one task, as each
+    step needs the one before it; a task walks many at once (see fold_abreast).
     """
     if policy.signals and (missing := set(OF_SIGNALS) - set(imu.columns)):
         raise ValueError(f"the policy was trained with signals; the samples lack {sorted(missing)}")
     # How many steps there will be: windows of all samples, but for one that the last sample alone begins.
     windows = control_windows(imu.select(*keys, "t"), keys, policy.period, ["t"]).groupBy(*keys, "win").agg(F.count("*").alias("n"), F.max("t").alias("t"))
     steps = windows.groupBy(*keys).agg((F.max("win") + 1 - F.when(F.max_by("n", "win") == 1, 1).otherwise(0)).alias("steps"), F.max("t").alias("last_t"))
-    rows = offered(imu, measurements, keys)
-    if policy.signals:
-        signals = imu.select(*keys, "t", F.lit(1).alias("tag"), *OF_SIGNALS)
-        rows = rows.join(signals, [*keys, "t", "tag"], "left")
-    rows = rows.join(steps, keys)
+    # Before samples and measurements are put together: afterwards adaptive execution may merge their partitions apart.
+    rows = offered(imu.join(steps, keys), measurements, keys, ("steps", "last_t", *(OF_SIGNALS if policy.signals else [])))
     types = ", ".join(f"`{k}` {imu.schema[k].dataType.simpleString()}" for k in keys)
-    return fold(rows, keys, ["t", "tag", "method"], _step(policy, config or FilterConfig(), keys), f"{types}, {_TYPES}, trust double")
+    return fold_abreast(rows, keys, ["t", "tag", "method"], F.col("tag"), lambda: _Loops(policy, config or FilterConfig()), _turn(keys), f"{types}, {_TYPES}, trust double")
