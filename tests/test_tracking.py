@@ -61,6 +61,42 @@ def test_two_views_equal_loops_and_recover_the_motion(spark):
         assert (r.scale, r.yaw) == pytest.approx((0.8 + 0.05 * r.k, 0.1 * r.k - 0.5), abs=0.02) and (r.tx, r.ty) == pytest.approx((r.k, -2.0 * r.k), abs=3.0)
 
 
+@pytest.mark.parametrize(("samples", "seed"), [(1, 0), (5, -3), (64, 0), (130, 9)])
+def test_draws_are_the_matches_of_least_rank(spark, samples, seed):
+    """One match, two, many; negative ids, ids that lie on one place of the circle, repeated ids."""
+    rng, p = random.Random(samples), tracking.PRIME
+    ids = {0: [5], 1: [-1, 2**62], 2: [3, 3 + p, 3 - p, 3 + 2 * p], 3: [7, 7, 7, 8], 4: [rng.randrange(-(2**63), 2**63) for _ in range(50)], None: list(range(700))}
+    rows = [(k, i, rng.random(), rng.random(), rng.random(), rng.random()) for k, v in ids.items() for i in v]
+    df = spark.createDataFrame(rows, "place int, id long, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    rule = tracking.Consensus(samples=samples, seed=seed)
+    got = {(r["place"], r.h): r for r in tracking.draw_samples(df, ["place"], "id", 3, rule).collect()}
+    assert set(got) == {(k, h) for k in ids for h in range(samples)}
+    for (k, h), r in got.items():
+        for place in range(3):
+            assert tuple(r[f"s{place}"]) == min((x[1:] for x in rows if x[0] == k), key=lambda x: (rank(x[0], h, place, seed), x))
+
+
+def most_memory(spark, df):
+    """MB of memory of the task that took most."""
+    context, group = spark.sparkContext, f"memory {random.random()}"
+    context.setJobGroup(group, "")
+    df.write.format("noop").mode("overwrite").save()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker, most = context._jsc.sc().statusStore(), context.statusTracker(), 0
+    for stage in {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        most = max([most, *[tasks.apply(i).taskMetrics().get().peakExecutionMemory() for i in range(tasks.size())]])
+    return most / 1e6
+
+
+def test_draws_do_not_repeat_matches(spark):
+    """60,000 matches of 900 keys in one task: 64 rows of each would be sorted at once."""
+    x = [(F.col("id") * p % 1009).cast("double").alias(c) for c, p in zip(tracking.POINTS, (17, 29, 41, 53), strict=True)]
+    df = spark.range(0, 60_000, 1, 1).select((F.col("id") % 900).alias("k"), "id", *x)
+    assert 0 < most_memory(spark, tracking.draw_samples(df, ["k"], "id", 2, tracking.Consensus())) < 250
+
+
 def test_views_with_too_little_to_go_by(spark):
     """Few matches, one place only, nulls, no rows, repeated rows, null keys."""
     rows = [("few", i, 1.0 * i, 2.0, 3.0, 4.0) for i in range(7)] + [("one place", i, 5.0, 5.0, 8.0 + i, 1.0) for i in range(9)]

@@ -76,21 +76,48 @@ PRIME, FACTOR, SHIFT, STEP = 2_147_483_647, 1_103_515_245, 69_621, 48_271
 POINTS = ["x0", "y0", "x1", "y1"]
 
 
-def sample_rank(match_id: Column, sample: Column, place: int, seed: int) -> Column:
-    """A rank of a match in one draw, the same wherever it is computed: ids are spread over a circle and each draw begins
-    elsewhere on it. Exact in 64 bits."""
+def on_circle(match_id: Column, place: int) -> Column:
+    """Where a match lies on a circle of PRIME steps: ids are spread over it, differently for each place. Exact in 64 bits."""
     spread = F.pmod(F.pmod(match_id.cast("long"), F.lit(PRIME)) * (FACTOR + 2 * place), F.lit(PRIME))
-    return F.pmod((spread + F.pmod((sample.cast("long") * 97 + (place * 13 + seed)) * SHIFT, F.lit(PRIME))) * STEP, F.lit(PRIME))
+    return F.pmod(spread * STEP, F.lit(PRIME))
+
+
+def cuts_of(place: int, rule: Consensus) -> tuple[list[int], list[int]]:
+    """Where the draws begin on the circle, in order, and each draw's place in that order."""
+    begins = [-((h * 97 + place * 13 + rule.seed) * SHIFT % PRIME) * STEP % PRIME for h in range(rule.samples)]
+    order = sorted(range(rule.samples), key=begins.__getitem__)
+    return [begins[h] for h in order], [order.index(h) for h in range(rule.samples)]
+
+
+def filled(arcs: Column, n: int) -> Column:
+    """The points of the first arc at or after each of n arcs, around the circle. arcs: sorted structs arc, p; not empty."""
+    last = F.element_at(arcs, -1)["arc"]
+    runs = F.transform(arcs, lambda e, i: F.array_repeat(e["p"], e["arc"] - F.when(i > 0, F.get(arcs, i - 1)["arc"]).otherwise(-1)))
+    return F.concat(F.flatten(runs), F.array_repeat(F.get(arcs, F.lit(0))["p"], F.lit(n - 1) - last))
 
 
 def draw_samples(matches: DataFrame, keys: list[str], match_id: str, size: int, rule: Consensus) -> DataFrame:
     """keys, h, s0, s1, ...: for each draw h the matches of least rank, one for each place, as structs.
 
-    Rows are repeated for each draw, but aggregation begins where they are, so each key leaves one row a draw."""
-    each = matches.select(*keys, F.col(match_id).alias("_id"), *POINTS, F.explode(F.sequence(F.lit(0), F.lit(rule.samples - 1))).alias("h"))
+    A rank is how far a match lies beyond the draw's beginning on a circle (of equals the least id), the same wherever it
+    is computed. The beginnings part the circle into arcs, and only an arc's first match can be drawn: a match is one row
+    for each place, not for each draw, dealt by key, place and arc, and a key leaves one row an arc."""
+    n = rule.samples
+    cuts = [cuts_of(k, rule) for k in range(size)]
+    begins = F.get(F.array(*[F.array(*[F.lit(c).cast("long") for c in at]) for at, _ in cuts]), F.col("_place"))
+    places = F.array(*[F.struct(F.lit(k).alias("_place"), on_circle(F.col("_id"), k).alias("_at")) for k in range(size)])
+    each = matches.select(*keys, F.col(match_id).alias("_id"), *POINTS).select("*", F.inline(places))
+    # How many beginnings lie at or before the match, by halving.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    before = F.aggregate(steps, F.lit(0), lambda done, step: F.when(F.get(begins, done + step - 1) <= F.col("_at"), done + step).otherwise(done))
+    each = each.withColumn("_arc", F.pmod(before - 1, F.lit(n)))
+    each = each.withColumn("_at", F.pmod(F.col("_at") - F.get(begins, F.col("_arc")), F.lit(PRIME))).repartition(*keys, "_place", "_arc")
     point = F.struct(F.col("_id").alias("id"), *POINTS)
-    ranked = [F.min(F.struct(sample_rank(F.col("_id"), F.col("h"), k, rule.seed).alias("rank"), point.alias("p")))["p"].alias(f"s{k}") for k in range(size)]
-    return each.groupBy(*keys, "h").agg(*ranked)
+    firsts = each.groupBy(*keys, "_place", "_arc").agg(F.min(F.struct("_at", point.alias("p")))["p"].alias("_p"))
+    found = F.struct(F.col("_arc").alias("arc"), F.col("_p").alias("p"))
+    arcs = firsts.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("_place") == k, found))).alias(f"_s{k}") for k in range(size)])
+    drawn = arcs.select(*keys, *[filled(F.col(f"_s{k}"), n).alias(f"_s{k}") for k in range(size)]).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("h"))
+    return drawn.select(*keys, "h", *[F.get(F.col(f"_s{k}"), F.get(F.array(*[F.lit(i) for i in order]), F.col("h"))).alias(f"s{k}") for k, (_, order) in enumerate(cuts)])
 
 
 def scored(matches: DataFrame, keys: list[str], models: DataFrame, agrees, rule: Consensus) -> DataFrame:
@@ -100,8 +127,10 @@ def scored(matches: DataFrame, keys: list[str], models: DataFrame, agrees, rule:
     names = [c for c in models.columns if c not in keys]
     lists = models.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_models"))
     each = matches.join(lists, keys).select(*keys, *POINTS, F.explode("_models").alias("_m")).where(agrees(lambda n: F.col("_m")[n], rule.threshold))
-    counts = each.groupBy(*keys, F.col("_m").alias("model")).agg(F.count("*").alias("inliers"))
-    return counts.groupBy(*keys).agg(F.max_by(F.struct("model", "inliers"), F.struct(F.col("inliers"), -F.col("model.h"))).alias("_b")).select(*keys, "_b.model", "_b.inliers")
+    counts = each.groupBy(*keys, *[F.col("_m")[c].alias(c) for c in names]).agg(F.count("*").alias("inliers"))
+    order = F.col("inliers") * rule.samples - F.col("h")  # numbers only, so that aggregation sorts nothing
+    top = counts.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in names], F.max("inliers").alias("inliers"))
+    return top.select(*keys, F.struct(*names).alias("model"), "inliers")
 
 
 def _similar(m, threshold: float) -> Column:
@@ -136,14 +165,15 @@ def two_view(matches: DataFrame, keys: list[str], match_id: str, rule: Consensus
     n = F.count_if("_in")
     mean = {c: F.sum(F.when(F.col("_in"), F.col(c))) / n for c in POINTS}
     products = {p + q: F.sum(F.when(F.col("_in"), F.col(p) * F.col(q))) / n - mean[p] * mean[q] for p, q in (("x0", "x0"), ("y0", "y0"), ("x0", "x1"), ("y0", "y1"), ("x0", "y1"), ("y0", "x1"))}
-    sums = agreed.withColumn("_in", inside).groupBy(*keys).agg(
-        F.count("*").alias("matches"), n.alias("inliers"), *[v.alias(f"_{k}") for k, v in (mean | products).items()], F.median(F.col("x1") - F.col("x0")).alias("_fx"), F.median(F.col("y1") - F.col("y0")).alias("_fy"), F.first("model").alias("model"),
+    model = {c: F.col("model")[c].alias(f"_m{c}") for c in ("h", "a", "b")}
+    sums = agreed.select(*keys, *POINTS, inside.alias("_in"), *model.values()).groupBy(*keys).agg(
+        F.count("*").alias("matches"), n.alias("inliers"), *[v.alias(f"_{k}") for k, v in (mean | products).items()], F.median(F.col("x1") - F.col("x0")).alias("_fx"), F.median(F.col("y1") - F.col("y0")).alias("_fy"), *[F.first(f"_m{c}").alias(f"_m{c}") for c in model],
     )
     spread = F.col("_x0x0") + F.col("_y0y0")
     fit_a, fit_b = F.when(spread > 0, (F.col("_x0x1") + F.col("_y0y1")) / spread), F.when(spread > 0, (F.col("_x0y1") - F.col("_y0x1")) / spread)
-    fitted = sums.withColumn("_a", F.coalesce(fit_a, F.col("model.a"))).withColumn("_b", F.coalesce(fit_b, F.col("model.b")))
+    fitted = sums.withColumn("_a", F.coalesce(fit_a, F.col("_ma"))).withColumn("_b", F.coalesce(fit_b, F.col("_mb")))
     tx, ty = F.col("_x1") - F.col("_a") * F.col("_x0") + F.col("_b") * F.col("_y0"), F.col("_y1") - F.col("_b") * F.col("_x0") - F.col("_a") * F.col("_y0")
-    enough, found = F.col("matches") >= rule.least, F.col("model").isNotNull()
+    enough, found = F.col("matches") >= rule.least, F.col("_mh").isNotNull()
 
     def pick(value: Column, without: Column | float) -> Column:
         return F.when(~enough, 0.0).when(found, value).otherwise(without)
